@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_packing, op7_url_filter
+from . import op2_packing, op4_fingerprint, op6_language, op7_url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,17 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.best_fit(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_fingerprint.edited_digest(_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    asked = docs.select("doc_id", "text", op6_language.held_out().alias("held_out"))
+    found = op6_language.predict(asked, op6_language.fit(docs))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: The document number in a page's address.
 PAGE_DOC = r"^[^?#]*/([0-9]+)(?:\.[A-Za-z]+)?/?(?:[?#].*)?$"
 
@@ -36,6 +47,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
 }
 
