@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_packing, op4_fingerprint, op6_language, op7_url_filter
+from . import op2_packing, op3_token_counts, op4_fingerprint, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.best_fit(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op3_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    return op3_token_counts.count_edits(docs, op3_token_counts.middle_edit, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_fingerprint.edited_digest(_table(spark, sf_dir, "documents"))
 
@@ -45,11 +52,23 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_url_filter.judge(pages, known.select("page_id", "good"))
 
 
+def op8_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op8_line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_token_counts": op3_token_counts_query,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
+    "op8_line_dedup": op8_line_dedup_query,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
