@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_packing, op3_token_counts, op4_fingerprint, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate
+from . import op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_fingerprint.edited_digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     asked = docs.select("doc_id", "text", op6_language.held_out().alias("held_out"))
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts_query,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_substring_dedup": op5_substring_dedup_query,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup_query,
