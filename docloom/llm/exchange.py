@@ -27,6 +27,18 @@ def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
     return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), n
 
 
+def sized_chunks(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text) with about chunk_bytes of text for each chunk, and the number of buckets.
+
+    Both follow the size of the input, so that a task's memory does not; the size is one sum over the
+    texts' lengths. Rows between chunks and buckets are chunks * buckets: raise chunk_bytes with the input.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // chunk_bytes))
+    d = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d, max(1, -(-n // 4))
+
+
 def sorted_distinct(x: np.ndarray) -> np.ndarray:
     x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate
+from . import op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return op9_decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts_query,
@@ -74,6 +78,7 @@ QUERIES = {
     "op7_url_filters": op7_url_filters,
     "op8_line_dedup": op8_line_dedup_query,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
