@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_suffix_dedup
+from . import op1_ngram_join, op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_packing.best_fit(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -70,6 +74,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts_query,
     "op4_document_fingerprints": op4_document_fingerprints,
