@@ -104,7 +104,7 @@ def word_spans(buf: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = Non
         edge[0], edge[-1] = word[:1].any(), word[-1:].any()
         if cuts is not None:
             c = cuts[np.searchsorted(cuts, at, "right") : np.searchsorted(cuts, end, "left")] - at
-            double = c[(c > 0) & (c < len(part))]
+            double = c[(c > 0) & (c < len(part)) & np.append(True, c[1:] != c[:-1])[: len(c)]]  # empty texts repeat a cut
             double = double[word[double - 1] & word[double]]
         else:
             double = np.zeros(0, np.int64)
