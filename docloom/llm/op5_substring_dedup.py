@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U, byte_table, doc_words, partitions, utf8, windows_hash
-from .exchange import BLOBS, REPLY, Short, blob_rows, bodies, chunked, replies_of, reply_rows, shared_bits
+from .common import U, byte_table, doc_words, utf8, windows_hash
+from .exchange import BLOBS, REPLY, Short, blob_rows, bodies, replies_of, reply_rows, shared_bits, sized_chunks
 
 SPAN, BLOCK_WORDS = 13, 7
 _TABLE = byte_table(seed=5)
@@ -123,8 +123,7 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (word ranges that go), and the kept text if asked."""
-    d, _ = chunked(docs)
-    buckets = partitions(docs.sparkSession)
+    d, buckets = sized_chunks(docs)
 
     def ask(key, table):
         return pa.Table.from_batches([Chunk(table, buckets).first_round(key[0].as_py())])
