@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import op1_ngram_join, op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_suffix_dedup
 
+from .oracles import ORACLES  # noqa: F401
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -85,5 +87,3 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLES: dict[str, str] = {}
