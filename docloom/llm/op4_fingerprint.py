@@ -7,7 +7,8 @@ the chunks' digests with their lengths. The likeness of one fingerprint to anoth
 the weight (bytes) of its chunks that the other has too, over its own weight.
 
 Defined results: null texts are empty; an empty text has the empty fingerprint, which is like another
-empty one (1.0) and unlike all else (0.0). Ties in doc_id are ordered by the text. A table with one row
+empty one (1.0) and unlike all else (0.0). A null doc_id
+counts as the least. Ties in doc_id are ordered by the text. A table with one row
 is its own next document. Extra columns are not read.
 
 Neighbours are found without one task that sees all rows: texts are dealt by ranges of doc_id and sorted
@@ -31,6 +32,7 @@ LEAST, NORMAL, MOST = 32, 96, 384
 STRICT, LOOSE = np.uint32(0xFF800000), np.uint32(0xFC000000)
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47)) >> np.uint64(32)).astype(np.uint32)
 WHOLE_BLOCK = 1 << 22
+LEAST_ID = -(1 << 63)
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -120,7 +122,7 @@ def replace_tail(text: str, following: str) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """part, doc_id, text, ghost: sorted by doc_id within each part; a part begins with a ghost, the
     next document (in descending doc_id) of its first one."""
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = 4 * partitions(docs.sparkSession)
     # Ranges of doc_id with about equal rows: n - 1 numbers on the driver.
     bounds = sorted(set(d.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
@@ -167,7 +169,7 @@ def edited_digest(docs: DataFrame) -> DataFrame:
                     assert k == part, "a part begins with its ghost"
                     edited = replace_tail(text, last).encode()
                     e = chunks(edited)
-                    out.append((doc, len(text), hashlib.sha256(edited).hexdigest(), encode(own), encode(e), likeness(own, e), likeness(own, last_parts)))
+                    out.append((doc if doc != LEAST_ID else None, len(text), hashlib.sha256(edited).hexdigest(), encode(own), encode(e), likeness(own, e), likeness(own, last_parts)))
                 part, last, last_parts = k, text, own
             names = [x.split()[0] for x in DIGEST.split(", ")]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
