@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .common import BLOCK, U, byte_table, prefix_sums, spans_hash, utf8
 from .exchange import BLOBS, REPLY, Short, blob_rows, bodies, replies_of, reply_rows, shared_bits, sized_chunks
 
-SPAN, GRAM, HOT = 50, 20, 512
+SPAN, GRAM, HOT, PARTS = 50, 20, 512, 8
 _TABLE = byte_table(seed=17)
 _LOW = U((1 << 21) - 1)
 
@@ -41,11 +41,9 @@ def types_b(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.zeros(0, bool)
-    differs = np.append(text[:-1] != text[1:], True)
-    at = np.flatnonzero(differs)
-    run = np.searchsorted(at, np.arange(n))  # each position's run ends at at[run]
-    rises = np.append(text[at[:-1]] < text[at[:-1] + 1], False)
-    return rises[run]
+    end = np.flatnonzero(np.append(text[:-1] != text[1:], True))  # of each run of equal bytes
+    rises = np.append(text[end[:-1]] < text[end[:-1] + 1], False)
+    return np.repeat(rises, np.diff(end, prepend=-1))
 
 
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -210,9 +208,12 @@ class Chunk:
         k = order[head]
         self.us, self.ue, self.udoc = s, e, doc
         self.ks, self.kn, self.least = s[k], (e - s + 1)[k], self.ids[doc[k]]
-        bucket = (h[k] % U(self.buckets)).astype(np.int64)
+        # Buckets come in PARTS, which their task sorts one after the other.
+        whole = U(self.buckets)
+        bucket = (h[k] % whole * U(PARTS) + h[k] // whole % U(PARTS)).astype(np.int64)
         self.sent = np.argsort(bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.sent], np.arange(self.buckets + 1))
+        self.part_cuts = np.searchsorted(bucket[self.sent], np.arange(self.buckets * PARTS + 1))
+        self.cuts = self.part_cuts[::PARTS]
 
     def _sums(self):
         """Prefix hashes of the chunk, by blocks whose neighbours overlap by a snippet."""
@@ -229,13 +230,14 @@ class Chunk:
 
     def second_round(self, chunk: int) -> pa.RecordBatch:
         parts = []
-        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+        for q, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             k = self.sent[a:b]
             if len(k) == 0:
                 parts.append(b"")
                 continue
             text = self.raw[ragged(self.ks[k], self.kn[k] + SPAN - 1)]
-            parts.append(b"".join((np.uint32(len(k)).tobytes(), self.least[k].tobytes(), self.kn[k].astype(np.uint8).tobytes(), text.tobytes())))
+            sizes = np.diff(self.part_cuts[q * PARTS : (q + 1) * PARTS + 1]).astype(np.uint32)
+            parts.append(b"".join((sizes.tobytes(), self.least[k].tobytes(), self.kn[k].astype(np.uint8).tobytes(), text.tobytes())))
         return blob_rows(2, chunk, parts)
 
     def removed(self, replies: dict[int, bytes]) -> np.ndarray:
@@ -254,31 +256,53 @@ class Chunk:
         return np.cumsum(step)[:m] > 0
 
 
-def sorted_bits(parts: list[bytes]) -> list[bytes]:
-    """Snippets of one bucket: for each string in order, whether an earlier document has it."""
-    docs, sizes, texts, counts = [], [], [], []
-    for x in parts:
-        n = int(np.frombuffer(x, np.uint32, 1)[0])
-        docs.append(np.frombuffer(x, np.int64, n, 4))
-        sizes.append(np.frombuffer(x, np.uint8, n, 4 + 8 * n).astype(np.int64))
-        texts.append(np.frombuffer(x, np.uint8, -1, 4 + 9 * n))
-        counts.append(int(sizes[-1].sum()))
-    doc, size, text = np.concatenate(docs), np.concatenate(sizes), np.concatenate(texts)
-    first = np.concatenate([[0], np.cumsum(size + SPAN - 1)])[:-1]
-    start = ragged(first, size)
+class Snippets:
+    """What one chunk sent to a bucket: sizes of the PARTS, then documents, string counts, bytes."""
+
+    def __init__(self, body: bytes):
+        sizes = np.frombuffer(body, np.uint32, PARTS).astype(np.int64)
+        n, at = int(sizes.sum()), 4 * PARTS
+        self.cuts = np.concatenate([[0], np.cumsum(sizes)])
+        self.doc = np.frombuffer(body, np.int64, n, at)
+        self.count = np.frombuffer(body, np.uint8, n, at + 8 * n)
+        self.text = np.frombuffer(body, np.uint8, -1, at + 9 * n)
+        self.start = np.concatenate([[0], np.cumsum(self.count.astype(np.int64) + SPAN - 1)])
+
+    def part(self, q: int):
+        a, b = self.cuts[q], self.cuts[q + 1]
+        return self.doc[a:b], self.count[a:b].astype(np.int64), self.text[self.start[a] : self.start[b]]
+
+
+def sorted_bits(bodies_: list[bytes]) -> list[bytes]:
+    """For each string that a chunk sent, in order: whether an earlier document has it."""
+    sent = [Snippets(x) for x in bodies_]
+    found: list[list[np.ndarray]] = [[] for _ in sent]
+    for q in range(PARTS):
+        parts = [x.part(q) for x in sent]
+        bits = repeats(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        ends = np.cumsum([int(count.sum()) for _, count, _ in parts])
+        for own, x in zip(found, np.split(bits, ends[:-1]), strict=True):
+            own.append(x)
+    return [np.packbits(np.concatenate(x)).tobytes() for x in found]
+
+
+def repeats(doc: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Sorts the strings of snippets (count each, in text) and flags those that a smaller doc has too."""
+    if not len(doc):
+        return np.zeros(0, bool)
+    first = np.concatenate([[0], np.cumsum(count + SPAN - 1)])[:-1]
+    start = ragged(first, count)
     wanted = np.zeros(len(text), bool)
     wanted[start] = True
     owner = np.zeros(len(text), np.int64)
-    owner[start] = np.repeat(doc, size)
+    owner[start] = np.repeat(doc, count)
     order = suffix_order(text, wanted, SPAN)
     head = np.flatnonzero(adjacent_prefixes(text, order, SPAN) < SPAN)
     own = owner[order]
     low = np.repeat(np.minimum.reduceat(own, head), np.diff(np.append(head, len(order))))
     flag = np.zeros(len(text), bool)
     flag[order] = low < own
-    bits = flag[start]
-    ends = np.concatenate([[0], np.cumsum(counts)])
-    return [np.packbits(bits[a:b]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+    return flag[start]
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
