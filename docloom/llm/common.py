@@ -194,7 +194,24 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a cut that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of a few MB, unless the session says otherwise."""
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == usual:
+            spark.conf.set(key, own)
 
 
 def partitions(spark: SparkSession) -> int:

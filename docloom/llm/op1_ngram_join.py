@@ -5,17 +5,18 @@ exact: what is ruled out is ruled out by bounds, what is kept is verified on the
 
 Method, step by step:
  1. A pass over the texts gives each set's size and an order-free 128-bit key; documents with equal sets
-    are one class, whose least doc_id stands for it. The pass also finds shingles that a great share
-    of the classes has; they come last in the global order of tokens, so that prefixes hold rare ones.
- 2. A second pass sends each class's prefix: its first n - ceil(3n/4) + l(n) tokens in that order,
-    l(n) = max(1, n // 20). Linked sets share at least min(l) tokens of their prefixes. Tokens that
+    are one class, whose least doc_id stands for it. Another counts tokens; those that HEAVY
+    classes or more have (the FREQUENT most frequent of them) come last in the global order, so that prefixes hold rare ones.
+ 2. Each class sends its prefix: its first n - ceil(3n/4) + l(n) tokens in that order, l(n) = max(1, n // 20). Tokens that
     one class only has go nowhere; the rest are the postings.
  3. Classes are partitioned into groups of similar ones: of the classes that share a token and are near
-    in size, each is verified against one leader, and verified links make the groups.
+    in size, each is verified against one leader (if it leads under a quarter of the class's prefix), and verified links make the groups.
  4. The token-group matrix has a row for each token and the groups whose union of prefixes has it. A
-    class's overlap with another group's union bounds its overlap with every member; only groups
-    with an overlap of at least l(ceil(3n/4)) qualify, and only these are opened and verified member by member.
-    Within a group nothing more is verified: its members are one component already.
+    class's overlap c with another group's union bounds its overlap with every member S: of the tokens
+    up to the end of the prefix that ends first, all are in both prefixes, so |Q & S| is at most c plus
+    the longer rest. Only groups where that can reach 3/7 (|Q| + |S|) for a size of theirs qualify, and
+    only these are opened and verified member by member. Within a group nothing more is verified: its
+    members are one component already.
 
 So a family of m near copies costs m verifications against its leaders, not m * m. No frequent token is
 collected: those known as frequent are rows that Spark aggregates, others have a bounded frequency.
@@ -34,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_table, components, cut, doc_words, mix, shingles, slices, utf8
+from .common import U, byte_table, components, cut, discard, doc_words, mix, shingles, slices, small_batches, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
-FLUSH, SEEN, FREQUENT = 1 << 20, 16, 500_000
+FLUSH, HEAVY, FREQUENT, LEAD = 1 << 20, 16, 500_000, 0.25
 BITS = 1 << 23
 _TABLE = byte_table(fold_case=True, seed=3)
 
@@ -72,42 +73,65 @@ def slack(n):
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 of each row; and rows with a null n: tokens (k1) frequent in some block, with their count (k2)."""
+    """doc_id, n, k1, k2 of each row."""
 
     def work(batches):
-        held: list[np.ndarray] = []
-        size, seen = 0, set()
+        for b in batches:
+            for part in slices(pa.Table.from_batches([b])):
+                found = sets(part)
+                k = [keys(s) if len(s) else (0, 0) for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").combine_chunks(), pa.array([len(s) for s in found], pa.int64()), pa.array([x for x, _ in k], pa.int64()), pa.array([y for _, y in k], pa.int64())],
+                    ["doc_id", "n", "k1", "k2"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, k1 bigint, k2 bigint")
 
-        def frequent():
-            t = np.sort(np.concatenate(held))
-            head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            n = np.diff(np.append(head, len(t)))
-            often = n >= SEEN
-            return rows([None] * int(often.sum()), [None] * int(often.sum()), t[head[often]].astype(np.int64), n[often])
+
+def short(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 31 further bits of tokens, as one number."""
+    return ((tokens & U(0xFFFFFFFF)) % U(buckets)) << U(31) | tokens >> U(32)
+
+
+def heavy_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
+    """Short forms of tokens that about HEAVY classes or more have, the FREQUENT most frequent. They only order
+    tokens; every result is the same with any others."""
+
+    def work(batches):
+        held, seen, size = [], set(), 0
+
+        def flush():
+            t = np.sort(short(np.concatenate(held), buckets))
+            cuts = np.searchsorted(t, np.arange(buckets + 1, dtype=U) << U(31))
+            low = (t & U(0x7FFFFFFF)).astype(np.uint32)
+            full = [(q, low[a:b].tobytes()) for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([q for q, _ in full], pa.int32()), pa.array([x for _, x in full], pa.binary())], ["bucket", "body"])
 
         for b in batches:
             for part in slices(pa.Table.from_batches([b])):
-                n, k1, k2 = [], [], []
                 for s in sets(part):
-                    a, c = keys(s) if len(s) else (0, 0)
-                    n.append(len(s))
-                    k1.append(a)
-                    k2.append(c)
-                    if len(s) and a not in seen:
-                        seen.add(a)
+                    k = keys(s)[0] if len(s) else None
+                    if k is not None and k not in seen:
+                        seen.add(k)
                         held.append(s)
                         size += len(s)
-                yield rows(part.column("doc_id").combine_chunks(), n, k1, k2)
-                if size >= 2 * FLUSH:
-                    yield frequent()
-                    held, size, seen = [], 0, set()
+                if size >= FLUSH:
+                    yield flush()
+                    held, seen, size = [], set(), 0
         if size:
-            yield frequent()
+            yield flush()
 
-    def rows(doc, n, k1, k2):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["doc_id", "n", "k1", "k2"])
+    def count(key, table):
+        t = np.sort(np.frombuffer(b"".join(table.column("body").to_pylist()), np.uint32))
+        head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+        n = np.diff(np.append(head, len(t)))
+        often = n >= HEAVY
+        token = t[head[often]].astype(np.int64) | key[0].as_py() << 31
+        return pa.Table.from_arrays([pa.array(token), pa.array(n[often].astype(np.int64))], names=["token", "c"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id bigint, n bigint, k1 bigint, k2 bigint")
+    found = docs.select("doc_id", "text").mapInArrow(work, "bucket int, body binary").groupBy("bucket").applyInArrow(count, "token bigint, c bigint")
+    top = found.orderBy(F.desc("c"), "token").limit(FREQUENT).select("token").collect()
+    return np.sort(np.array([r["token"] for r in top], np.int64).astype(U))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
@@ -156,10 +180,11 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                         continue
                     seen.add(k)
                     n = len(s)
-                    maybe = np.flatnonzero(quick[(s & U((1 << 20) - 1)).astype(np.int64)])
+                    t = short(s, buckets)
+                    maybe = np.flatnonzero(quick[(t & U((1 << 20) - 1)).astype(np.int64)])
                     if len(maybe):
-                        at = np.searchsorted(often, s[maybe])
-                        maybe = maybe[often[np.minimum(at, len(often) - 1)] == s[maybe]]
+                        at = np.searchsorted(often, t[maybe])
+                        maybe = maybe[often[np.minimum(at, len(often) - 1)] == t[maybe]]
                         s[maybe] |= U(1 << 63)
                         s = np.sort(s)
                     T.append(s[: n - need(n) + int(slack(n))])
@@ -180,12 +205,12 @@ def segment(n):
     return np.floor(np.log(n) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
 
 
-POSTINGS = "pair boolean, x bigint, y bigint, n bigint"
+POSTINGS = "pair boolean, x bigint, y bigint, n bigint, c bigint"
 
 
 def postings(blocks: DataFrame) -> DataFrame:
     """Entries of tokens that several classes have (pair false: token, class, size), and leader pairs
-    (pair true: leader, class)."""
+    (pair true: leader, class, the class's size, tokens under which the one leads the other)."""
 
     def work(key, table):
         bucket = key[0].as_py()
@@ -216,21 +241,23 @@ def postings(blocks: DataFrame) -> DataFrame:
             head = np.concatenate([[True], (t[1:] != t[:-1]) | (seg[1:] != seg[:-1])])
             lead = k[head][np.cumsum(head) - 1]
         far = lead != k
-        a, b = lead[far], k[far]
+        a, b, m, c = lead[far], k[far], n[far], np.zeros(0, np.int64)
         if len(a):
             order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            a, b = a[new], b[new]
+            a, b, m = a[order], b[order], m[order]
+            new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+            c = np.diff(np.append(new, len(a)))
+            a, b, m = a[new], b[new], m[new]
         token = t.astype(np.int64) << 31 | bucket
         return pa.Table.from_arrays(
             [
                 pa.array(np.concatenate([np.zeros(len(t), bool), np.ones(len(a), bool)])),
                 pa.array(np.concatenate([token, a])),
                 pa.array(np.concatenate([k, b])),
-                pa.array(np.concatenate([n, np.zeros(len(a), np.int64)])),
+                pa.array(np.concatenate([n, m])),
+                pa.array(np.concatenate([np.zeros(len(t), np.int64), c])),
             ],
-            names=["pair", "x", "y", "n"],
+            names=["pair", "x", "y", "n", "c"],
         )
 
     return blocks.where("bucket is not null").select("bucket", "body").groupBy("bucket").applyInArrow(work, POSTINGS)
@@ -305,23 +332,22 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): the profile's rows, classes (k1, k2, rep, n), and (node, component) of linked ones."""
     spark = docs.sparkSession
-    found = cut(profile(docs))
-    rows = found.where("n is not null")
+    small_batches(spark)
+    rows = cut(profile(docs))
     classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
-    total = classes.agg(F.count("*").alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
-    least = max(4 * SEEN, total["m"] // 1000)
-    hot = found.where("n is null").groupBy("k1").agg(F.sum("k2").alias("c")).where(F.col("c") >= least)
-    hot = hot.orderBy(F.desc("c"), "k1").limit(FREQUENT).select("k1").collect()
-    hot = np.sort(np.array([r["k1"] for r in hot], np.int64).astype(U))
-    buckets = max(1, -(-3 * total["t"] // (10 * FLUSH)))
-    blocks = cut(prefixes(docs, hot, int(buckets)))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
+    buckets = int(max(1, -(-3 * total // (10 * FLUSH))))
+    blocks = cut(prefixes(docs, heavy_tokens(docs, buckets), buckets))
     posted = cut(postings(blocks))
+    often = cut(blocks.where("bucket is null").select("token", "k", "n").distinct())
+    discard(blocks)
     rare = posted.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("k"), "n")
-    often = blocks.where("bucket is null").select("token", "k", "n").distinct()
     seg = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).alias("seg")
     lead = often.groupBy("token", seg).agg(F.min(F.struct("n", "k")).alias("lead"))
-    starred = often.withColumn("seg", seg).join(lead, ["token", "seg"]).select(F.col("lead.k").alias("x"), F.col("k").alias("y")).where("x <> y")
-    pairs = posted.where("pair").select("x", "y").unionAll(starred).distinct()
+    starred = often.withColumn("seg", seg).join(lead, ["token", "seg"]).select(F.col("lead.k").alias("x"), F.col("k").alias("y"), "n", F.lit(1).alias("c")).where("x <> y")
+    # Only a leader that shares LEAD of the prefix is worth a verification; the matrix decides about the rest.
+    pairs = posted.where("pair").select("x", "y", "n", "c").unionAll(starred).groupBy("x", "y", "n").agg(F.sum("c").alias("c"))
+    pairs = pairs.where(F.col("c") >= LEAD * (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / 20)))).select("x", "y")
     links = cut(verified(docs, pairs, classes))
     first = cut(components(links))
     # The token-group matrix: a class without a verified link is a group of its own.
@@ -329,10 +355,17 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = rare.unionAll(often).join(named.withColumnRenamed("k1", "k"), "k")
     mixed = every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     mixed = cut(every.join(mixed, "token").select("token", "k", "n", "g"))
+    sizes = mixed.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     matrix = mixed.select("token", F.col("g").alias("other")).distinct()
     overlap = mixed.join(matrix, "token").where("g < other").groupBy("k", "n", "other").agg(F.count("*").alias("c"))
-    least_c = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / 20))
-    opened = overlap.where(F.col("c") >= least_c).select("k", "n", "other")
+    overlap = overlap.join(sizes.withColumnRenamed("g", "other"), "other")
+    # Sizes of members that can link; the bound is least at one of their ends. One is allowed for two
+    # tokens of a class with one short form.
+    lo = F.greatest("lo", F.ceil(F.col("n") * NUM / DEN))
+    hi = F.least("hi", F.floor(F.col("n") * DEN / NUM))
+    rest = lambda n: F.ceil(n * NUM / DEN) - F.greatest(F.lit(1), F.floor(n / 20))
+    least = lambda m: F.ceil((F.col("n") + m) * NUM / (NUM + DEN)) - F.greatest(rest(F.col("n")), rest(m)) - 1
+    opened = overlap.where((lo <= hi) & (F.col("c") >= F.least(least(lo), least(hi)))).select("k", "n", "other")
     members = mixed.select(F.col("g").alias("other"), F.col("k").alias("y"), F.col("n").alias("m")).distinct()
     near = opened.join(members, "other").where(f"{DEN} * n >= {NUM} * m and {DEN} * m >= {NUM} * n")
     more = verified(docs, near.select(F.col("k").alias("x"), "y").distinct(), classes)

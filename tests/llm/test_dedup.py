@@ -87,7 +87,7 @@ def test_jaccard_families_and_chains(spark):
 
 
 def test_jaccard_frequent_tokens(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(op1_ngram_join, "SEEN", 1)  # every token of four classes counts as frequent
+    monkeypatch.setattr(op1_ngram_join, "HEAVY", 1)  # every token counts as frequent
     got = op1_ngram_join.jaccard_components(docs).where("doc_id is not null").collect()
     assert sorted(tuple(x) for x in got) == brute_components(rows)
 
