@@ -343,11 +343,17 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     discard(blocks)
     rare = posted.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("k"), "n")
     seg = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).alias("seg")
-    lead = often.groupBy("token", seg).agg(F.min(F.struct("n", "k")).alias("lead"))
+    # The leader of a family is its hub: the class whose prefix tokens are frequent on average, as an
+    # edited copy has rare tokens of its own. All of a family's tokens then name the same leader.
+    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    df = often.groupBy("token").agg(F.count("*").alias("df"))
+    hub = often.join(df, "token").groupBy("k", "n").agg(F.sum("df").alias("w")).select("k", (F.col("w") / prefix).alias("w"))
+    often_w = often.join(hub, "k")
+    lead = often_w.groupBy("token", seg).agg(F.max(F.struct("w", "k")).alias("lead"))
     starred = often.withColumn("seg", seg).join(lead, ["token", "seg"]).select(F.col("lead.k").alias("x"), F.col("k").alias("y"), "n", F.lit(1).alias("c")).where("x <> y")
     # Only a leader that shares LEAD of the prefix is worth a verification; the matrix decides about the rest.
     pairs = posted.where("pair").select("x", "y", "n", "c").unionAll(starred).groupBy("x", "y", "n").agg(F.sum("c").alias("c"))
-    pairs = pairs.where(F.col("c") >= LEAD * (F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / 20)))).select("x", "y")
+    pairs = pairs.where(F.col("c") >= LEAD * prefix).select("x", "y")
     links = cut(verified(docs, pairs, classes))
     first = cut(components(links))
     # The token-group matrix: a class without a verified link is a group of its own.
