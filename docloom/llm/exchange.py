@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, partitions
+from .common import U, small_batches
 
 BLOBS = "round int, bucket int, chunk int, body binary"
 REPLY = "chunk int, round int, bucket int, bits binary"
@@ -21,18 +21,13 @@ _BLOBS = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _REPLY = pa.schema([("chunk", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) and the number of chunks: four for each shuffle partition, for an even load."""
-    n = 4 * partitions(docs.sparkSession)
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), n
-
-
 def sized_chunks(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
     """(chunk, doc_id, text) with about chunk_bytes of text for each chunk, and the number of buckets.
 
     Both follow the size of the input, so that a task's memory does not; the size is one sum over the
     texts' lengths. Rows between chunks and buckets are chunks * buckets: raise chunk_bytes with the input.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // chunk_bytes))
     d = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))

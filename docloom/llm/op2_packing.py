@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 SALTS = 1024
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -67,6 +67,8 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """The pieces of each document; with_ids adds the ids themselves as an array."""
 
+    small_batches(docs.sparkSession)
+
     def work(batches):
         enc = encoder(tokenizer)
         for batch in batches:

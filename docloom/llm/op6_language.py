@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 4), 16, 8
 MOST_LANGUAGES = 64
 LETTER = re.compile(r"[^\W\d_]")
@@ -214,6 +216,7 @@ def classify(model: Tables | None, texts: list[str | None]) -> tuple[list[str],
 def predict(docs: DataFrame, model: Tables | None) -> DataFrame:
     """The input's rows with lang_pred and score (which replace columns of those names)."""
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    small_batches(docs.sparkSession)
     source = docs.select(*[F.col(f"`{c}`") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the constants above only
 

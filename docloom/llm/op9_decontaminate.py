@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_table, doc_words, mix, slices, utf8, windows_hash
+from .common import U, byte_table, doc_words, mix, slices, small_batches, utf8, windows_hash
 
 WINDOW, LEAST, KEPT = 8, 5, 2_000_000
 #: Units that become a placeholder after a number.
@@ -170,6 +170,7 @@ def _batch(b) -> pa.Table:
 
 def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
     """doc_id, item_id, n_windows, coverage, exact: one row for each document and item that contaminates it."""
+    small_batches(docs.sparkSession)
     items = benchmark.where("text is not null").select("item_id", "text")
     # A bound on the windows before anything is collected: characters / 2 words at most.
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
