@@ -361,9 +361,14 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     every = rare.unionAll(often).join(named.withColumnRenamed("k1", "k"), "k")
     mixed = every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     mixed = cut(every.join(mixed, "token").select("token", "k", "n", "g"))
-    sizes = mixed.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = mixed.select("token", F.col("g").alias("other")).distinct()
-    overlap = mixed.join(matrix, "token").where("g < other").groupBy("k", "n", "other").agg(F.count("*").alias("c"))
+    classes_of = mixed.select("g", "k", "n").distinct()
+    sizes = classes_of.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
+    # The smaller group asks the larger one, so that a large family does not ask each of its outliers.
+    sized = mixed.join(sizes.select("g", "m"), "g")
+    matrix = sized.select("token", F.col("g").alias("other"), F.col("m").alias("om")).distinct()
+    asks = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("g") < F.col("other")))
+    overlap = sized.join(matrix, "token").where(asks).groupBy("k", "n", "other").agg(F.count("*").alias("c"))
+    sizes = sizes.drop("m")
     overlap = overlap.join(sizes.withColumnRenamed("g", "other"), "other")
     # Sizes of members that can link; the bound is least at one of their ends. One is allowed for two
     # tokens of a class with one short form.
@@ -372,7 +377,7 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = lambda n: F.ceil(n * NUM / DEN) - F.greatest(F.lit(1), F.floor(n / 20))
     least = lambda m: F.ceil((F.col("n") + m) * NUM / (NUM + DEN)) - F.greatest(rest(F.col("n")), rest(m)) - 1
     opened = overlap.where((lo <= hi) & (F.col("c") >= F.least(least(lo), least(hi)))).select("k", "n", "other")
-    members = mixed.select(F.col("g").alias("other"), F.col("k").alias("y"), F.col("n").alias("m")).distinct()
+    members = classes_of.select(F.col("g").alias("other"), F.col("k").alias("y"), F.col("n").alias("m"))
     near = opened.join(members, "other").where(f"{DEN} * n >= {NUM} * m and {DEN} * m >= {NUM} * n")
     more = verified(docs, near.select(F.col("k").alias("x"), "y").distinct(), classes)
     merged = links.unionAll(more)
