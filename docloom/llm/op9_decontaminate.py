@@ -9,6 +9,10 @@ windows count; a document is contaminated by an item if consistent windows cover
 of the item's words. So a re-parameterised question (other numbers, other names) is caught, while a
 text that only shares a template with shuffled values is not.
 
+With any_case (as the queries have it) windows also meet as case-folded words, in which only numbers and
+units are placeholders; a window counts if either form matches. So a copy in upper or lower case, whose
+names can't be told by their written case, is found as well.
+
 The benchmark's windows are kept in each task while they are at most KEPT (a checked bound); beyond it,
 windows of both sides meet in a shuffled hash join.
 
@@ -19,9 +23,12 @@ extra columns are not read. Long texts are read whole.
 from __future__ import annotations
 
 from collections import defaultdict
+from itertools import product
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +67,26 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def templates(raw: np.ndarray, off: np.ndarray):
-    """Template words of many texts: (start, end, template hash, exact hash, slot, first word, count)."""
-    bare = _bare(raw)
-    s, e, h, first, count = doc_words(bare, off, _TABLE)
+class Words(NamedTuple):
+    """Words of many texts: exact (case-folded) hashes, each text's first word and count, and by form the
+    template hashes and which words are slots."""
+
+    h: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    forms: list[tuple[np.ndarray, np.ndarray]]
+
+
+def templates(column, any_case: bool = False) -> Words:
+    """The words of a column of texts, with names as placeholders, and with any_case also as folded words."""
+    raw, off = utf8(column)
+    s, e, h, first, count = doc_words(_bare(raw), off, _TABLE)
     if not len(s):
-        z = np.zeros(0, bool)
-        return s, e, h, h, z, first, count
+        return Words(h, first, count, [(h, np.zeros(0, bool))] * (1 + any_case))
+    if any_case and (raw >= 0x80).any():
+        # Other letters than A-Z; lower case keeps white space and punctuation, and so the words.
+        low, low_off = utf8(pc.utf8_lower(column))
+        h = doc_words(_bare(low), low_off, _TABLE)[2]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     number = digits[e] > digits[s]
     head = raw[s]
@@ -77,16 +97,26 @@ def templates(raw: np.ndarray, off: np.ndarray):
     at = np.searchsorted(_UNITS, h)
     unit[1:] = number[:-1] & (_UNITS[np.minimum(at, len(_UNITS) - 1)] == h)[1:]
     t[name], t[unit], t[number] = NAME, UNIT, NUM
-    return s, e, t, h, number | name | unit, first, count
+    forms = [(t, number | name | unit)]
+    if any_case:
+        t = h.copy()
+        t[unit], t[number] = UNIT, NUM
+        forms.append((t, number | unit))
+    return Words(h, first, count, forms)
 
 
 class Bench:
-    """The benchmark's windows: hash to (item, position), with each item's exact words and slots."""
+    """The benchmark's windows by form: hash to (item, position), with each item's exact words and slots."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        raw, off = utf8(pa.array([t for _, t in rows], pa.large_string()))
-        _, _, t, self.h, self.slot, self.first, self.count = templates(raw, off)
+    def __init__(self, rows: list[tuple[int, str]], any_case: bool = False):
+        words = templates(pa.array([t for _, t in rows], pa.large_string()), any_case)
+        self.any_case, self.h, self.first, self.count = any_case, words.h, words.first, words.count
         self.ids = [i for i, _ in rows]
+        self.slots = [slot for _, slot in words.forms]
+        self.index = [self._index(t) for t, _ in words.forms]
+        self.widths = sorted({int(min(WINDOW, c)) for c in self.count if c >= LEAST})
+
+    def _index(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         H, A, K = [], [], []
         for k, (f, c) in enumerate(zip(self.first, self.count, strict=True)):
             if c < LEAST:
@@ -99,19 +129,19 @@ class Bench:
         cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
         hashes, pos, item = cat(H, U), cat(A, np.int64), cat(K, np.int64)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.pos, self.item = hashes[order], pos[order], item[order]
-        self.widths = sorted({int(min(WINDOW, c)) for c in self.count if c >= LEAST})
+        return hashes[order], pos[order], item[order]
 
-    def hits(self, t: np.ndarray, first: int, count: int, all_windows: dict[int, np.ndarray]):
-        """(text position, item, item position, width) of each shared window of one text."""
+    def hits(self, first: int, count: int, all_windows: list[dict[int, np.ndarray]]):
+        """(text position, item, item position, width, form) of each shared window of one text."""
         out = []
-        for w in self.widths:
-            if count < w:
-                continue
-            x = all_windows[w][first : first + count - w + 1]
-            lo, hi = np.searchsorted(self.hashes, x, "left"), np.searchsorted(self.hashes, x, "right")
-            for i in np.flatnonzero(hi > lo):
-                out += [(int(i), int(self.item[j]), int(self.pos[j]), w) for j in range(lo[i], hi[i]) if min(WINDOW, self.count[self.item[j]]) == w]
+        for form, ((hashes, pos, item), windows) in enumerate(zip(self.index, all_windows, strict=True)):
+            for w in self.widths:
+                if count < w:
+                    continue
+                x = windows[w][first : first + count - w + 1]
+                lo, hi = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
+                for i in np.flatnonzero(hi > lo):
+                    out += [(int(i), int(item[j]), int(pos[j]), w, form) for j in range(lo[i], hi[i]) if min(WINDOW, self.count[item[j]]) == w]
         return out
 
 
@@ -133,9 +163,9 @@ def judge(bench: Bench, h: np.ndarray, first: int, hits) -> list[tuple[int, int,
     Windows are taken diagonal by diagonal (one alignment of item and text), the fullest alignment of
     an item first, as a question stands in a text as one passage.
     """
-    by = defaultdict(lambda: defaultdict(list))
-    for i, item, pos, w in hits:
-        by[item][i - pos].append((i, pos, w))
+    by = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
+    for i, item, pos, w, form in hits:
+        by[item][i - pos][i, pos, w].append(form)
     out = []
     for item, diagonals in by.items():
         best = (0, 0.0, False)
@@ -147,10 +177,10 @@ def judge(bench: Bench, h: np.ndarray, first: int, hits) -> list[tuple[int, int,
             back: dict[int, int] = {}
             covered = np.zeros(int(bench.count[item]), bool)
             good, exact = 0, True
-            for i, pos, w in windows:
+            for (i, pos, w), forms in sorted(windows.items()):
                 a, b = bench.h[f + pos : f + pos + w], h[first + i : first + i + w]
-                slot = bench.slot[f + pos : f + pos + w]
-                if consistent(list(zip(a[slot].tolist(), b[slot].tolist(), strict=True)), there, back):
+                slots = [bench.slots[form][f + pos : f + pos + w] for form in forms]
+                if any(consistent(list(zip(a[x].tolist(), b[x].tolist(), strict=True)), there, back) for x in slots):
                     good += 1
                     exact &= bool((a == b).all())
                     covered[pos : pos + w] = True
@@ -168,19 +198,21 @@ def _batch(b) -> pa.Table:
     return pa.Table.from_batches([b])
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
-    """doc_id, item_id, n_windows, coverage, exact: one row for each document and item that contaminates it."""
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, any_case: bool = False) -> DataFrame:
+    """doc_id, item_id, n_windows, coverage, exact: one row for each document and item that contaminates it.
+
+    any_case: find copies in another case too."""
     small_batches(docs.sparkSession)
     items = benchmark.where("text is not null").select("item_id", "text")
     # A bound on the windows before anything is collected: characters / 2 words at most.
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     if size // 2 > KEPT:
-        return _shuffled(docs, items, coverage)
+        return _shuffled(docs, items, coverage, any_case)
     rows = sorted((r["item_id"], r["text"]) for r in items.collect() if r["item_id"] is not None)
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def work(batches):
-        bench = Bench(shared.value)
+        bench = Bench(shared.value, any_case)
         for b in batches:
             for part in slices(_batch(b)):
                 yield _judged(bench, part, coverage)
@@ -189,22 +221,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> Dat
 
 
 def _judged(bench: Bench, part: pa.Table, coverage: float) -> pa.RecordBatch:
-    raw, off = utf8(part.column("text"))
-    _, _, t, h, _, first, count = templates(raw, off)
-    windows = {w: windows_hash(t, w) for w in bench.widths}
+    _, first, count, forms = words = templates(part.column("text"), bench.any_case)
+    windows = [{w: windows_hash(t, w) for w in bench.widths} for t, _ in forms]
     # Most texts share no window: look at all windows of the slice at once first.
     maybe = np.zeros(len(count), bool)
-    if len(bench.hashes):
-        ends = first + count
-        for w, x in windows.items():
-            at = np.searchsorted(bench.hashes, x)
-            found = np.flatnonzero(bench.hashes[np.minimum(at, len(bench.hashes) - 1)] == x)
+    ends = first + count
+    for (hashes, _, _), by_width in zip(bench.index, windows, strict=True):
+        for w, x in by_width.items():
+            at = np.searchsorted(hashes, x)
+            found = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == x)
             doc = np.searchsorted(ends, found, "right")
             inside = doc < len(count)
             maybe[doc[inside][found[inside] + w <= ends[doc[inside]]]] = True
     out, ids = [], part.column("doc_id").to_pylist()
     for d in np.flatnonzero(maybe):
-        for item, n, share, exact in judge(bench, h, int(first[d]), bench.hits(t, int(first[d]), int(count[d]), windows)):
+        for item, n, share, exact in judge(bench, words.h, int(first[d]), bench.hits(int(first[d]), int(count[d]), windows)):
             if share >= coverage:
                 out.append((ids[d], bench.ids[item], n, share, exact))
     cols = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -212,7 +243,7 @@ def _judged(bench: Bench, part: pa.Table, coverage: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, types, strict=True)], ["doc_id", "item_id", "n_windows", "coverage", "exact"])
 
 
-def _shuffled(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
+def _shuffled(docs: DataFrame, items: DataFrame, coverage: float, any_case: bool) -> DataFrame:
     """The same for a benchmark of any size: window hashes of both sides meet in a hash join, which
     gives (doc_id, item_id) candidates; each candidate's texts are then judged in one task row."""
 
@@ -220,10 +251,9 @@ def _shuffled(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
         def work(batches):
             for b in batches:
                 for part in slices(_batch(b)):
-                    raw, off = utf8(part.column("text"))
-                    _, _, t, _, _, first, count = templates(raw, off)
+                    _, first, count, forms = templates(part.column("text"), any_case)
                     ids, keys, hashes = part.column(key).to_numpy(zero_copy_only=False), [], []
-                    for w in range(LEAST, WINDOW + 1):
+                    for w, (t, _) in product(range(LEAST, WINDOW + 1), forms):
                         x = windows_hash(t, w)
                         for d, (f, c) in enumerate(zip(first, count, strict=True)):
                             if c >= w and (not least_only or min(c, WINDOW) == w):
@@ -243,12 +273,12 @@ def _shuffled(docs: DataFrame, items: DataFrame, coverage: float) -> DataFrame:
             rows = _batch(b)
             for k in range(rows.num_rows):
                 one = rows.slice(k, 1)
-                yield _judged(Bench([(one.column("item_id")[0].as_py(), one.column("item")[0].as_py())]), one, coverage)
+                yield _judged(Bench([(one.column("item_id")[0].as_py(), one.column("item")[0].as_py())], any_case), one, coverage)
 
     return full.select("doc_id", "text", "item_id", "item").mapInArrow(work, MATCHES)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, any_case: bool = False) -> DataFrame:
     """The documents without those that an item contaminates; rows with a null doc_id stay."""
-    found = matches(docs, benchmark, coverage).select("doc_id").distinct()
+    found = matches(docs, benchmark, coverage, any_case).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
