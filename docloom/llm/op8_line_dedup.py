@@ -1,9 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 Method. The first document (least doc_id) with a line owns it. A document is aligned with the owners of
-its rare lines (in at most `rare` distinct texts); one that shares frequent lines only is aligned with
-the owners of those, so that a family of thousands of near copies is not lost. Each pair is aligned by
-patience diff over line hashes, and the aligned blocks are deleted from the later document.
+all its lines, however many texts hold them. Each pair is aligned by patience diff over line hashes, and
+the aligned blocks are deleted from the later document. With `rare`, a document that shares lines of at
+most so many distinct texts is aligned with the owners of those only: cheaper, but not the whole job.
 
 The number of pairs is at most the number of (line, document) rows: every line points to its owner only.
 Exact copies don't take part: each later copy loses all its lines. Only line hashes are moved for pairs.
@@ -83,7 +83,7 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def removals(docs: DataFrame, rare: int = 100, least: int = 8) -> DataFrame:
+def removals(docs: DataFrame, rare: int | None = None, least: int = 8) -> DataFrame:
     """doc_id, KEY, whole, gone: the later documents' aligned lines (indexes), or whole for a copy."""
     text = F.col("text")
     lines = F.split(text, "\n")
@@ -96,10 +96,13 @@ def removals(docs: DataFrame, rare: int = 100, least: int = 8) -> DataFrame:
     reps = cut(first.select(F.col("rep").alias("doc_id"), KEY, "lines"))
     held = reps.select("doc_id", F.explode(F.array_distinct("lines")).alias("line")).where(F.col("line").bitwiseAND(F.lit(1)) == 1)
     owned = held.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df")).where("df > 1")
-    shared = held.join(owned, "line").where("doc_id > owner").select("owner", "doc_id", (F.col("df") <= rare).alias("is_rare"))
-    pairs = shared.groupBy("owner", "doc_id").agg(F.max("is_rare").alias("is_rare"))
-    best = pairs.groupBy("doc_id").agg(F.max("is_rare").alias("any_rare"))
-    pairs = pairs.join(best, "doc_id").where("is_rare or not any_rare").select("owner", "doc_id")
+    shared = held.join(owned, "line").where("doc_id > owner")
+    if rare is None:
+        pairs = shared.select("owner", "doc_id").distinct()
+    else:
+        pairs = shared.groupBy("owner", "doc_id").agg(F.max(F.col("df") <= rare).alias("is_rare"))
+        best = pairs.groupBy("doc_id").agg(F.max("is_rare").alias("any_rare"))
+        pairs = pairs.join(best, "doc_id").where("is_rare or not any_rare").select("owner", "doc_id")
     both = pairs.join(reps.select("doc_id", KEY, "lines"), "doc_id").join(reps.select(F.col("doc_id").alias("owner"), F.col("lines").alias("earlier")), "owner")
 
     def work(batches):
@@ -114,7 +117,7 @@ def removals(docs: DataFrame, rare: int = 100, least: int = 8) -> DataFrame:
     return copies.unionByName(aligned.withColumn("whole", F.lit(False)))
 
 
-def dedup_lines(docs: DataFrame, rare: int = 100, least: int = 8, drop_empty: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int | None = None, least: int = 8, drop_empty: bool = False) -> DataFrame:
     """docs with the aligned lines deleted from text (n_chars follows, if there is such a column), and
     n_lines, n_removed. drop_empty: documents that lose all their lines go."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
