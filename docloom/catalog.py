@@ -332,10 +332,21 @@ SELECT doc_id, min(budget) AS budget, arg_min(chunks, budget)::INT AS chunks FRO
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("number"), t.alias("text"))).alias("pages"))
     p = p.where(F.array_max(F.transform("pages", lambda x: F.length(x["text"]))) <= 4000)
+    return chunk_counts(p)
+
+
+def chunk_counts(p: DataFrame) -> DataFrame:
     p = p.withColumn("budget", chunk.chosen_budget(F.col("pages"), 4000, 4))
     return p.select("doc_id", "budget", chunk.count_chunks(chunk.sizes_of(chunk.pieces(F.col("pages"), F.col("budget"))), F.col("budget")).alias("chunks"))
 
 
+@query()
+def chunk_pages_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, those with lines over the budget and null texts (no pages) too; the SQL of chunk_pages leaves them out."""
+    lines = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
+    return chunk_counts(table(spark, d, "documents").select("doc_id", F.transform(lines, lambda t, i: F.struct((i + 1).alias("number"), t.alias("text"))).alias("pages")))
+
+
 @query()
 def split_oversized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(chunk.split_oversized(F.col("text"), F.lit(700))).alias("pos", "piece")).select("doc_id", "pos", F.length("piece").alias("n"), F.md5(F.col("piece").cast("binary")).alias("digest"))
