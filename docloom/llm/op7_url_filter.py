@@ -3,9 +3,13 @@
 All of it is DataFrame work: no Python runs on the executors.
 
 Method. A path's variable segments (numbers, long hex, long tokens with digits) become wildcards, so that each host has a tree of
-templates. Sibling branches whose labelled outcomes do not differ beyond chance are merged into their
-parent's wildcard branch. A template is rejected if the labelled share of good pages below it, smoothed
-towards its host's share (and that towards the share of all), is under the threshold.
+templates with a level for each segment, down to the longest path. Sibling branches whose labelled outcomes
+do not differ beyond chance are merged into their parent's wildcard branch. A template is rejected if the
+labelled share of good pages below it, smoothed towards its parent's share (and so on, up to its host's and
+the share of all), is under the threshold.
+
+A template's nodes are its prefixes, kept as 128-bit hashes: one explode, one sum for each node and one fold
+along each template's nodes do for any depth. A path of fewer than two segments ends in empty ones.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule, and the verdict
 "allow". Rows that repeat are judged each on its own. Without labels every template is allowed.
@@ -48,6 +52,21 @@ def template_segments(path: Column) -> Column:
     return F.when(wild == "", F.array()).otherwise(F.split(wild, "/"))
 
 
+KEYS = ["k1", "k2"]
+
+
+def node(seg: Column, level: Column) -> tuple[Column, Column]:
+    """The 128-bit key of a template's first segments."""
+    prefix = F.array_join(F.slice(seg, F.lit(1), level), "/")
+    return F.xxhash64(prefix), F.xxhash64(F.lit(7), prefix)
+
+
+def prefixes(templates: DataFrame, *more: str) -> DataFrame:
+    """host, template, level, the node's key: one row for each node of each template."""
+    rows = F.transform(F.sequence(F.lit(1), F.size("seg")), lambda k: F.struct(k.alias("level"), *(h.alias(x) for x, h in zip(("h1", "h2"), node(F.col("seg"), k), strict=True))))
+    return templates.select("host", *KEYS, *more, F.inline(rows))
+
+
 def judge(
     pages: DataFrame,
     labels: DataFrame | None,
@@ -55,48 +74,44 @@ def judge(
     prior: float = 4.0,
     threshold: float = 0.5,
     z: float = 1.64,
-    depth: int = 3,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity.
 
     labels: (page_id, good in 0..1); null or missing labels do not count. prior: pseudo-counts of the
     parent's share. threshold: least purity to allow. z: branches whose share lies within z standard
-    errors of their siblings' share merge. depth: levels of the tree below the host.
+    errors of their parent's share merge into it.
     """
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     seg = template_segments(F.col("path"))
-    p = p.withColumns({"rule": rule, "said": said, "seg": seg})
-    p = p.withColumn("l1", F.coalesce(F.get("seg", F.lit(0)), F.lit("")))
-    p = p.withColumn("l2", F.array_join(F.slice("seg", 2, depth - 1), "/")).drop("seg")
+    p = p.withColumns({"rule": rule, "said": said, "seg": F.concat(seg, F.array_repeat(F.lit(""), F.greatest(2 - F.size(seg), F.lit(0))))})
+    p = p.withColumns({k: h for k, h in zip(KEYS, node(F.col("seg"), F.size("seg")), strict=True)})
     if labels is None:
         known = p.sparkSession.createDataFrame([], "page_id bigint, good double")
     else:
         known = labels.where("page_id is not null and good is not null").groupBy("page_id").agg(F.avg("good").alias("good"))
-    # Partial sums before the shuffle keep a hot host cheap: one row a task for each (host, l1, l2).
-    leaf = p.join(known, "page_id").groupBy("host", "l1", "l2").agg(F.sum(F.lit(1.0)).alias("n"), F.sum("good").alias("g"))
-    branch = leaf.groupBy("host", "l1").agg(F.sum("n").alias("n1"), F.sum("g").alias("g1"))
-    host = branch.groupBy("host").agg(F.sum("n1").alias("nh"), F.sum("g1").alias("gh"))
+    # Partial sums before the shuffle keep a hot host cheap: one row a task for each template.
+    leaf = p.join(known, "page_id").groupBy("host", *KEYS).agg(F.first("seg").alias("seg"), F.sum(F.lit(1.0)).alias("n"), F.sum("good").alias("g"))
+    nodes = prefixes(leaf, "n", "g").groupBy("host", "level", "h1", "h2").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+    host = leaf.groupBy("host").agg(F.sum("n").alias("nh"), F.sum("g").alias("gh"))
     # The share of all labelled pages: a scalar subquery of one value.
     base = F.coalesce(host.agg(F.try_divide(F.sum("gh"), F.sum("nh"))).scalar(), F.lit(1.0))
-    share_h = (F.col("gh") + prior * base) / (F.col("nh") + prior)
-    host = host.select("host", "nh", "gh", share_h.alias("sh"))
-    branch = branch.join(host, "host")
-    differs = lambda g, n, s: F.abs(g / n - s) > z * F.sqrt(s * (1 - s) / n)
-    branch = branch.withColumn("own1", differs(F.col("g1"), F.col("n1"), F.col("sh")))
-    branch = branch.withColumn("s1", F.when(F.col("own1"), (F.col("g1") + prior * F.col("sh")) / (F.col("n1") + prior)).otherwise(F.col("sh")))
-    leaf = leaf.join(branch.select("host", "l1", "s1"), ["host", "l1"])
-    leaf = leaf.where(differs(F.col("g"), F.col("n"), F.col("s1")))
-    leaf = leaf.select("host", "l1", "l2", ((F.col("g") + prior * F.col("s1")) / (F.col("n") + prior)).alias("s2"))
-    tree = p.select("host", "l1", "l2").distinct()
-    tree = tree.join(host.select("host", "sh"), "host", "left")
-    tree = tree.join(branch.select("host", "l1", "s1", "own1"), ["host", "l1"], "left").join(leaf, ["host", "l1", "l2"], "left")
-    # Hosts without labels fall back to the share of all labelled pages.
-    tree = tree.select(
-        "host", "l1", "l2",
-        F.coalesce("s2", "s1", "sh", base).alias("purity"),
-        F.when(F.col("s2").isNotNull(), F.concat_ws("/", F.lit(""), "l1", "l2")).when(F.col("own1"), F.concat(F.lit("/"), "l1", F.lit("/**"))).otherwise("/**").alias("template"),
-    )
-    out = p.join(tree, ["host", "l1", "l2"], "left")
+    host = host.select("host", ((F.col("gh") + prior * base) / (F.col("nh") + prior)).alias("sh"))
+    tree = prefixes(p.groupBy("host", *KEYS).agg(F.first("seg").alias("seg")))
+    # Nodes without labels change nothing: a template whose first node has none falls back to its host.
+    tree = tree.join(nodes, ["host", "level", "h1", "h2"]).groupBy("host", *KEYS).agg(F.sort_array(F.collect_list(F.struct("level", "n", "g"))).alias("nodes"))
+
+    def down(s, x):
+        own = F.abs(x["g"] / x["n"] - s["share"]) > z * F.sqrt(s["share"] * (1 - s["share"]) / x["n"])
+        share = F.when(own, (x["g"] + prior * s["share"]) / (x["n"] + prior)).otherwise(s["share"])
+        return F.struct(share.alias("share"), F.when(own, x["level"]).otherwise(s["own"]).alias("own"))
+
+    tree = tree.join(host, "host").select("host", *KEYS, F.aggregate("nodes", F.struct(F.col("sh").alias("share"), F.lit(0).alias("own")), down).alias("found"))
+    # A host's pages without labelled nodes have its share; hosts without labels that of all labelled pages.
+    out = p.join(tree, ["host", *KEYS], "left").join(host, "host", "left")
+    own = F.coalesce("found.own", F.lit(0))
+    template = F.concat(F.lit("/"), F.array_join(F.slice("seg", F.lit(1), own), "/"))
+    template = F.when(own == 0, "/**").when(own == F.size("seg"), template).otherwise(F.concat(template, F.lit("/**")))
+    out = out.withColumns({"purity": F.coalesce("found.share", "sh", base), "template": template})
     verdict = F.coalesce("said", F.when(F.col("purity") < threshold, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", F.round("purity", 9).alias("purity"))
