@@ -9,6 +9,10 @@ windows count; a document is contaminated by an item if consistent windows cover
 of the item's words. So a re-parameterised question (other numbers, other names) is caught, while a
 text that only shares a template with shuffled values is not.
 
+A slot may change its number of words: windows also meet with a number and its separators, and a run of
+names, as one placeholder each. Windows of alignments close to that with the most windows (by half of the
+item's words, or WINDOW) count together if they keep the item's order.
+
 With any_case (as the queries have it) windows also meet as case-folded words, in which only numbers and
 units are placeholders; a window counts if either form matches. So a copy in upper or lower case, whose
 names can't be told by their written case, is found as well.
@@ -22,6 +26,7 @@ extra columns are not read. Long texts are read whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from itertools import product
 from typing import NamedTuple
@@ -32,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_table, doc_words, mix, slices, small_batches, utf8, windows_hash
+from .common import SPACE, U, byte_table, doc_words, mix, prefix_sums, slices, small_batches, spans_hash, utf8, windows_hash
 
 WINDOW, LEAST, KEPT = 8, 5, 2_000_000
 #: Units that become a placeholder after a number.
@@ -42,6 +47,11 @@ _TABLE = byte_table(fold_case=True, seed=29)
 #: Punctuation is no part of a template word; it separates nothing that white space doesn't.
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: Within a number; and what ends a run of names.
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b".,'/:")] = True
+_BREAK = ~SPACE
+_BREAK[list(b"-'")] = False
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 NUM, NAME, UNIT = (mix(np.array([k], U))[0] for k in (101, 102, 103))
@@ -67,14 +77,34 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
+class Form(NamedTuple):
+    """Template hashes, slots (and which are names), each token's first word and words, and each text's first token and count."""
+
+    t: np.ndarray
+    slot: np.ndarray
+    name: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+
+
 class Words(NamedTuple):
-    """Words of many texts: exact (case-folded) hashes, each text's first word and count, and by form the
-    template hashes and which words are slots."""
+    """Words of many texts: exact (case-folded) hashes, values (a number's words have that of the whole
+    number), each text's first word and count, and the forms."""
 
     h: np.ndarray
+    value: np.ndarray
     first: np.ndarray
     count: np.ndarray
-    forms: list[tuple[np.ndarray, np.ndarray]]
+    forms: list[Form]
+
+
+def _joined(t, slot, name, join, first, count) -> Form:
+    """Words as tokens; join tells whether a word belongs to the token of the word before it."""
+    at = np.flatnonzero(~join)
+    start = np.searchsorted(at, first)
+    return Form(t[at], slot[at], name[at], at, np.diff(np.append(at, len(t))), start, np.searchsorted(at, first + count) - start)
 
 
 def templates(column, any_case: bool = False) -> Words:
@@ -82,7 +112,8 @@ def templates(column, any_case: bool = False) -> Words:
     raw, off = utf8(column)
     s, e, h, first, count = doc_words(_bare(raw), off, _TABLE)
     if not len(s):
-        return Words(h, first, count, [(h, np.zeros(0, bool))] * (1 + any_case))
+        z = np.zeros(0, bool)
+        return Words(h, h, first, count, [_joined(h, z, z, z, first, count)] * (4 if any_case else 2))
     if any_case and (raw >= 0x80).any():
         # Other letters than A-Z; lower case keeps white space and punctuation, and so the words.
         low, low_off = utf8(pc.utf8_lower(column))
@@ -97,12 +128,24 @@ def templates(column, any_case: bool = False) -> Words:
     at = np.searchsorted(_UNITS, h)
     unit[1:] = number[:-1] & (_UNITS[np.minimum(at, len(_UNITS) - 1)] == h)[1:]
     t[name], t[unit], t[number] = NAME, UNIT, NUM
-    forms = [(t, number | name | unit)]
+    name &= ~(number | unit)
+    inside = np.ones(len(s), bool)
+    inside[first[first < len(s)]] = False
+    numbers, names, apart = np.zeros((3, len(s)), bool)
+    numbers[1:] = number[1:] & number[:-1] & (s[1:] == e[:-1] + 1) & _SEPARATOR[raw[e[:-1]]]
+    numbers &= inside
+    solid, ends = (np.concatenate([[0], np.cumsum(x)]) for x in (_BREAK[raw], raw == 0x0A))
+    names[1:] = name[1:] & name[:-1] & (solid[s[1:]] == solid[e[:-1]]) & (ends[s[1:]] - ends[e[:-1]] < 2)
+    names &= inside
+    at = np.flatnonzero(~numbers)
+    n = np.diff(np.append(at, len(s)))
+    value = np.repeat(np.where(n > 1, spans_hash(prefix_sums(h), at, at + n), h[at]), n)
+    forms = [_joined(t, number | name | unit, name, x, first, count) for x in (apart, numbers | names)]
     if any_case:
         t = h.copy()
         t[unit], t[number] = UNIT, NUM
-        forms.append((t, number | unit))
-    return Words(h, first, count, forms)
+        forms += [_joined(t, number | unit, apart, x, first, count) for x in (apart, numbers)]
+    return Words(h, value, first, count, forms)
 
 
 class Bench:
@@ -110,38 +153,38 @@ class Bench:
 
     def __init__(self, rows: list[tuple[int, str]], any_case: bool = False):
         words = templates(pa.array([t for _, t in rows], pa.large_string()), any_case)
-        self.any_case, self.h, self.first, self.count = any_case, words.h, words.first, words.count
+        self.any_case, self.words = any_case, words
         self.ids = [i for i, _ in rows]
-        self.slots = [slot for _, slot in words.forms]
-        self.index = [self._index(t) for t, _ in words.forms]
-        self.widths = sorted({int(min(WINDOW, c)) for c in self.count if c >= LEAST})
+        self.index = [self._index(form) for form in words.forms]
+        self.widths = [sorted({int(min(WINDOW, c)) for c in form.count if c >= LEAST}) for form in words.forms]
 
-    def _index(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _index(self, form: Form) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         H, A, K = [], [], []
-        for k, (f, c) in enumerate(zip(self.first, self.count, strict=True)):
+        for k, (f, c) in enumerate(zip(form.first, form.count, strict=True)):
             if c < LEAST:
                 continue
             w = min(WINDOW, int(c))
-            x = windows_hash(t[f : f + c], w)
+            x = windows_hash(form.t[f : f + c], w)
             H.append(x)
-            A.append(np.arange(len(x)))
+            A.append(f + np.arange(len(x)))
             K.append(np.full(len(x), k))
         cat = lambda x, d: np.concatenate(x) if x else np.zeros(0, d)
-        hashes, pos, item = cat(H, U), cat(A, np.int64), cat(K, np.int64)
+        hashes, token, item = cat(H, U), cat(A, np.int64), cat(K, np.int64)
         order = np.argsort(hashes, kind="stable")
-        return hashes[order], pos[order], item[order]
+        return hashes[order], token[order], item[order]
 
-    def hits(self, first: int, count: int, all_windows: list[dict[int, np.ndarray]]):
-        """(text position, item, item position, width, form) of each shared window of one text."""
+    def hits(self, words: Words, d: int, all_windows: list[dict[int, np.ndarray]]):
+        """(token of the text, item, token of the item, width, form) of each shared window of text d."""
         out = []
-        for form, ((hashes, pos, item), windows) in enumerate(zip(self.index, all_windows, strict=True)):
-            for w in self.widths:
+        for k, ((hashes, token, item), windows) in enumerate(zip(self.index, all_windows, strict=True)):
+            first, count = int(words.forms[k].first[d]), int(words.forms[k].count[d])
+            for w in self.widths[k]:
                 if count < w:
                     continue
                 x = windows[w][first : first + count - w + 1]
                 lo, hi = np.searchsorted(hashes, x, "left"), np.searchsorted(hashes, x, "right")
                 for i in np.flatnonzero(hi > lo):
-                    out += [(int(i), int(item[j]), int(pos[j]), w, form) for j in range(lo[i], hi[i]) if min(WINDOW, self.count[item[j]]) == w]
+                    out += [(first + int(i), int(item[j]), int(token[j]), w, k) for j in range(lo[i], hi[i]) if min(WINDOW, self.words.forms[k].count[item[j]]) == w]
         return out
 
 
@@ -157,35 +200,72 @@ def consistent(pairs: list[tuple[int, int]], there: dict[int, int], back: dict[i
     return True
 
 
-def judge(bench: Bench, h: np.ndarray, first: int, hits) -> list[tuple[int, int, float, bool]]:
+def slot_pairs(a: Words, b: Words, x: Form, y: Form, i: int, j: int, w: int, head: int, tail: int) -> list:
+    """The slots' values of an item's window (tokens from i on) and a text's (from j on). A run of names at
+    the item's first or last word (head, tail) may go on in the text beyond the item."""
+    out = []
+    for k in np.flatnonzero(x.slot[i : i + w]):
+        p, q, n, m = int(x.at[i + k]), int(y.at[j + k]), int(x.n[i + k]), int(y.n[j + k])
+        if not x.name[i + k]:
+            out.append((int(a.value[p]), int(b.value[q])))
+            continue
+        if m > n and p == head:
+            q, m = q + m - n, n
+        elif m > n and p + n == tail:
+            m = n
+        u, v = a.h[p : p + n].tolist(), b.h[q : q + m].tolist()
+        out += zip(u, v, strict=True) if n == m else [(tuple(u) if n > 1 else u[0], tuple(v) if m > 1 else v[0])]
+    return out
+
+
+def judge(bench: Bench, words: Words, hits) -> list[tuple[int, int, float, bool]]:
     """(item, consistent windows, share of the item's words covered, exact) for each item hit.
 
     Windows are taken diagonal by diagonal (one alignment of item and text), the fullest alignment of
-    an item first, as a question stands in a text as one passage.
+    an item first, and then those close to it, as a question stands in a text as one passage.
     """
     by = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-    for i, item, pos, w, form in hits:
-        by[item][i - pos][i, pos, w].append(form)
+    own = bench.words
+    for j, item, i, w, k in hits:
+        x, y = own.forms[k], words.forms[k]
+        p, q = int(x.at[i]), int(y.at[j])
+        if p == own.first[item] and x.name[i]:
+            q += max(0, int(y.n[j]) - int(x.n[i]))
+        by[item][q - p][p, q].append((k, i, j, w))
     out = []
     for item, diagonals in by.items():
-        best = (0, 0.0, False)
-        f = int(bench.first[item])
-        for d, windows in sorted(diagonals.items(), key=lambda x: -len(x[1])):
-            if len(windows) <= best[0]:
-                break
-            there: dict[int, int] = {}
-            back: dict[int, int] = {}
-            covered = np.zeros(int(bench.count[item]), bool)
-            good, exact = 0, True
-            for (i, pos, w), forms in sorted(windows.items()):
-                a, b = bench.h[f + pos : f + pos + w], h[first + i : first + i + w]
-                slots = [bench.slots[form][f + pos : f + pos + w] for form in forms]
-                if any(consistent(list(zip(a[x].tolist(), b[x].tolist(), strict=True)), there, back) for x in slots):
-                    good += 1
-                    exact &= bool((a == b).all())
-                    covered[pos : pos + w] = True
-            if good > best[0]:
-                best = (good, float(covered.mean()), exact)
+        best, seen = (0, 0.0, False), set()
+        f, n = int(own.first[item]), int(own.count[item])
+        near, order = max(WINDOW, n // 2), sorted(diagonals)
+        for d in sorted(diagonals, key=lambda x: -len(diagonals[x])):
+            if d in seen and len(diagonals[d]) <= best[0]:
+                continue
+            close = order[bisect_left(order, d - near) : bisect_right(order, d + near)]
+            seen.update(close)
+            there: dict = {}
+            back: dict = {}
+            covered = np.zeros(n, bool)
+            taken: list[tuple[int, int]] = []
+            used, exact = set(), True
+            for c in sorted(close, key=lambda x: abs(x - d)):
+                for (p, q), windows in sorted(diagonals[c].items()):
+                    at = bisect_left(taken, (p, q))
+                    again = at < len(taken) and taken[at] == (p, q)
+                    if not again and ((at and (taken[at - 1][0] == p or taken[at - 1][1] >= q)) or (at < len(taken) and (taken[at][0] == p or taken[at][1] <= q))):
+                        continue
+                    fits = False
+                    for k, i, j, w in windows:
+                        x = own.forms[k]
+                        pairs = slot_pairs(own, words, x, words.forms[k], i, j, w, f, f + n)
+                        if consistent(pairs, there, back):
+                            fits = True
+                            exact &= all(u == v for u, v in pairs)
+                            covered[p - f : int(x.at[i + w - 1] + x.n[i + w - 1]) - f] = True
+                    if fits:
+                        taken.insert(at, (p, q))
+                        used.add(c)
+            if len(taken) > best[0]:
+                best = (len(taken), float(covered.mean()), exact and len(used) == 1)
         if best[0]:
             out.append((item, *best))
     return out
@@ -221,21 +301,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, any_ca
 
 
 def _judged(bench: Bench, part: pa.Table, coverage: float) -> pa.RecordBatch:
-    _, first, count, forms = words = templates(part.column("text"), bench.any_case)
-    windows = [{w: windows_hash(t, w) for w in bench.widths} for t, _ in forms]
+    words = templates(part.column("text"), bench.any_case)
+    windows = [{w: windows_hash(form.t, w) for w in widths} for form, widths in zip(words.forms, bench.widths, strict=True)]
     # Most texts share no window: look at all windows of the slice at once first.
-    maybe = np.zeros(len(count), bool)
-    ends = first + count
-    for (hashes, _, _), by_width in zip(bench.index, windows, strict=True):
+    maybe = np.zeros(len(words.count), bool)
+    for (hashes, _, _), form, by_width in zip(bench.index, words.forms, windows, strict=True):
+        ends = form.first + form.count
         for w, x in by_width.items():
             at = np.searchsorted(hashes, x)
             found = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == x)
             doc = np.searchsorted(ends, found, "right")
-            inside = doc < len(count)
+            inside = doc < len(ends)
             maybe[doc[inside][found[inside] + w <= ends[doc[inside]]]] = True
     out, ids = [], part.column("doc_id").to_pylist()
     for d in np.flatnonzero(maybe):
-        for item, n, share, exact in judge(bench, words.h, int(first[d]), bench.hits(int(first[d]), int(count[d]), windows)):
+        for item, n, share, exact in judge(bench, words, bench.hits(words, int(d), windows)):
             if share >= coverage:
                 out.append((ids[d], bench.ids[item], n, share, exact))
     cols = list(zip(*out, strict=True)) if out else [[]] * 5
@@ -251,11 +331,11 @@ def _shuffled(docs: DataFrame, items: DataFrame, coverage: float, any_case: bool
         def work(batches):
             for b in batches:
                 for part in slices(_batch(b)):
-                    _, first, count, forms = templates(part.column("text"), any_case)
+                    forms = templates(part.column("text"), any_case).forms
                     ids, keys, hashes = part.column(key).to_numpy(zero_copy_only=False), [], []
-                    for w, (t, _) in product(range(LEAST, WINDOW + 1), forms):
-                        x = windows_hash(t, w)
-                        for d, (f, c) in enumerate(zip(first, count, strict=True)):
+                    for w, form in product(range(LEAST, WINDOW + 1), forms):
+                        x = windows_hash(form.t, w)
+                        for d, (f, c) in enumerate(zip(form.first, form.count, strict=True)):
                             if c >= w and (not least_only or min(c, WINDOW) == w):
                                 hashes.append(np.unique(x[f : f + c - w + 1]))
                                 keys.append(np.full(len(hashes[-1]), ids[d]))
