@@ -6,7 +6,6 @@ unbounded tables to the driver.
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 import numpy as np
@@ -15,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U = np.uint64
-BLOCK = 1 << 20
+BLOCK = (1 << 17) - 8  # with what is added to it, under a power of two
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 _WORD = U(0xD1342543DE82EF95)
@@ -45,17 +44,19 @@ def byte_table(fold_case: bool = False, seed: int = 11) -> np.ndarray:
     return t
 
 
-@functools.lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=U)
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept by the next power of two."""
-    return _powers(int(base), 1 << max(12, int(n - 1).bit_length()))[:n]
+    """base**0 .. base**(n-1) modulo 2**64. One array for each base is kept, as long as any has asked for."""
+    held = _powers.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(1 << max(12, int(n - 1).bit_length()), base, U)
+        held[0] = 1
+        with np.errstate(over="ignore"):
+            np.cumprod(held, dtype=U, out=held)
+        _powers[int(base)] = held
+    return held[:n]
 
 
 def prefix_sums(values: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
@@ -136,7 +137,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(table, column: str = "text", size: int = 2 * BLOCK):
+def slices(table, column: str = "text", size: int = 1 << 20):
     """Row ranges of about size bytes of the column each; a longer text is alone."""
     if table.num_rows == 0:
         return
@@ -221,20 +222,30 @@ def partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that links reach. Large-star and small-star rounds.
 
-    Each round is two shuffles of the links; the number of rounds grows with the logarithm of a
-    component's size, and each round's links are cut to the shared folder. A node with very many links
-    is spread by a two-level minimum, as partial aggregation does that before each shuffle.
+    The number of rounds grows with the logarithm of a component's size, and each round's links are cut to
+    the shared folder. Minima are combined before their shuffle and cut, so that the join of a node with very
+    many links is one of two plain tables, which adaptive execution can split. The rounds end when a round
+    leaves the links as they are: their number and two sums of their hashes.
     """
+
+    def state(e: DataFrame):
+        hashes = (F.sum(F.xxhash64("u", "v", F.lit(k)) % (1 << 40)) for k in (1, 2))
+        return tuple(e.agg(F.count("*"), *hashes).first())
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut(e)
-    while True:
+    was = state(e)
+    while was[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = cut(small.where("u <> v").distinct())
-        done = e.exceptAll(new).isEmpty() and new.exceptAll(e).isEmpty()
-        e = new
-        if done:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        small = large.join(low, "u")
+        end = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
+        small = small.select(end.alias("u"), F.col("m").alias("v"))
+        e = cut(small.where("u <> v").distinct())
+        now = state(e)
+        if now == was:
+            break
+        was = now
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

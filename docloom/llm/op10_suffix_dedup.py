@@ -25,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BLOCK, U, byte_table, prefix_sums, spans_hash, utf8
+from .common import U, byte_table, prefix_sums, spans_hash, utf8
 from .exchange import BLOBS, REPLY, Short, blob_rows, bodies, replies_of, reply_rows, shared_bits, sized_chunks
 
 SPAN, GRAM, HOT, PARTS = 50, 20, 512, 8
+BLOCK = (1 << 19) - 256
 _TABLE = byte_table(seed=17)
 _LOW = U((1 << 21) - 1)
 

@@ -14,16 +14,21 @@ Method, step by step:
  4. The token-group matrix has a row for each token and the groups whose union of prefixes has it. A
     class's overlap c with another group's union bounds its overlap with every member S: of the tokens
     up to the end of the prefix that ends first, all are in both prefixes, so |Q & S| is at most c plus
-    the longer rest. Only groups where that can reach 3/7 (|Q| + |S|) for a size of theirs qualify, and
-    only these are opened and verified member by member. Within a group nothing more is verified: its
-    members are one component already.
+    the longer rest. Only groups where that can reach 3/7 (|Q| + |S|) for a size of theirs qualify; these
+    open: Q is compared with the leader L.
+ 5. If L itself does not link, |Q & S| is at most min(|Q & L|, |S & L|) plus what Q and S share outside
+    of L. Only members that this allows are verified: they meet by tokens outside of L, or by sizes
+    so small that L's part is enough. Within a component nothing more is verified.
 
-So a family of m near copies costs m verifications against its leaders, not m * m. No frequent token is
-collected: those known as frequent are rows that Spark aggregates, others have a bounded frequency.
+So a family of m near copies costs m verifications against its leaders, and an outlier of it only those
+members that share its own edits. No frequent token is collected: those known as frequent are rows that
+Spark aggregates, others have a bounded frequency.
 
 Defined results: a null or empty text has no shingle (n_shingles 0) and is its own component; a row with
 a null doc_id links with nothing and has a null component_id; rows with one doc_id are one document (its
-component holds what any of its texts link to). Texts with fewer than five words are one shingle.
+component holds what any of its texts link to). Texts with fewer than five words are one shingle. Very long
+texts are read whole. An empty table gives no rows. Extra columns are not read by jaccard_components, and
+keep_one returns them as they are.
 """
 
 from __future__ import annotations
@@ -32,14 +37,14 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, byte_table, components, cut, discard, doc_words, mix, shingles, slices, small_batches, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
 FLUSH, HEAVY, FREQUENT, LEAD = 1 << 20, 16, 500_000, 0.25
-BITS = 1 << 23
+BITS, SALTS = 1 << 23, 16
 _TABLE = byte_table(fold_case=True, seed=3)
 
 
@@ -284,29 +289,41 @@ def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "doc_id")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b) doc_ids of the pairs (x, y: class keys) that link. Leaders are x: their text is joined
-    first, and the rows are then dealt by the other side."""
+COMPARED = "a bigint, x bigint, b bigint, y bigint, n_a bigint, n bigint, common bigint, rest array<bigint>"
+
+
+def compared(docs: DataFrame, pairs: DataFrame, classes: DataFrame, rest: bool = False) -> DataFrame:
+    """Pairs (x, y: class keys) with what their whole sets share: a, x, b, y, n_a, n, common, and y's tokens
+    that x doesn't have (if rest; else null).
+
+    Leaders are x: their text is joined first, salted by the other side (a leader may have a third of
+    all classes), and the rows are then dealt by the other side.
+    """
     reps = classes.select("k1", "rep")
-    p = pairs.join(reps.select(F.col("k1").alias("x"), F.col("rep").alias("a")), "x").join(reps.select(F.col("k1").alias("y"), F.col("rep").alias("b")), "y")
-    p = cut(p.select("a", "x", "b", "y"))
-    texts = some_texts(docs, p.select(F.col("a").alias("doc_id")).unionAll(p.select(F.col("b").alias("doc_id"))).distinct())
-    both = p.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    left = reps.select(F.col("k1").alias("x"), F.col("rep").alias("a"))
+    right = reps.select(F.col("k1").alias("y"), F.col("rep").alias("b"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
+    p = cut(pairs.join(left, "x").join(right, "y").select("a", "x", "b", "y", salt))
+    asked = p.select(F.col("a").alias("doc_id"), "salt").unionAll(p.select(F.col("b").alias("doc_id"), F.lit(-1))).distinct()
+    texts = some_texts(docs, asked)
+    of_a = texts.where("salt >= 0").select(F.col("doc_id").alias("a"), "salt", F.col("text").alias("ta"))
+    of_b = texts.where("salt < 0").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    both = p.join(of_a, ["a", "salt"]).join(of_b, "b")
 
     def work(batches):
-        known: OrderedDict[int, np.ndarray] = OrderedDict()
+        known: OrderedDict[tuple[int, int], np.ndarray | None] = OrderedDict()
 
-        def tokens(k: list[int], column: pa.Array) -> list[np.ndarray]:
-            fresh = [i for i, x in enumerate(k) if x not in known]
-            fresh = list({k[i]: i for i in fresh}.values())
+        def tokens(part: pa.Table, key: str, text: str) -> list[np.ndarray | None]:
+            """Each row's tokens; None if the text is another one of a repeated doc_id."""
+            which = list(zip(part.column(key).to_pylist(), part.column(f"h{text}").to_pylist(), strict=True))
+            fresh = {w: i for i, w in enumerate(which) if w not in known}
             got = {}
             if fresh:
-                for i, s in zip(fresh, sets(pa.table({"text": column.take(pa.array(fresh))})), strict=True):
-                    got[k[i]] = s if len(s) and keys(s)[0] == k[i] else None  # of a repeated doc_id, another text
-            out = [got.get(x, known.get(x)) for x in k]
-            for x, s in got.items():
-                if s is not None and len(s) < 4096:
-                    known[x] = s
+                column = part.column(f"t{text}").take(pa.array(list(fresh.values())))
+                for w, s in zip(fresh, sets(pa.table({"text": column})), strict=True):
+                    got[w] = s if len(s) and keys(s)[0] == w[0] else None
+            out = [got[w] if w in got else known[w] for w in which]
+            known.update((w, s) for w, s in got.items() if s is None or len(s) < 4096)
             while len(known) > 256:
                 known.popitem(last=False)
             return out
@@ -314,19 +331,128 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame
         for b in batches:
             for part in slices(pa.Table.from_batches([b]), "tb"):
                 part = part.combine_chunks()
-                A = tokens(part.column("x").to_pylist(), part.column("ta").chunk(0))
-                B = tokens(part.column("y").to_pylist(), part.column("tb").chunk(0))
-                keep = []
-                for s, t in zip(A, B, strict=True):
-                    if s is None or t is None:
-                        keep.append(False)
-                        continue
-                    m = np.sort(np.concatenate([s, t]))
-                    both = int((m[1:] == m[:-1]).sum())
-                    keep.append(DEN * both >= NUM * (len(s) + len(t) - both))
-                yield from part.select(["a", "b"]).filter(pa.array(keep, pa.bool_())).to_batches()
-
-    return both.select("a", "x", "b", "y", "ta", "tb").mapInArrow(work, "a bigint, b bigint")
+                A, B = tokens(part, "x", "a"), tokens(part, "y", "b")
+                found = []
+                for i, (s, t) in enumerate(zip(A, B, strict=True)):
+                    if s is not None and t is not None:
+                        own = s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t
+                        found.append((i, len(s), len(t), len(t) - int(own.sum()), t[own].view(np.int64) if rest else None))
+                row, *numbers, more = zip(*found, strict=True) if found else ([], [], [], [], [])
+                same = part.select(["a", "x", "b", "y"]).take(pa.array(row, pa.int64()))
+                columns = [c.combine_chunks() for c in same.columns] + [pa.array(x, pa.int64()) for x in numbers]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(more, pa.list_(pa.int64()))], names=_COMPARED)
+
+    hashes = (F.xxhash64(t).alias(h) for t, h in (("ta", "ha"), ("tb", "hb")))
+    return both.select("a", "x", "b", "y", "ta", "tb", *hashes).mapInArrow(work, COMPARED)
+
+
+_COMPARED = [c.split()[0] for c in COMPARED.split(", ")]
+#: Whether a compared pair links.
+LINKED = f"{DEN} * common >= {NUM} * (n_a + n - common)"
+
+
+def seg_of(n: Column) -> Column:
+    """segment() as a column."""
+    return F.floor(F.log(n) / F.log(F.lit(DEN / NUM)) + 1e-9).alias("seg")
+
+
+def prefix_of(n: Column) -> Column:
+    """How many tokens a class of n sends."""
+    return n - F.ceil(n * NUM / DEN) + F.greatest(F.lit(1), F.floor(n / 20))
+
+
+def least_overlap(n: Column, m: Column) -> Column:
+    """ceil(3/7 (n + m)): what sets of these sizes must share to link."""
+    return F.ceil((n + m) * NUM / (NUM + DEN))
+
+
+def leader_pairs(posted: DataFrame, often: DataFrame) -> DataFrame:
+    """(x, y): a class y and a leader x that holds LEAD of y's prefix.
+
+    The leader of frequent tokens is a family's hub: the class whose prefix tokens are frequent on average, as
+    an edited copy has rare tokens of its own. All of a family's tokens then name the same leader.
+    """
+    df = often.groupBy("token").agg(F.count("*").alias("df"))  # at most FREQUENT rows
+    weight = often.join(F.broadcast(df), "token").groupBy("k", "n").agg(F.sum("df").alias("w"))
+    hub = weight.select("k", (F.col("w") / prefix_of(F.col("n"))).alias("w"))
+    lead = often.join(hub, "k").groupBy("token", seg_of(F.col("n"))).agg(F.max(F.struct("w", "k")).alias("lead"))
+    starred = often.withColumn("seg", seg_of(F.col("n"))).join(cut(lead), ["token", "seg"])
+    starred = starred.select(F.col("lead.k").alias("x"), F.col("k").alias("y"), "n", F.lit(1).alias("c")).where("x <> y")
+    pairs = posted.where("pair").select("x", "y", "n", "c").unionAll(starred)
+    pairs = pairs.groupBy("x", "y", "n").agg(F.sum("c").alias("c"))
+    return pairs.where(F.col("c") >= LEAD * prefix_of(F.col("n"))).select("x", "y")
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """(x, y, n, common, rest): each linked class y in the group of one leader x, the one with most links
+    of those it has. A leader that keeps a group is not in another's."""
+    degree = cut(links.groupBy("x").agg(F.count("*").alias("d")))
+    chosen = cut(links.select("x", "y").join(degree, "x").groupBy("y").agg(F.max(F.struct("d", "x"))["x"].alias("x")))
+    leaders = chosen.select(F.col("x").alias("y")).distinct()
+    return links.join(chosen.join(leaders, "y", "left_anti"), ["x", "y"]).select("x", "y", "n", "common", "rest")
+
+
+def opened_groups(rare: DataFrame, often: DataFrame, named: DataFrame) -> DataFrame:
+    """(x, y): the leaders of the groups that the token-group matrix opens for a class y of another component.
+
+    named: k, g (its component), h (its group's leader). Tokens that no other class has are counted for each
+    class: at most `most` = n - (those) of its tokens can be in another set.
+    """
+    every = rare.unionAll(often).join(named.select("k", "g"), "k")
+    spread = every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+    known = often.select("token").distinct().withColumn("hot", F.lit(True))
+    spread = cut(spread.join(known, "token", "left"))
+    hot = F.broadcast(spread.where("hot").select("token"))  # at most FREQUENT rows
+    met = rare.join(spread.where("hot is null").select("token"), "token")
+    met = met.unionAll(often.join(hot, "token").select("token", "k", "n"))
+    # Two are allowed for tokens of one class with one short form.
+    counts = rare.unionAll(often).groupBy("k", "n").agg(F.count("*").alias("c"))
+    most = counts.select("k", (F.col("n") - prefix_of(F.col("n")) + F.col("c") + 2).alias("most"))
+    most = most.where(F.col("most") >= F.ceil(F.col("n") * NUM / DEN))  # else it links with none
+    mixed = cut(met.join(named, "k").join(most, "k"))
+    members = mixed.select("g", "h", "k", "n").distinct()
+    groups = cut(members.groupBy("g", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")))
+    size = cut(groups.groupBy("g").agg(F.sum("m").alias("m")))
+    groups = cut(groups.drop("m").join(size, "g"))
+    sized = cut(mixed.drop("g").join(groups, "h"))
+    other = {"h": "x", "g": "other", "m": "om", "lo": "olo", "hi": "ohi"}
+    matrix = sized.select("token", *[F.col(c).alias(o) for c, o in other.items()]).distinct()
+    # The smaller component asks the larger one, so that a large family does not ask each of its outliers.
+    asks = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("g") < F.col("other")))
+    n = F.col("n")
+    lo, hi = F.greatest("olo", F.ceil(n * NUM / DEN)), F.least("ohi", F.floor(n * DEN / NUM))
+    able = (lo <= hi) & (F.col("most") >= least_overlap(n, lo))
+    overlap = sized.join(matrix, "token").where(asks & able)
+    overlap = overlap.groupBy("k", "n", "x", "olo", "ohi").agg(F.count("*").alias("c"))
+    # The bound is within one of its least at an end of the sizes that can link; one more for short forms.
+    rest = lambda n: F.ceil(n * NUM / DEN) - F.greatest(F.lit(1), F.floor(n / 20))
+    least = lambda m: least_overlap(n, m) - F.greatest(rest(n), rest(m)) - 2
+    return overlap.where(F.col("c") >= F.least(least(lo), least(hi))).select("x", F.col("k").alias("y"))
+
+
+def opened_members(asked: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y): members x of the groups that opened for a class y, but did not link with the leader L.
+
+    With what both share with L known, |Q & S| is at most min(|Q & L|, |S & L|) plus what the two have in
+    common outside of L. So a pair must share tokens outside of L - a join over those tokens alone - or be
+    so much smaller than L that what L gives is enough - a join over ranges of sizes.
+    """
+    q = asked.select("x", F.col("y").alias("q"), F.col("n").alias("nq"), F.col("common").alias("iq"), "n_a", "rest")
+    s = members.select("x", F.col("y").alias("s"), F.col("n").alias("ns"), F.col("common").alias("is"), F.col("rest").alias("more"))
+    fits = (DEN * F.col("nq") >= NUM * F.col("ns")) & (DEN * F.col("ns") >= NUM * F.col("nq"))
+    short = least_overlap(F.col("nq"), F.col("ns")) - F.least("iq", "is")
+    by = ["x", "q", "s", "nq", "ns", "iq", "is"]
+    outside = q.select("x", "q", "nq", "iq", F.explode("rest").alias("token"))
+    outside = outside.join(s.select("x", "s", "ns", "is", F.explode("more").alias("token")), ["x", "token"]).where(fits)
+    outside = outside.groupBy(*by).agg(F.count("*").alias("r")).where(F.col("r") >= short)
+    # need(nq, ns) <= iq means ns <= 7/3 iq - nq; sizes meet in steps of a 32nd of the leader's.
+    step = lambda n: F.floor(n * 32 / F.col("n_a"))
+    low, high = F.ceil(F.col("nq") * NUM / DEN), F.floor(F.col("iq") * (NUM + DEN) / NUM) - F.col("nq")
+    within = q.where(low <= high).select("x", "q", "nq", "iq", F.explode(F.sequence(step(low), step(high))).alias("step"))
+    size = asked.groupBy("x").agg(F.max("n_a").alias("n_a"))
+    sized = s.drop("more").join(cut(size), "x").withColumn("step", step(F.col("ns")))
+    within = within.join(sized, ["x", "step"]).where(fits & (short <= 0))
+    return outside.select("q", "s").unionAll(within.select("q", "s")).distinct().select(F.col("s").alias("x"), F.col("q").alias("y"))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -334,7 +460,8 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     rows = cut(profile(docs))
-    classes = cut(rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = cut(classes)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
     buckets = int(max(1, -(-3 * total // (10 * FLUSH))))
     blocks = cut(prefixes(docs, heavy_tokens(docs, buckets), buckets))
@@ -342,46 +469,18 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     often = cut(blocks.where("bucket is null").select("token", "k", "n").distinct())
     discard(blocks)
     rare = posted.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("k"), "n")
-    seg = F.floor(F.log("n") / F.log(F.lit(DEN / NUM)) + 1e-9).alias("seg")
-    # The leader of a family is its hub: the class whose prefix tokens are frequent on average, as an
-    # edited copy has rare tokens of its own. All of a family's tokens then name the same leader.
-    prefix = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + F.greatest(F.lit(1), F.floor(F.col("n") / 20))
-    df = often.groupBy("token").agg(F.count("*").alias("df"))
-    hub = often.join(df, "token").groupBy("k", "n").agg(F.sum("df").alias("w")).select("k", (F.col("w") / prefix).alias("w"))
-    often_w = often.join(hub, "k")
-    lead = often_w.groupBy("token", seg).agg(F.max(F.struct("w", "k")).alias("lead"))
-    starred = often.withColumn("seg", seg).join(lead, ["token", "seg"]).select(F.col("lead.k").alias("x"), F.col("k").alias("y"), "n", F.lit(1).alias("c")).where("x <> y")
-    # Only a leader that shares LEAD of the prefix is worth a verification; the matrix decides about the rest.
-    pairs = posted.where("pair").select("x", "y", "n", "c").unionAll(starred).groupBy("x", "y", "n").agg(F.sum("c").alias("c"))
-    pairs = pairs.where(F.col("c") >= LEAD * prefix).select("x", "y")
-    links = cut(verified(docs, pairs, classes))
+    links = cut(compared(docs, leader_pairs(posted, often), classes, rest=True).where(LINKED))
     first = cut(components(links))
+    members = cut(stars(links))
     # The token-group matrix: a class without a verified link is a group of its own.
-    named = classes.join(first, classes["rep"] == first["node"], "left").select("k1", F.coalesce("component", "rep").alias("g"))
-    every = rare.unionAll(often).join(named.withColumnRenamed("k1", "k"), "k")
-    mixed = every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
-    mixed = cut(every.join(mixed, "token").select("token", "k", "n", "g"))
-    classes_of = mixed.select("g", "k", "n").distinct()
-    sizes = classes_of.groupBy("g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m"))
-    # The smaller group asks the larger one, so that a large family does not ask each of its outliers.
-    sized = mixed.join(sizes.select("g", "m"), "g")
-    matrix = sized.select("token", F.col("g").alias("other"), F.col("m").alias("om")).distinct()
-    asks = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("g") < F.col("other")))
-    overlap = sized.join(matrix, "token").where(asks).groupBy("k", "n", "other").agg(F.count("*").alias("c"))
-    sizes = sizes.drop("m")
-    overlap = overlap.join(sizes.withColumnRenamed("g", "other"), "other")
-    # Sizes of members that can link; the bound is least at one of their ends. One is allowed for two
-    # tokens of a class with one short form.
-    lo = F.greatest("lo", F.ceil(F.col("n") * NUM / DEN))
-    hi = F.least("hi", F.floor(F.col("n") * DEN / NUM))
-    rest = lambda n: F.ceil(n * NUM / DEN) - F.greatest(F.lit(1), F.floor(n / 20))
-    least = lambda m: F.ceil((F.col("n") + m) * NUM / (NUM + DEN)) - F.greatest(rest(F.col("n")), rest(m)) - 1
-    opened = overlap.where((lo <= hi) & (F.col("c") >= F.least(least(lo), least(hi)))).select("k", "n", "other")
-    members = classes_of.select(F.col("g").alias("other"), F.col("k").alias("y"), F.col("n").alias("m"))
-    near = opened.join(members, "other").where(f"{DEN} * n >= {NUM} * m and {DEN} * m >= {NUM} * n")
-    more = verified(docs, near.select(F.col("k").alias("x"), "y").distinct(), classes)
-    merged = links.unionAll(more)
-    return rows, classes, components(merged)
+    named = classes.join(first, classes["rep"] == first["node"], "left").select(F.col("k1").alias("k"), F.coalesce("component", "rep").alias("g"))
+    named = cut(named.join(members.select(F.col("y").alias("k"), "x"), "k", "left").select("k", "g", F.coalesce("x", "k").alias("h")))
+    asked = cut(compared(docs, opened_groups(rare, often, named), classes, rest=True))
+    more = cut(compared(docs, opened_members(asked.where(f"not ({LINKED})"), members), classes).where(LINKED))
+    found = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for links in (asked.where(LINKED), more):
+        found = found.unionAll(links.select("a", "b"))
+    return rows, classes, components(found)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
