@@ -209,12 +209,18 @@ def discard(df: DataFrame) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python in batches of a few MB, unless the session says otherwise."""
-    for key, usual, own in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", "67108864b", str(8 << 20))):
+    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", str(4 << 20))):
         key = f"spark.sql.execution.arrow.{key}"
         if spark.conf.get(key, None) == usual:
             spark.conf.set(key, own)
 
 
+def grown(least: int, most: int, size: float, at: float) -> int:
+    """A block's size for an input of this size: least up to the size `at`, then with its square root, at most
+    `most`. Between blocks and buckets that both follow the input, rows then stay in proportion to it."""
+    return int(min(most, least * max(1.0, (size / at) ** 0.5)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, small_batches
+from .common import U, grown, small_batches
 
 BLOBS = "round int, bucket int, chunk int, body binary"
 REPLY = "chunk int, round int, bucket int, bits binary"
@@ -21,17 +21,25 @@ _BLOBS = pa.schema([("round", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 _REPLY = pa.schema([("chunk", pa.int32()), ("round", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
 
-def sized_chunks(docs: DataFrame, chunk_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
-    """(chunk, doc_id, text) with about chunk_bytes of text for each chunk, and the number of buckets.
+#: Bytes of text in a chunk: from the first number, grown with the input from LINEAR bytes on, to the second.
+CHUNK, MOST_CHUNK, LINEAR = 4 << 20, 64 << 20, 32 << 30
 
-    Both follow the size of the input, so that a task's memory does not; the size is one sum over the
-    texts' lengths. Rows between chunks and buckets are chunks * buckets: raise chunk_bytes with the input.
+
+def sized_chunks(docs: DataFrame, least: int | None = None) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text) with about as many bytes of text in each chunk, and the number of buckets.
+
+    Both follow the size of the input, which is one sum over the texts' lengths. Rows between chunks and
+    buckets are chunks * buckets, at most one for each hash of a chunk; as chunks grow with the square root
+    of the input and buckets with them, rows stay in proportion to the input up to 8 TB at the default
+    sizes, and beyond that a row still carries some 25 hashes at 100 TB. Two buckets for four chunks keep
+    a bucket's task at about twice a chunk, and even out what a task that has several buckets reads.
     """
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-size // chunk_bytes))
-    d = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return d, max(1, -(-n // 4))
+    n = max(1, -(-size // grown(least or CHUNK, MOST_CHUNK, size, LINEAR)))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")
+    d = docs.select(chunk, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return d, max(1, -(-n // 2))
 
 
 def sorted_distinct(x: np.ndarray) -> np.ndarray:

@@ -40,10 +40,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_table, components, cut, discard, doc_words, mix, shingles, slices, small_batches, utf8
+from .common import U, byte_table, components, cut, discard, doc_words, grown, mix, shingles, slices, small_batches, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
-FLUSH, HEAVY, FREQUENT, LEAD = 1 << 20, 16, 500_000, 0.25
+HEAVY, FREQUENT, LEAD = 16, 500_000, 0.25
+#: Tokens that a task holds before it sends them: from the first number, grown with the input, to the second.
+FLUSH, MOST_FLUSH = 1 << 18, 1 << 22
 BITS, SALTS = 1 << 23, 16
 _TABLE = byte_table(fold_case=True, seed=3)
 
@@ -98,7 +100,7 @@ def short(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return ((tokens & U(0xFFFFFFFF)) % U(buckets)) << U(31) | tokens >> U(32)
 
 
-def heavy_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
+def heavy_tokens(docs: DataFrame, buckets: int, hold: int) -> np.ndarray:
     """Short forms of tokens that about HEAVY classes or more have, the FREQUENT most frequent. They only order
     tokens; every result is the same with any others."""
 
@@ -120,7 +122,7 @@ def heavy_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
                         seen.add(k)
                         held.append(s)
                         size += len(s)
-                if size >= FLUSH:
+                if size >= hold:
                     yield flush()
                     held, seen, size = [], set(), 0
         if size:
@@ -139,7 +141,7 @@ def heavy_tokens(docs: DataFrame, buckets: int) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in top], np.int64).astype(U))
 
 
-def prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
+def prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int, hold: int) -> DataFrame:
     """bucket, body: blocks of (short token, class, size) entries; and rows of frequent tokens: token, k, n."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
 
@@ -196,7 +198,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                     K.append(k)
                     N.append(n)
                     size += len(T[-1])
-                if size >= FLUSH:
+                if size >= hold:
                     yield flush()
                     T, K, N, seen, size = [], [], [], set(), 0
         if size:
@@ -463,8 +465,9 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = rows.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     classes = cut(classes)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"]
-    buckets = int(max(1, -(-3 * total // (10 * FLUSH))))
-    blocks = cut(prefixes(docs, heavy_tokens(docs, buckets), buckets))
+    hold = grown(FLUSH, MOST_FLUSH, total, 1 << 27)
+    buckets = int(max(1, -(-3 * total // (10 * hold))))
+    blocks = cut(prefixes(docs, heavy_tokens(docs, buckets, hold), buckets, hold))
     posted = cut(postings(blocks))
     often = cut(blocks.where("bucket is null").select("token", "k", "n").distinct())
     discard(blocks)
