@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, excerpt_at, fold
+from .text import excerpt_at, fold, let, one_line
 
 #: Kinds and patterns, in the order they are applied. Only the first kind's name and shape are given by
 #: the data contract; the others are our own, after the vendors' public key formats.
@@ -24,19 +24,41 @@ SECRETS = [
 ]
 
 
+_ANY = "|".join(f"(?:{p})" for _, p in SECRETS)
+_FINDINGS = "array<struct<kind:string,count:int>>"
+
+
 def redact(t: Column) -> Column:
+    """One alternation comes first, so that a text without a secret is matched once."""
+    out = t
     for kind, pattern in SECRETS:
-        t = F.regexp_replace(t, pattern, f"[REDACTED:{kind}]")
-    return t
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")
+    return F.when(t.rlike(_ANY), out).otherwise(t)
+
+
+def scan(t: Column) -> Column:
+    """struct<text, findings>: the redacted text with what was found, kind by kind. Each kind is looked for in what the kinds
+    before it have left; a text without a secret is matched once."""
+    none = F.struct(t.alias("text"), F.array().cast(_FINDINGS).alias("findings"))
+
+    def apply(kind: str, pattern: str):
+        def of(s):
+            one = F.array(F.struct(F.lit(kind).alias("kind"), F.regexp_count(s["text"], F.lit(pattern)).alias("count")))
+            found = F.filter(one, lambda f: f["count"] > 0)
+            rest = F.regexp_replace(s["text"], pattern, f"[REDACTED:{kind}]")
+            return F.struct(rest.alias("text"), F.concat(s["findings"], found).alias("findings"))
+
+        return of
+
+    step = none
+    for kind, pattern in SECRETS:
+        step = let(step, apply(kind, pattern))
+    return F.when(t.rlike(_ANY), step).otherwise(none)
 
 
 def findings(t: Column) -> Column:
     """array<struct<kind, count>> in the order of SECRETS; placeholders do not count again."""
-    out = []
-    for kind, pattern in SECRETS:
-        out.append(F.struct(F.lit(kind).alias("kind"), F.regexp_count(t, F.lit(pattern)).alias("count")))
-        t = F.regexp_replace(t, pattern, f"[REDACTED:{kind}]")
-    return F.filter(F.array(*out), lambda f: f["count"] > 0)
+    return scan(t)["findings"]
 
 
 #: Patterns of embedded instructions on folded text, in order.
@@ -58,14 +80,17 @@ INJECTIONS = [
 def injection_pattern(t: Column) -> Column:
     """0-based number of the first pattern that a page has, null if none. One alternation comes first,
     so that pages without a finding are matched once."""
-    folded = fold(F.regexp_replace(t, f"{WS}+", " "))
-    which = F.coalesce(*[F.when(folded.rlike(p), k) for k, p in enumerate(INJECTIONS)])
-    return F.when(folded.rlike("|".join(f"(?:{p})" for p in INJECTIONS)), which)
+    any_of = "|".join(f"(?:{p})" for p in INJECTIONS)
+    which = lambda f: F.coalesce(*[F.when(f.rlike(p), k) for k, p in enumerate(INJECTIONS)])
+    return let(fold(one_line(t)), lambda f: F.when(f.rlike(any_of), which(f)))
 
 
 def injection_excerpt(t: Column, pattern: Column) -> Column:
     """The passage of the original text; its first 200 characters if folding has changed lengths."""
-    flat = F.regexp_replace(t, f"{WS}+", " ")
-    folded = fold(flat)
-    at = F.coalesce(*[F.when(pattern == k, F.regexp_instr(folded, F.lit(p)) - 1) for k, p in enumerate(INJECTIONS)])
-    return F.when(pattern.isNull(), None).when(F.length(folded) == F.length(flat), excerpt_at(flat, at)).otherwise(F.left(flat, F.lit(200)))
+
+    def passage(flat, folded):
+        at = F.coalesce(*[F.when(pattern == k, F.regexp_instr(folded, F.lit(p)) - 1) for k, p in enumerate(INJECTIONS)])
+        return F.when(F.length(folded) == F.length(flat), let(at, lambda a: excerpt_at(flat, a))).otherwise(F.left(flat, F.lit(200)))
+
+    found = let(one_line(t), lambda flat: let(fold(flat), lambda folded: passage(flat, folded)))
+    return F.when(pattern.isNotNull(), found)

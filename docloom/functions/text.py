@@ -9,12 +9,28 @@ from pyspark.sql import functions as F
 WS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value evaluated once: within lambdas, Spark shares no common subexpressions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: The characters of WS.
+SPACE_CHARS = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Control characters that go; line breaks and tabs apart.
+CONTROLS = "".join(map(chr, [*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
+
+
 def trim_ws(t: Column) -> Column:
-    return F.regexp_replace(t, f"^{WS}+|{WS}+$", "")
+    return F.btrim(t, F.lit(SPACE_CHARS))
+
+
+def one_line(t: Column) -> Column:
+    """Each run of white space as one space."""
+    return F.regexp_replace(F.translate(t, SPACE_CHARS, " " * len(SPACE_CHARS)), " {2,}", " ")
 
 
 def collapse(t: Column) -> Column:
-    return trim_ws(F.regexp_replace(t, f"{WS}+", " "))
+    return F.btrim(one_line(t))
 
 
 def utf16_length(t: Column) -> Column:
@@ -23,11 +39,11 @@ def utf16_length(t: Column) -> Column:
 
 
 def strip_controls(t: Column, keep_breaks: bool) -> Column:
-    return F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]" if keep_breaks else r"[\x00-\x1F\x7F]", "")
+    return F.translate(t, CONTROLS if keep_breaks else CONTROLS + "\t\n\r", "")
 
 
 def normalize_text(t: Column) -> Column:
-    t = F.regexp_replace(strip_controls(t, True), "\r\n?", "\n")
+    t = F.replace(F.replace(strip_controls(t, True), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, "[ \t]+\n", "\n")
     return trim_ws(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
@@ -67,8 +83,7 @@ def ends_sentence(t: Column) -> Column:
 
 
 def complete_sentence(t: Column) -> Column:
-    c = collapse(t)
-    return F.when(ends_sentence(c), c).otherwise(F.concat(c, F.lit(".")))
+    return let(collapse(t), lambda c: F.when(ends_sentence(c), c).otherwise(F.concat(c, F.lit("."))))
 
 
 #: Abbreviations that end no sentence before a word, German months after an ordinal.
@@ -86,7 +101,7 @@ def count_sentences(t: Column, lang: Column) -> Column:
 
 
 def non_space_length(t: Column) -> Column:
-    return F.length(F.regexp_replace(t, f"{WS}+", ""))
+    return F.length(F.translate(t, SPACE_CHARS, ""))
 
 
 def is_scan_page(t: Column, threshold: int = 20) -> Column:
@@ -98,21 +113,32 @@ def escape_delimiters(t: Column) -> Column:
 
 
 def excerpt_appears(source: Column, excerpt: Column) -> Column:
-    """Whether excerpt stands in source without cutting a word at either end."""
+    """Whether excerpt stands in source without cutting a word at either end. The first place decides nearly
+    always; only where a word is cut there, a pattern looks for others."""
     word = r"^[\p{L}\p{N}]"
+    first, last = excerpt.rlike(word), F.right(excerpt, F.lit(1)).rlike(word)
+    at = F.instr(source, excerpt)
+    before, after = F.substring(source, at - 1, F.lit(1)), F.substring(source, at + F.length(excerpt), F.lit(1))
+    cut = (first & (at > 1) & before.rlike(word)) | (last & after.rlike(word))
     quoted = F.concat(F.lit(r"\Q"), F.replace(excerpt, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    head = F.when(excerpt.rlike(word), r"(?<![\p{L}\p{N}])").otherwise("")
-    tail = F.when(F.right(excerpt, F.lit(1)).rlike(word), r"(?![\p{L}\p{N}])").otherwise("")
-    return (excerpt != "") & F.rlike(source, F.concat(head, quoted, tail))
+    head = F.when(first, r"(?<![\p{L}\p{N}])").otherwise("")
+    tail = F.when(last, r"(?![\p{L}\p{N}])").otherwise("")
+    elsewhere = F.rlike(source, F.concat(head, quoted, tail))
+    return F.when((excerpt == "") | ~F.contains(source, excerpt), False).when(~cut, True).otherwise(elsewhere)
 
 
 def locate_excerpt(source: Column, context: Column, cap: int = 300) -> Column:
     """The source's own spelling of context: itself if it appears, else the first run of the same words
     in any case with any separators, at most cap long; null if there is none."""
-    words = F.transform(F.regexp_extract_all(context, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(words, r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
-    runs = F.filter(F.when(F.size(words) > 0, F.regexp_extract_all(source, pattern, F.lit(0))), lambda m: F.length(m) <= cap)
-    return F.when(excerpt_appears(source, context), context).otherwise(F.get(runs, F.lit(0)))
+
+    def respelled(words):
+        quoted = F.transform(words, lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), F.array_join(quoted, r"[^\p{L}\p{N}]+"), F.lit(r"(?![\p{L}\p{N}])"))
+        runs = F.filter(F.regexp_extract_all(source, pattern, F.lit(0)), lambda m: F.length(m) <= cap)
+        return F.when(F.size(words) > 0, F.get(runs, F.lit(0)))
+
+    words = F.regexp_extract_all(context, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.when(excerpt_appears(source, context), context).otherwise(let(words, respelled))
 
 
 def page_range(first: Column, last: Column) -> Column:
@@ -125,21 +151,21 @@ def valid_page(page: Column, page_count: Column) -> Column:
 
 def excerpt_at(flat: Column, at: Column, cap: int = 200) -> Column:
     """A sentence-bounded excerpt of a one-line text around position at (0-based)."""
-    before = F.substring(flat, F.lit(1), at)
-    dot = F.length(before) - F.locate(" .", F.reverse(before)) - 1
-    start = F.greatest(F.when(F.locate(" .", F.reverse(before)) > 0, dot + 1).otherwise(0), at - cap // 2, F.lit(0))
-    rest = F.substring(flat, at + 1, F.length(flat))
-    stop = F.regexp_instr(rest, F.lit(r"[.!?](\s|$)"))
-    end = F.when(stop == 0, F.least(F.length(flat), at + cap)).otherwise(at + stop)
-    cut = collapse(F.substring(flat, start + 1, end - start))
-    return F.when(F.length(cut) > cap, F.concat(F.left(cut, F.lit(cap - 1)), F.lit("…"))).otherwise(cut)
+    back = F.locate(" .", F.reverse(F.substring(flat, F.lit(1), at)))
+    start = F.greatest(F.when(back > 0, at - back).otherwise(0), at - cap // 2, F.lit(0))
+    stop = F.regexp_instr(F.substring(flat, at + 1, F.length(flat)), F.lit(r"[.!?](\s|$)"))
+    end = let(stop, lambda n: F.when(n == 0, F.least(F.length(flat), at + cap)).otherwise(at + n))
+    cut = let(start, lambda a: collapse(F.substring(flat, a + 1, end - a)))
+    return let(cut, lambda c: F.when(F.length(c) > cap, F.concat(F.left(c, F.lit(cap - 1)), F.lit("…"))).otherwise(c))
 
 
 def polish_amount(v: Column) -> Column:
     """pl-PL number: no-break spaces between thousands from 10 000 on, a comma, up to two decimals."""
-    text = F.regexp_replace(F.translate(F.format_number(v, 2), ",.", "\u00a0,"), ",?0+$", "")
-    whole = F.translate(F.format_number(v, 2), ",.", "\u00a0,")
-    text = F.when(whole.endswith(",00"), F.substring_index(whole, ",", 1)).when(whole.endswith("0"), F.left(whole, F.length(whole) - 1)).otherwise(whole)
+
+    def shortened(whole):
+        return F.when(whole.endswith(",00"), F.substring_index(whole, ",", 1)).when(whole.endswith("0"), F.left(whole, F.length(whole) - 1)).otherwise(whole)
+
+    text = let(F.translate(F.format_number(v, 2), ",.", "\u00a0,"), shortened)
     return F.when(F.abs(v) < 10000, F.replace(text, F.lit("\u00a0"), F.lit(""))).otherwise(text)
 
 

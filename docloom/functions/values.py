@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import WS, let
 
 #: Suffixes and their factors.
 THOUSAND = r"tys\.?|tysi[aą]c\p{L}*|thousand|tsd\.?|k"
@@ -41,51 +41,73 @@ def to_cents(v: Column) -> Column:
 
 def interpret_number(token: Column) -> Column:
     """All readings of a number token as doubles: a lone separator may be decimal or thousands."""
-    c = F.regexp_replace(token, f"[ {SPACES}']", "")
     number = lambda x: x.try_cast("double")
-    comma, dot = c.contains(","), c.contains(".")
-    comma_last = c.rlike(r",[^.]*$")
-    both = F.when(comma_last, F.regexp_replace(F.replace(c, F.lit("."), F.lit("")), "^([^,]*),", "$1.")).otherwise(F.replace(c, F.lit(","), F.lit("")))
-    groups = F.split(c, "[.,]")
-    decimal = F.when(F.size(groups) == 2, number(F.regexp_replace(c, "[.,]", ".")))
-    thousands = F.when(F.forall(F.slice(groups, 2, 1000), lambda g: F.length(g) == 3), number(F.array_join(groups, "")))
-    found = F.when(comma & dot, F.array(number(both))).when(comma | dot, F.array(decimal, thousands)).otherwise(F.array(number(c)))
-    return F.array_distinct(F.filter(found, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+
+    def lone(c):
+        """With one kind of separator: a decimal if it stands once, thousands if all groups have three digits."""
+        return let(F.split(c, "[.,]"), lambda g: F.array(
+            F.when(F.size(g) == 2, number(F.array_join(g, "."))),
+            F.when(F.forall(F.slice(g, 2, 1000), lambda x: F.length(x) == 3), number(F.array_join(g, ""))),
+        ))
+
+    def both(c):
+        """With both kinds: the last one is the decimal point."""
+        decimal_comma = F.regexp_replace(F.replace(c, F.lit("."), F.lit("")), "^([^,]*),", "$1.")
+        return F.array(number(F.when(c.rlike(r",[^.]*$"), decimal_comma).otherwise(F.replace(c, F.lit(","), F.lit("")))))
+
+    def read(c):
+        comma, dot = c.contains(","), c.contains(".")
+        return F.when(comma & dot, both(c)).when(comma | dot, lone(c)).otherwise(F.array(number(c)))
+
+    bare = F.translate(token, f" {SPACES}'", "")
+    return F.array_distinct(F.filter(let(bare, read), lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
 
 
 def multiplier(suffix: Column) -> Column:
     full = lambda p: suffix.rlike(f"(?iu)^(?:{p})$")
-    return F.when(full(THOUSAND), 1e3).when(full(MILLION), 1e6).when(full(BILLION), 1e9)
+    return F.when(suffix == "", None).when(full(THOUSAND), 1e3).when(full(MILLION), 1e6).when(full(BILLION), 1e9)
 
 
 def _mentions(t: Column) -> Column:
-    """(token, suffix) of every number, grouped ones and their parts."""
-    tail = rf"(?=(?:{WS}?({THOUSAND}|{MILLION}|{BILLION})(?!\p{{L}}))?)"
-    out = []
-    for p in (GROUPED + "(?![0-9])", PLAIN):
-        p = F.lit("(?iu)" + p + tail)
-        out.append(F.arrays_zip(F.regexp_extract_all(t, p, F.lit(0)).alias("token"), F.regexp_extract_all(t, p, F.lit(1)).alias("suffix")))
-    return F.concat(*[F.transform(x, lambda m: F.struct(m["token"].alias("token"), m["suffix"].alias("suffix"))) for x in out])
+    """Every number with its suffix, grouped ones and their parts. A suffix has no digit, so what follows is the same with it
+    taken along."""
+    tail = rf"(?:{WS}?(?:{THOUSAND}|{MILLION}|{BILLION})(?!\p{{L}}))?"
+    found = [F.regexp_extract_all(t, F.lit(f"(?iu)(?:{p}){tail}"), F.lit(0)) for p in (GROUPED + "(?![0-9])", PLAIN)]
+    return F.array_distinct(F.concat(*found))
 
 
 def collect_numbers(t: Column) -> Column:
     """Distinct cents of all numbers in a text: each reading, with and without its suffix's factor; also
     with line breaks between digits read as spaces."""
-    joined = F.regexp_replace(t, r"([0-9])[ \t]*\n[ \t]*(?=[0-9])", "$1 ")
-    mentions = F.concat(_mentions(t), F.when(joined != t, _mentions(joined)).otherwise(F.slice(_mentions(F.lit("")), 1, 0)))
+    breaks = r"([0-9])[ \t]*\n[ \t]*(?=[0-9])"
+    none = F.array().cast("array<string>")
+    mentions = F.when(t.rlike(breaks), F.concat(_mentions(t), _mentions(F.regexp_replace(t, breaks, "$1 ")))).when(t.rlike("[0-9]"), _mentions(t)).otherwise(F.when(t.isNotNull(), none))
 
     def readings(m):
-        factor = multiplier(m["suffix"])
-        plain = interpret_number(m["token"])
-        return F.concat(plain, F.when(factor.isNotNull(), F.transform(plain, lambda v: v * factor)).otherwise(F.array().cast("array<double>")))
+        suffix = F.regexp_replace(m, rf"^[^\p{{L}}]*[0-9]{WS}?", "")
+        token = F.regexp_replace(m, "[^0-9]+$", "")
+
+        def scaled(plain):
+            factor = let(suffix, multiplier)
+            return let(factor, lambda f: F.when(f.isNull(), plain).otherwise(F.concat(plain, F.transform(plain, lambda v: v * f))))
+
+        return let(interpret_number(token), scaled)
 
     return F.array_distinct(F.transform(F.flatten(F.transform(mentions, readings)), to_cents))
 
 
+#: Days of each month; February has one more in leap years.
+DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+
+
 def iso_date(y: Column, m: Column, d: Column) -> Column:
     """yyyy-MM-dd, null if there is no such day."""
-    text = F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int"))
-    return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+    year, month, day = (x.cast("int") for x in (y, m, d))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    last = F.get(F.array(*[F.lit(n) for n in DAYS]), month - 1) + F.when((month == 2) & leap, 1).otherwise(0)
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    text = F.concat_ws("-", pad(year, 4), pad(month, 2), pad(day, 2))
+    return F.when((year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= last), text)
 
 
 def is_iso_date(t: Column) -> Column:
@@ -97,20 +119,35 @@ def collect_dates(t: Column) -> Column:
     b, e = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
     sep = "[.\\-/]"
     month = F.create_map(*[F.lit(x) for kv in MONTH_OF.items() for x in kv])
+    none = F.array().cast("array<string>")
 
     def each(pattern: str, make):
+        """One extraction of whole matches; their parts are taken from each match."""
         p = F.lit(pattern)
-        g = [F.regexp_extract_all(t, p, F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)]
-        return F.flatten(F.transform(F.arrays_zip(*g), lambda m: make(m["g1"], m["g2"], m["g3"])))
+        return F.flatten(F.transform(F.regexp_extract_all(t, p, F.lit(0)), make))
+
+    def numeric(m):
+        return let(F.split(m, sep), lambda g: F.when(
+            F.length(F.get(g, F.lit(0))) == 4, F.array(iso_date(F.get(g, F.lit(0)), F.get(g, F.lit(1)), F.get(g, F.lit(2))))
+        ).otherwise(F.array(
+            iso_date(F.get(g, F.lit(2)), F.get(g, F.lit(1)), F.get(g, F.lit(0))), iso_date(F.get(g, F.lit(2)), F.get(g, F.lit(0)), F.get(g, F.lit(1)))
+        )))
+
+    def named(m):
+        name = F.element_at(month, F.lower(F.regexp_extract(m, r"\p{L}+", 0)))
+        day = F.regexp_extract(m, r"(?<![0-9])[0-9]{1,2}(?![0-9])", 0)
+        return F.array(iso_date(F.right(m, F.lit(4)), name, day))
 
-    number = lambda m: F.element_at(month, F.lower(m))
+    # A number ends no run of digits, so that the two numeric forms are kept apart as they may overlap.
     found = F.concat(
-        each(f"{b}([0-9]{{1,2}}){sep}([0-9]{{1,2}}){sep}([0-9]{{4}}){e}", lambda x, y, z: F.array(iso_date(z, y, x), iso_date(z, x, y))),
-        each(f"{b}([0-9]{{4}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}}){e}", lambda x, y, z: F.array(iso_date(x, y, z))),
-        each(rf"(?iu){b}([0-9]{{1,2}})\.?{WS}+({MONTH_NAMES})\.?{WS}+([0-9]{{4}}){e}", lambda x, y, z: F.array(iso_date(z, number(y), x))),
-        each(rf"(?iu){b}({MONTH_NAMES})\.?{WS}+([0-9]{{1,2}}),?{WS}+([0-9]{{4}}){e}", lambda x, y, z: F.array(iso_date(z, number(x), y))),
-    )
-    return F.array_distinct(F.filter(found, lambda d: d.isNotNull()))
+        each(f"{b}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{4}}{e}", numeric),
+        each(f"{b}[0-9]{{4}}{sep}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{e}", numeric),
+        F.when(t.rlike(rf"(?iu){b}(?:{MONTH_NAMES})[. \s\u00a0-\uffff]"), F.concat(
+            each(rf"(?iu){b}[0-9]{{1,2}}\.?{WS}+(?:{MONTH_NAMES})\.?{WS}+[0-9]{{4}}{e}", named),
+            each(rf"(?iu){b}(?:{MONTH_NAMES})\.?{WS}+[0-9]{{1,2}},?{WS}+[0-9]{{4}}{e}", named),
+        )).otherwise(none),
+    )
+    return F.when(~t.rlike("[0-9]{4}"), none).when(t.isNotNull(), F.array_distinct(F.filter(found, lambda d: d.isNotNull())))
 
 
 def grounding_status(present: Column, scan_pages: Column, page: Column) -> Column:

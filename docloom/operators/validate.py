@@ -128,4 +128,4 @@ def error_body(errors: DataFrame, dimension: DataFrame) -> DataFrame:
 def retry_feedback(found: Column) -> Column:
     """The first ten issues as lines for a second attempt."""
     lines = F.transform(F.slice(found, 1, 10), lambda i: F.concat(F.lit("- "), i["path"], F.lit(": "), i["message"]))
-    return F.concat(F.lit("Your previous answer was rejected by the validator:\n"), F.array_join(lines, "\n"), F.lit("\nReturn a corrected JSON object that satisfies the schema and all rules."))
+    return F.concat(F.lit("These points of the last answer break a rule:\n"), F.array_join(lines, "\n"), F.lit("\nSend the whole JSON object again with all of them mended."))
