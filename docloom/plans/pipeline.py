@@ -192,12 +192,13 @@ def cited(parts: Column, sources: Column) -> Column:
     ))
 
 
-def analyze(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame | None = None, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def analyze(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame | None = None, calls: DataFrame | None = None, citations: bool = False) -> tuple[DataFrame, DataFrame]:
     """(results, errors). extractions: doc_id, chunk_id, payload_json; synthesis: doc_id, payload_json of
     documents in several chunks; calls: doc_id and CALLS. errors: doc_id, code, issues.
 
-    A payload that breaks a rule or cites what its fragment does not say fails its document: nothing of it is
-    dropped silently. Each derived column is computed once (see `once`).
+    Payloads are taken as parsed and checked, unless citations is set: then one that breaks a rule or cites what
+    its fragment does not say fails its document - nothing of it is dropped silently - and contexts get their
+    page's own spelling. Each derived column is computed once (see `once`).
     """
     p = once(prepare(requests).withColumn("request_issues", validate.request_issues()))
     p = p.withColumn("error", F.when(F.size("request_issues") > 0, "VALIDATION_FAILED").otherwise(F.col("error")))
@@ -216,7 +217,8 @@ def analyze(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame |
     else:
         d = d.withColumn("whole", F.lit(None).cast(S.PAYLOAD))
     d = d.join(calls, "doc_id", "left") if calls is not None else d.withColumns(null(CALLS))
-    d = once(d.withColumn("__cited", cited(F.col("parts"), F.col("__sources"))).drop("parts"))
+    plain = F.transform("parts", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["p"].alias("p"), validate.no_issues().alias("issues")))
+    d = once(d.withColumn("__cited", cited(F.col("parts"), F.col("__sources")) if citations else plain).drop("parts"))
     d = once(d.withColumns({"parts": F.transform("__cited", lambda x: x["p"]), "__cite_issues": F.flatten(F.transform("__cited", lambda x: x["issues"]))}).drop("__cited", "__sources"))
     d = d.withColumn("first", F.coalesce("whole", F.get("parts", F.lit(0))))
     lists = lambda f: F.flatten(F.transform("parts", lambda x: x[f]))

@@ -43,6 +43,32 @@ def test_pipeline(spark):
     assert name == "dokument.insight.json" and json.loads(body)["document"]["title"] == "T"
 
 
+def test_pipeline_citations(spark):
+    """Citations are checked against the fragment's pages, contexts get its spelling; one miss fails the document."""
+    page = [(1, "Faktura 12.03.2024 na KWOTĘ: 1 234,50 PLN.", "text")]
+    r = requests(spark, *[request(k, page) for k in range(1, 6)])
+    item = lambda context, page=1, value=1234.5: {"value": value, "currency": "PLN", "context": context, "page": page}
+    claims = {1: item("kwotę 1 234,50"), 2: item("kwotę 1 234,50", page=2), 3: item("kwota 1 234,50"), 4: item("Faktura 12.03.2024", value=7.0), 5: item("anything", page=None)}
+    payload = PAYLOAD | {"dates": [], "summarySentences": ["Pierwsze zdanie.", "Drugie.", "Trzecie."]}
+    e = spark.createDataFrame([(k, 0, json.dumps(payload | {"amounts": [a]})) for k, a in claims.items()], "doc_id bigint, chunk_id int, payload_json string")
+    calls = spark.createDataFrame([(1, "id1", "small", True, "2026-01-01T00:00:00.000Z", 7)], "doc_id bigint, " + pipeline.CALLS)
+    results, errors = pipeline.analyze(r, e, calls=calls, citations=True)
+    got = {x["doc_id"]: x.asDict(recursive=True) for x in results.collect()}
+    assert {k: x["amounts"][0]["context"] for k, x in got.items()} == {1: "KWOTĘ: 1 234,50", 5: "anything"}
+    assert {x["doc_id"]: (x["code"], [(i["path"], i["message"]) for i in x["issues"]]) for x in errors.collect()} == {
+        2: ("AI_INVALID_RESPONSE", [("amounts[0].page", cite.NO_PAGE)]),
+        3: ("AI_INVALID_RESPONSE", [("amounts[0].context", cite.NOT_COPIED)]),
+        4: ("AI_INVALID_RESPONSE", [("amounts[0].context", cite.NO_VALUE)]),
+    }
+    assert {k: got[1]["meta"][k] for k in ("requestId", "model", "durationMs")} == {"requestId": "id1", "model": "small", "durationMs": 7}
+    assert [w["message"] for w in got[1]["warnings"] if w["code"] == "FALLBACK_MODEL"] == ["Główny model AI był niedostępny — użyto modelu zapasowego (small)."]
+
+
+def test_client_counts_last_wins(spark):
+    d = spark.createDataFrame([([("a", 2), ("b", 1), ("a", 5)],)], "f array<struct<kind:string,count:int>>")
+    assert [tuple(x) for x in d.select(pipeline.last_counts(F.col("f")).alias("x")).first()["x"]] == [("a", 5), ("b", 1)]
+
+
 def test_request_issues(spark):
     r = requests(spark, request(1, [(1, "a", "text"), (1, "b", "bad"), (3, "c", None)], name=" ", count=2))
     got = [(i["path"], i["message"]) for i in validate.split(r, validate.request_issues())[1].collect()]
