@@ -177,12 +177,20 @@ def doc_words(raw: np.ndarray, off: np.ndarray, table: np.ndarray):
     return s, e, h, first, count
 
 
+def quoted(name: str) -> str:
+    """A column's name as select takes it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; set here only where the session has none and one machine
+    is all there is (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not set_dir:
         set_dir = spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         import tempfile
 
         set_dir = tempfile.mkdtemp(prefix="docloom-")

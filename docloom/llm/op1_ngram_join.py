@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, byte_table, components, cut, discard, doc_words, grown, mix, shingles, slices, small_batches, utf8
+from .common import U, byte_table, components, cut, discard, doc_words, grown, mix, quoted, shingles, slices, small_batches, utf8
 
 WORDS, NUM, DEN = 5, 3, 4
 HEAVY, FREQUENT, LEAD = 16, 500_000, 0.25
@@ -497,5 +497,5 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents of a component but its first; documents without words stay."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = jaccard_components(docs.select("doc_id", "text")).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -8,7 +8,8 @@ the weight (bytes) of its chunks that the other has too, over its own weight.
 
 Defined results: null texts are empty; an empty text has the empty fingerprint, which is like another
 empty one (1.0) and unlike all else (0.0). A null doc_id
-counts as the least. Ties in doc_id are ordered by the text. A table with one row
+counts as the least, before every other. Ties in doc_id are ordered by a hash of the text; rows that are equal in both are
+each other's next. An empty table gives no rows; very long texts are read whole. A table with one row
 is its own next document. Extra columns are not read.
 
 Neighbours are found without one task that sees all rows: texts are dealt by ranges of doc_id and sorted
@@ -32,7 +33,6 @@ LEAST, NORMAL, MOST = 32, 96, 384
 STRICT, LOOSE = np.uint32(0xFF800000), np.uint32(0xFC000000)
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A47)) >> np.uint64(32)).astype(np.uint32)
 WHOLE_BLOCK = 1 << 22
-LEAST_ID = -(1 << 63)
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -122,23 +122,24 @@ def replace_tail(text: str, following: str) -> str:
 def with_next(docs: DataFrame) -> DataFrame:
     """part, doc_id, text, ghost: sorted by doc_id within each part; a part begins with a ghost, the
     next document (in descending doc_id) of its first one."""
-    d = docs.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    d = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), F.coalesce("text", F.lit("")).alias("text"))
     n = 4 * partitions(docs.sparkSession)
     # Ranges of doc_id with about equal rows: n - 1 numbers on the driver.
     bounds = sorted(set(d.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))))
     part = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b < F.col("doc_id"))) if len(bounds) < 64 else _ranged(bounds)
-    d = d.withColumn("part", part)
-    tail = F.struct("doc_id", F.xxhash64("text"))
+    d = d.withColumn("part", F.when(F.col("known"), part).otherwise(0))
+    tail = F.struct("known", "doc_id", F.xxhash64("text").alias("h"))
     # One row a part, so at most n rows; also the wrap from the least document to the greatest.
-    ends = {r["part"]: (r["hi"]["doc_id"], r["hi"]["col2"]) for r in d.groupBy("part").agg(F.max(tail).alias("hi")).collect()}
+    ends = {r["part"]: tuple(r["hi"]) for r in d.groupBy("part").agg(F.max(tail).alias("hi")).collect()}
     if not ends:
         return d.withColumn("ghost", F.lit(False))
     order = sorted(ends)
     to = [(k, *ends[k], order[(i + 1) % len(order)]) for i, k in enumerate(order)]
-    sent = docs.sparkSession.createDataFrame(to, "part int, doc_id bigint, h bigint, next int")
-    ghosts = d.withColumn("h", F.xxhash64("text")).join(F.broadcast(sent), ["part", "doc_id", "h"]).select("doc_id", "text", F.col("next").alias("part")).dropDuplicates(["doc_id", "part"])
+    sent = docs.sparkSession.createDataFrame(to, "part int, known boolean, doc_id bigint, h bigint, next int")
+    ghosts = d.withColumn("h", F.xxhash64("text")).join(F.broadcast(sent), ["part", "known", "doc_id", "h"])
+    ghosts = ghosts.select("doc_id", "known", "text", F.col("next").alias("part")).dropDuplicates(["doc_id", "part"])
     every = d.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    return every.repartition(n, "part").sortWithinPartitions("part", F.desc("ghost"), "doc_id", F.xxhash64("text"))
+    return every.repartition(n, "part").sortWithinPartitions("part", F.desc("ghost"), "known", "doc_id", F.xxhash64("text"))
 
 
 def _ranged(bounds: list[float]):
@@ -163,17 +164,18 @@ def edited_digest(docs: DataFrame) -> DataFrame:
         part, last, last_parts = None, "", None
         for b in batches:
             out = []
-            for k, doc, text, ghost in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "text", "ghost")), strict=True):
+            for k, doc, known, text, ghost in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "known", "text", "ghost")), strict=True):
                 own = chunks(text.encode())
                 if not ghost:
-                    assert k == part, "a part begins with its ghost"
+                    if k != part:  # nothing follows
+                        last, last_parts = "", {}
                     edited = replace_tail(text, last).encode()
                     e = chunks(edited)
-                    out.append((doc if doc != LEAST_ID else None, len(text), hashlib.sha256(edited).hexdigest(), encode(own), encode(e), likeness(own, e), likeness(own, last_parts)))
+                    out.append((doc if known else None, len(text), hashlib.sha256(edited).hexdigest(), encode(own), encode(e), likeness(own, e), likeness(own, last_parts)))
                 part, last, last_parts = k, text, own
             names = [x.split()[0] for x in DIGEST.split(", ")]
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             cols = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return with_next(docs).select("part", "doc_id", "text", "ghost").mapInArrow(work, DIGEST)
+    return with_next(docs).select("part", "doc_id", "known", "text", "ghost").mapInArrow(work, DIGEST)

@@ -6,8 +6,10 @@ A filter's output is a sum of one table row per byte in its width, so that infer
 over pairs of bytes instead of products. A document's score is the mean of its windows' log
 probabilities, over all windows of the whole text.
 
-Training fits on the driver, on at most `per_language` labelled documents of each language (and at most
-MOST_LANGUAGES languages, the most frequent ones), chosen by a hash of doc_id, with windows from all over each text.
+Training fits on the driver, on a bounded sample with documented bounds (`fit`): at most `per_language` labelled
+documents of each language, chosen by a hash of doc_id; the `languages` most frequent languages, so that rarer ones are
+not learned; and of a text of more than three times `excerpt` characters its head, middle and tail of that
+length each. Predictions read whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0.0. Without any labelled
 document everything is `und`. Null labels are not used. Ties go to the first language by name. Repeated
@@ -26,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 4), 16, 8
-MOST_LANGUAGES = 64
 LETTER = re.compile(r"[^\W\d_]")
 
 #: Bytes to symbols: a-z by letter without case, all bytes from 0x80 kept, white space and the rest by kind.
@@ -126,8 +127,8 @@ class Tables:
         return out
 
 
-def train(texts: list[str], langs: list[str], per_text: int = 4, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Tables | None:
-    """per_text windows from random places of each text; Adam."""
+def train(texts: list[str], langs: list[str], per_text: int = 4, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7, per_epoch: int = 4000) -> Tables | None:
+    """per_text windows from random places of each text; Adam, per_epoch windows an epoch at most."""
     r = np.random.default_rng(seed)
     classes = sorted(set(langs))
     if not classes:
@@ -146,7 +147,7 @@ def train(texts: list[str], langs: list[str], per_text: int = 4, epochs: int = 6
     share = np.bincount(y, minlength=len(classes))
     net = Net(classes, seed)
     mean, square, t = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()], 0
-    steps = max(20, min(len(x), 4000) // batch)
+    steps = max(20, min(len(x), per_epoch) // batch)
     weight = (1 / share)[y] / (1 / share)[y].sum()
     for _ in range(epochs):
         for _ in range(steps):
@@ -163,27 +164,28 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, per_language: int) -> tuple[list[str], list[str]]:
-    """At most per_language rows of each language; long texts give three parts from all over them."""
+def training_sample(docs: DataFrame, per_language: int, languages: int, excerpt: int) -> tuple[list[str], list[str]]:
+    """At most per_language rows of each of the languages most frequent ones; a text of more than three excerpts gives
+    three of them."""
     known = docs.where("lang is not null and text is not null").where(~held_out()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     rank = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30))
     keep = F.lit(False)
     for r in counts:
         keep |= (F.col("lang") == r["lang"]) & (rank < int(min(1.0, 0.9 * per_language / r["count"]) * (1 << 30)) + 1)
-    size = 2048
     n = F.length("text")
-    text = F.when(n <= 3 * size, F.col("text")).otherwise(
-        F.concat_ws(" ", *[F.substring("text", p, F.lit(size)) for p in (F.lit(1), (n / 2).cast("int") - size // 2, n - size)])
-    )
+    parts = [F.substring("text", p, F.lit(excerpt)) for p in (F.lit(1), (n / 2).cast("int") - excerpt // 2, n - excerpt)]
+    text = F.when(n <= 3 * excerpt, F.col("text")).otherwise(F.concat_ws(" ", *parts))
     rows = known.where(keep).select("lang", text.alias("text")).limit(per_language * max(1, len(counts))).collect()
     rows = sorted((r["lang"], r["text"]) for r in rows)
     rows = [r for r in rows if LETTER.search(r[1])]
     return [t for _, t in rows], [lang for lang, _ in rows]
 
 
-def fit(docs: DataFrame, per_language: int = 400) -> Tables | None:
-    return train(*training_sample(docs, per_language))
+def fit(docs: DataFrame, per_language: int = 400, languages: int = 200, excerpt: int = 2048) -> Tables | None:
+    """The model of the labelled rows that are not held out. The driver holds at most per_language * languages texts of at
+    most 3 * excerpt characters."""
+    return train(*training_sample(docs, per_language, languages, excerpt))
 
 
 PREDICTION = "lang_pred string, score double"

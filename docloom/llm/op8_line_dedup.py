@@ -12,7 +12,9 @@ Defined results: a null text stays null; lines end at "\\n" only; lines of white
 and go only within an aligned block; lines of fewer than `least` characters don't make a pair but are
 aligned. Judged on the input: a line deleted from a document still counts as that document's. Rows with
 the same doc_id are not earlier than each other. A null doc_id is never earlier nor later than another.
-Extra columns are kept.
+Extra columns are kept, whatever their names; columns named n_lines or n_removed (in any case) give way to
+the operator's. An empty table gives no rows; very long texts are aligned whole; of lines that several
+documents own first, ties can't be: doc_ids of owners differ, or neither is earlier.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, quoted
 
 KEY = "__line_key"
 
@@ -120,24 +122,33 @@ def removals(docs: DataFrame, rare: int | None = None, least: int = 8) -> DataFr
 def dedup_lines(docs: DataFrame, rare: int | None = None, least: int = 8, drop_empty: bool = False) -> DataFrame:
     """docs with the aligned lines deleted from text (n_chars follows, if there is such a column), and
     n_lines, n_removed. drop_empty: documents that lose all their lines go."""
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    source = docs.select(*names)
+    mine = {"n_lines", "n_removed"}
+    fields = [f for f in docs.schema.fields if f.name.lower() not in mine]
+    # Columns travel under names of their own, so that theirs may be anything.
+    source = docs.select(*[F.col(quoted(f.name)).alias(_own(f.name, k)) for k, f in enumerate(fields)])
     gone = removals(source, rare, least).withColumnsRenamed({"whole": "__whole", "gone": "__gone"})
     d = source.withColumn(KEY, F.xxhash64("text")).join(gone, ["doc_id", KEY], "left")
     lines = F.split("text", "\n")
     marked = F.map_from_arrays(F.col("__gone"), F.col("__gone"))
-    kept = F.filter(lines, lambda x, i: ~F.map_contains_key(marked, i))
+    few = F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))
+    many = F.filter(lines, lambda x, i: ~F.map_contains_key(marked, i))
     left = F.when(F.col("__whole"), F.lit("")).when(F.col("__gone").isNull(), F.col("text"))
-    left = left.otherwise(F.array_join(F.when(F.size("__gone") <= 32, F.filter(lines, lambda x, i: ~F.array_contains("__gone", i))).otherwise(kept), "\n"))
+    left = left.otherwise(F.array_join(F.when(F.size("__gone") <= 32, few).otherwise(many), "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    removed = F.when(F.col("__whole"), n).otherwise(F.coalesce(F.size("__gone"), F.lit(0)))
-    removed = F.when(F.col("__gone").isNull() & ~F.coalesce("__whole", F.lit(False)), 0).otherwise(removed)
+    removed = F.when(F.col("__whole"), n).when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone"))
     d = d.withColumns({"n_lines": n.cast("bigint"), "n_removed": removed.cast("bigint"), "__left": left})
     if drop_empty:
         d = d.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("__left", r"\s+", "")) != ""))
-    cols = {"text": F.col("__left").alias("text")}
-    if "n_chars" in names:
-        kind = next(f.dataType for f in source.schema.fields if f.name == "n_chars")
-        if isinstance(kind, (T.LongType, T.IntegerType)):
-            cols["n_chars"] = F.when(F.col("n_removed") > 0, F.length("__left").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return d.select(*[cols.get(c, F.col(c)) for c in names], "n_lines", "n_removed")
+    out = []
+    for k, f in enumerate(fields):
+        value = F.col(_own(f.name, k))
+        if f.name == "text":
+            value = F.col("__left")
+        elif f.name == "n_chars" and isinstance(f.dataType, (T.LongType, T.IntegerType)):
+            value = F.when(F.col("n_removed") > 0, F.length("__left").cast(f.dataType)).otherwise(value)
+        out.append(value.alias(f.name))
+    return d.select(*out, "n_lines", "n_removed")
+
+
+def _own(name: str, k: int) -> str:
+    return name if name in ("doc_id", "text") else f"__column_{k}"

@@ -18,10 +18,12 @@ units are placeholders; a window counts if either form matches. So a copy in upp
 names can't be told by their written case, is found as well.
 
 The benchmark's windows are kept in each task while they are at most KEPT (a checked bound); beyond it,
-windows of both sides meet in a shuffled hash join.
+windows of both sides meet in a shuffled hash join. Both forms give the same rows.
 
-Defined results: null or empty texts and items match nothing; repeated items match each on their own;
-extra columns are not read. Long texts are read whole.
+Defined results: null or empty texts and items match nothing; a row with a null doc_id is matched like any
+other and keeps the null; repeated rows and items match each on their own. Of alignments with as many windows
+the one that starts first in the text counts. Empty tables give no rows. Extra columns are not read by
+matches, and clean returns them as they are. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -37,16 +39,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U, byte_table, doc_words, mix, prefix_sums, slices, small_batches, spans_hash, utf8, windows_hash
+from .common import SPACE, U, byte_table, cut, mix, prefix_sums, quoted, slices, small_batches, spans_hash, utf8, windows_hash, word_spans
 
-WINDOW, LEAST, KEPT = 8, 5, 2_000_000
+WINDOW, LEAST, KEPT, BITS = 8, 5, 2_000_000, 1 << 23
 #: Units that become a placeholder after a number.
-UNITS = "mm cm m km g kg t ml l s ms min h hr hours hour days day years year km/h mph % percent usd eur gbp pln dollars dollar euros euro cents cent miles mile feet foot inches inch pounds pound kilometers meters grams liters degrees".split()
+UNITS = "mm cm m km g kg t ml l s ms min h hr hours hour days day years year mph % percent usd eur gbp pln dollars dollar euros euro cents cent miles mile feet foot inches inch pounds pound kilometers meters grams liters degrees".split()
 
 _TABLE = byte_table(fold_case=True, seed=29)
-#: Punctuation is no part of a template word; it separates nothing that white space doesn't.
+#: Punctuation is no part of a template word; it separates nothing that white space doesn't, but % is a word.
 _PUNCT = np.zeros(256, bool)
-_PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+_PUNCT[[*range(0x21, 0x25), *range(0x26, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+#: Code points of upper or title case.
+_CAPITAL = np.array([chr(c).isupper() or chr(c).istitle() for c in range(1 << 16)])
 #: Within a number; and what ends a run of names.
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[list(b".,'/:")] = True
@@ -58,20 +62,30 @@ NUM, NAME, UNIT = (mix(np.array([k], U))[0] for k in (101, 102, 103))
 
 
 def _bare(raw: np.ndarray) -> np.ndarray:
-    """Punctuation (but % alone) blanked, which keeps positions."""
+    """Punctuation blanked, which keeps positions."""
     out = raw.copy()
     out[_PUNCT[raw]] = 0x20
     return out
 
 
+def _words(raw: np.ndarray, off: np.ndarray):
+    """doc_words of template words: without punctuation, and with each % as a word of its own."""
+    percent = np.flatnonzero(raw == 0x25)
+    cuts = np.sort(np.concatenate([off, percent, percent + 1])) if len(percent) else off
+    s, e, h = word_spans(_bare(raw), _TABLE, cuts)
+    first = np.searchsorted(s, off[:-1], "left")
+    return s, e, h, first, np.searchsorted(s, off[1:], "left") - first
+
+
+def _capitals(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters that start at these places are of upper or title case."""
+    b = [raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64) for k in range(3)]
+    two, three = (b[0] & 0x1F) << 6 | b[1] & 0x3F, (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F
+    return _CAPITAL[np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, 0)))]
+
+
 def _unit_hashes() -> np.ndarray:
-    bare = [u.strip("%").replace("/", " ").encode() for u in UNITS]
-    out = []
-    for u in bare:
-        if u and b" " not in u:
-            a = np.frombuffer(u, np.uint8)
-            out.append(doc_words(a, np.array([0, len(a)]), _TABLE)[2][0])
-    return np.sort(np.array(out, U))
+    return np.sort(np.array([_words(a, np.array([0, len(a)]))[2][0] for a in (np.frombuffer(u.encode(), np.uint8) for u in UNITS)], U))
 
 
 _UNITS = _unit_hashes()
@@ -110,23 +124,24 @@ def _joined(t, slot, name, join, first, count) -> Form:
 def templates(column, any_case: bool = False) -> Words:
     """The words of a column of texts, with names as placeholders, and with any_case also as folded words."""
     raw, off = utf8(column)
-    s, e, h, first, count = doc_words(_bare(raw), off, _TABLE)
+    s, e, h, first, count = _words(raw, off)
     if not len(s):
         z = np.zeros(0, bool)
         return Words(h, h, first, count, [_joined(h, z, z, z, first, count)] * (4 if any_case else 2))
     if any_case and (raw >= 0x80).any():
         # Other letters than A-Z; lower case keeps white space and punctuation, and so the words.
         low, low_off = utf8(pc.utf8_lower(column))
-        h = doc_words(_bare(low), low_off, _TABLE)[2]
+        h = _words(low, low_off)[2]
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw])])
     number = digits[e] > digits[s]
-    head = raw[s]
-    second = raw[np.minimum(s + 1, len(raw) - 1)]
-    name = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    name = _capitals(raw, s)
     t = h.copy()
     unit = np.zeros(len(s), bool)
-    at = np.searchsorted(_UNITS, h)
-    unit[1:] = number[:-1] & (_UNITS[np.minimum(at, len(_UNITS) - 1)] == h)[1:]
+    units = _UNITS[np.minimum(np.searchsorted(_UNITS, h), len(_UNITS) - 1)] == h
+    unit[1:] = number[:-1] & units[1:]
+    per = np.zeros(len(s), bool)  # km/h is one unit
+    per[1:] = unit[:-1] & units[1:] & (s[1:] == e[:-1] + 1) & (raw[e[:-1]] == 0x2F)
+    unit |= per
     t[name], t[unit], t[number] = NAME, UNIT, NUM
     name &= ~(number | unit)
     inside = np.ones(len(s), bool)
@@ -137,6 +152,8 @@ def templates(column, any_case: bool = False) -> Words:
     solid, ends = (np.concatenate([[0], np.cumsum(x)]) for x in (_BREAK[raw], raw == 0x0A))
     names[1:] = name[1:] & name[:-1] & (solid[s[1:]] == solid[e[:-1]]) & (ends[s[1:]] - ends[e[:-1]] < 2)
     names &= inside
+    per &= inside
+    numbers |= per
     at = np.flatnonzero(~numbers)
     n = np.diff(np.append(at, len(s)))
     value = np.repeat(np.where(n > 1, spans_hash(prefix_sums(h), at, at + n), h[at]), n)
@@ -325,28 +342,41 @@ def _judged(bench: Bench, part: pa.Table, coverage: float) -> pa.RecordBatch:
 
 def _shuffled(docs: DataFrame, items: DataFrame, coverage: float, any_case: bool) -> DataFrame:
     """The same for a benchmark of any size: window hashes of both sides meet in a hash join, which
-    gives (doc_id, item_id) candidates; each candidate's texts are then judged in one task row."""
+    gives (row, item_id) candidates; each candidate's texts are then judged in one task row. A bitmap of
+    fixed size keeps most other windows of the documents out of the shuffle."""
+    d = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
 
-    def hashed(df: DataFrame, key: str, least_only: bool) -> DataFrame:
+    def hashed(df: DataFrame, key: str, least_only: bool, bits=None) -> DataFrame:
         def work(batches):
             for b in batches:
                 for part in slices(_batch(b)):
                     forms = templates(part.column("text"), any_case).forms
-                    ids, keys, hashes = part.column(key).to_numpy(zero_copy_only=False), [], []
+                    ids, keys, hashes = part.column(key).to_numpy(), [], []
                     for w, form in product(range(LEAST, WINDOW + 1), forms):
                         x = windows_hash(form.t, w)
-                        for d, (f, c) in enumerate(zip(form.first, form.count, strict=True)):
+                        for i, (f, c) in enumerate(zip(form.first, form.count, strict=True)):
                             if c >= w and (not least_only or min(c, WINDOW) == w):
-                                hashes.append(np.unique(x[f : f + c - w + 1]))
-                                keys.append(np.full(len(hashes[-1]), ids[d]))
+                                own = np.unique(x[f : f + c - w + 1])
+                                if bits is not None:
+                                    slot = own & U(BITS - 1)
+                                    own = own[bits.value[slot >> U(5)] >> (slot & U(31)).astype(np.uint32) & np.uint32(1) == 1]
+                                hashes.append(own)
+                                keys.append(np.full(len(own), ids[i]))
                     k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
                     v = np.concatenate(hashes) if hashes else np.zeros(0, U)
                     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v.view(np.int64), pa.int64())], [key, "h"])
 
-        return df.where(f"{key} is not null and text is not null").select(key, "text").mapInArrow(work, f"{key} bigint, h bigint")
+        return df.select(key, "text").mapInArrow(work, f"{key} bigint, h bigint")
 
-    pairs = hashed(docs, "doc_id", False).join(hashed(items, "item_id", True), "h").select("doc_id", "item_id").distinct()
-    full = pairs.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    asked = cut(hashed(items.where("item_id is not null"), "item_id", True))
+    slot = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    words = asked.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b"))
+    bits = np.zeros(BITS // 32, np.int64)
+    for r in words.collect():  # at most BITS / 32 rows
+        bits[r["w"]] = r["b"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
+    pairs = hashed(d, "row", False, shared).join(asked, "h").select("row", "item_id").distinct()
+    full = pairs.join(d, "row").join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
     def work(batches):
         for b in batches:
@@ -360,5 +390,5 @@ def _shuffled(docs: DataFrame, items: DataFrame, coverage: float, any_case: bool
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, any_case: bool = False) -> DataFrame:
     """The documents without those that an item contaminates; rows with a null doc_id stay."""
-    found = matches(docs, benchmark, coverage, any_case).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = matches(docs.select("doc_id", "text"), benchmark, coverage, any_case).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*map(quoted, docs.columns))
