@@ -9,8 +9,10 @@ best fit over it with a segment tree over remaining capacities, and the plan - r
 - goes back as a small table. Pieces find their rank within their length by salted counts: no task sees
 all pieces of a frequent length.
 
-Defined results: null texts are empty (the end id alone); repeated rows are packed each on its own, but
-need distinct doc_id to be told apart; an empty table gives no rows. Very long texts are encoded whole.
+Defined results: null texts are empty (the end id alone); repeated rows, and rows with a null or the same doc_id, are packed
+each on its own (pieces that are equal in all columns share their places among them); ties in length go in the
+order of salts and then of doc_id, piece, start and checksum; an empty table gives no rows. Very long texts are
+encoded whole. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +27,46 @@ from pyspark.sql import functions as F
 
 from .common import cut, slices, small_batches
 
-SALTS = 1024
+#: A salt for about 2 ** SALTED pieces, so that the pieces of a length and salt are few, however many the input has.
+LEAST_SALTS, SALTED = 64, 16
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _encoders: dict[str, object] = {}
 
 
+#: Fixed value: the pattern of byte-level pre-tokens.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones are themselves, others in order from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def plain_ranks(file: dict) -> dict[bytes, int] | None:
+    """Token bytes to ids, if the file is a plain byte-level BPE whose merges are numbered in their order, so that the least id
+    is the merge that comes first; else None."""
+    model, pre = file["model"], file.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not (plain and level and file.get("normalizer") is None):
+        return None
+    byte, vocab = byte_of(), model["vocab"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    single = {t for t in vocab if len(t) == 1}
+    ids = [vocab.get(a + b, -1) for a, b in merges]
+    if len(single) != 256 or len(single) + len(merges) != len(vocab) or ids != list(range(256, 256 + len(merges))):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of a tokenizers file. A rank file of the same vocabulary, where it lies beside it, is faster."""
+    """Ids of a tokenizers file. If the file is a plain byte-level BPE (`plain_ranks`), texts without added tokens
+    get the same ids at a quarter of the time from the same vocabulary and merges in tiktoken's merge loop."""
 
     def __init__(self, path: str):
-        import base64
+        import json
         import os
 
         from tokenizers import Tokenizer
@@ -42,15 +74,13 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.full = Tokenizer.from_file(path)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            ranks = plain_ranks(json.load(f))
         self.fast = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if os.path.basename(path) == "byte_bpe_50k.json" and os.path.exists(ranks):
-            import public_tokenizers
+        if ranks is not None:
             import tiktoken
 
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
         if self.fast is not None and not any(x in text for x in self.special):
@@ -146,22 +176,28 @@ def plan(histogram: dict[int, int], length: int) -> list[tuple[int, int, int, in
                         tree.add(free, bins)
                         ids += bins
                 break
+            # The tightest bin stays the tightest while the size fits again: each is filled before the next.
             first, bins = runs[room].pop()
-            took = min(left, bins)
+            each = min(room // size, left)
+            took = min(left // each, bins)
             if took < bins:
                 runs[room].append((first + took, bins - took))
             tree.add(room, -took)
-            out.append((size, rank, took, first, length - room))
-            runs[room - size].append((first, took))
-            tree.add(room - size, took)
-            rank, left = rank + took, left - took
+            for k in range(each):
+                out.append((size, rank, took, first, length - room + k * size))
+                rank += took
+            free = room - each * size
+            runs[free].append((first, took))
+            tree.add(free, took)
+            left -= took * each
     return out
 
 
 def pack(cut_pieces: DataFrame, length: int = 1024) -> DataFrame:
     """cut_pieces (doc_id, piece, length, ...) with sequence_id and offset. Reads its input three times."""
     spark = cut_pieces.sparkSession
-    p = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = max(LEAST_SALTS, cut_pieces.count() >> SALTED)
+    p = cut_pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `length` rows
     rows = plan(histogram, length)
