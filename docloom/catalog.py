@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docloom import schemas as S
 from docloom.functions import security, text, values
-from docloom.operators import chunk, cite, ground, merge, state, validate
+from docloom.operators import chunk, cite, ground, merge, outcome, state, tree, validate
 from docloom.plans import pipeline
 from docloom.session import table
 from docloom.sources import files
@@ -486,8 +486,7 @@ def provider_envelope(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT l.doc_id, l.quality = l.toxic AS same, CASE WHEN d.doc_id IS NULL THEN 'missing' ELSE 'observed' END AS seen FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
 def evaluate_sets(spark: SparkSession, d: str) -> DataFrame:
-    e, o = F.array("quality"), F.array("toxic")
-    same = (F.size(F.array_except(e, o)) == 0) & (F.size(F.array_except(o, e)) == 0)
+    same = outcome.same_set(F.array("quality"), F.array("toxic"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"))
     return table(spark, d, "labels").join(docs, F.col("doc_id") == F.col("id"), "left").select("doc_id", same.alias("same"), F.when(F.col("id").isNull(), "missing").otherwise("observed").alias("seen"))
 
@@ -571,13 +570,51 @@ def retryable_codes(spark: SparkSession, d: str) -> DataFrame:
     return S.error_dimension(spark).select("code", state.is_retryable(F.col("code")).alias("retryable"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT n_nationkey AS node, n_regionkey AS root, 1 AS depth FROM nation) SELECT r_name AS root, count(*) AS children, sum(s.pages)::BIGINT AS pages FROM t JOIN region ON r_regionkey = root JOIN (SELECT s_nationkey, count(*) AS pages FROM supplier GROUP BY 1) s ON s_nationkey = node GROUP BY r_name""")
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Trees of three levels: regions hold nations, nations hold suppliers."""
+    def node(df: DataFrame, *columns) -> DataFrame:
+        names = ("root_id", "node_id", "parent_id", "pos", "pages", "images", "kind")
+        return df.select(*[F.col(c).alias(n) if isinstance(c, str) else c.alias(n) for c, n in zip(columns, names, strict=True)])
+
+    nation = table(spark, d, "nation")
+    key = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    regions = node(table(spark, d, "region"), "r_regionkey", key("r", "r_regionkey"), F.lit(None).cast("string"), F.lit(0), F.lit(3), F.lit(2), F.lit("pdf"))
+    nations = node(nation, "n_regionkey", key("n", "n_nationkey"), key("r", "n_regionkey"), "n_nationkey", F.length("n_name"), F.lit(1), F.lit("image"))
+    supplier = table(spark, d, "supplier").join(nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
+    suppliers = node(supplier, "n_regionkey", key("s", "s_suppkey"), key("n", "s_nationkey"), "s_suppkey", F.col("s_suppkey") % 7, F.col("s_suppkey") % 3, F.lit("pdf"))
+    return regions.unionAll(nations).unionAll(suppliers)
+
+
+SQL_NODES = """(SELECT r_regionkey AS root_id, 'r' || r_regionkey AS node_id, NULL AS parent_id, 0 AS pos, 3 AS pages, 2 AS images, 'pdf' AS kind FROM region
+ UNION ALL SELECT n_regionkey, 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey, length(n_name), 1, 'image' FROM nation
+ UNION ALL SELECT n_regionkey, 's' || s_suppkey, 'n' || s_nationkey, s_suppkey, s_suppkey % 7, s_suppkey % 3, 'pdf' FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+SQL_TREE = f"""(WITH RECURSIVE t AS (SELECT *, 0 AS depth, []::BIGINT[] AS path FROM {SQL_NODES} WHERE parent_id IS NULL
+ UNION ALL SELECT n.*, t.depth + 1, list_append(t.path, n.pos) FROM {SQL_NODES} n JOIN t ON t.root_id = n.root_id AND t.node_id = n.parent_id) SELECT * FROM t)"""
+
+
+@query(f"""SELECT root_id, node_id, depth, row_number() OVER w AS visit, coalesce(sum(pages) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+ FROM {SQL_TREE} WINDOW w AS (PARTITION BY root_id ORDER BY path)""")
+def inspection_admission(spark: SparkSession, d: str) -> DataFrame:
+    return tree.admission(tree.paths(tree_nodes(spark, d))).select("root_id", "node_id", "depth", "visit", "offset")
+
+
+@query(f"""WITH t AS (SELECT *, unnest(range(0, depth + 1)) AS k FROM {SQL_TREE})
+SELECT root_id, array_to_string(path[1:k], '/') AS path, count(*) FILTER (depth > k) AS attachments, sum(pages)::BIGINT AS pages, sum(images)::BIGINT AS images,
+ sum(pages + CASE WHEN kind = 'pdf' THEN images ELSE 0 END)::BIGINT AS work FROM t GROUP BY root_id, path[1:k]""")
 def inspection_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Counters added up a tree: region, nation, supplier as source, attachment, page."""
-    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("p"))
-    n = table(spark, d, "nation").join(s, "n_nationkey")
-    r = n.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.count("*").alias("children"), F.sum("p").alias("pages"))
-    return r.join(F.broadcast(table(spark, d, "region")), "r_regionkey").select(F.col("r_name").alias("root"), "children", "pages")
+    """Counters and work added up each tree."""
+    t = tree.paths(tree_nodes(spark, d))
+    r = tree.roll_up(t, ["pages", "images"]).join(tree.work_size(t), ["root_id", "path"])
+    return r.select("root_id", F.array_join("path", "/").alias("path"), "attachments", "pages", "images", "work")
+
+
+@query(f"""SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path, number) AS number, repeat('[Załącznik]' || chr(10), depth) || node_id || '/' || number AS text, 'ocr' AS source
+ FROM (SELECT *, unnest(range(1, pages + 1)) AS number FROM {SQL_TREE})""")
+def inspection_pages(spark: SparkSession, d: str) -> DataFrame:
+    nodes = tree_nodes(spark, d)
+    pages = nodes.where("pages > 0").select("root_id", "node_id", F.explode(F.sequence(F.lit(1), F.col("pages"))).alias("number"))
+    pages = pages.withColumns({"text": F.concat_ws("/", "node_id", "number"), "source": F.lit("ocr")})
+    return tree.numbered_pages(tree.paths(nodes), pages).select("root_id", "number", "text", "source")
 
 
 @query("""SELECT l_orderkey AS doc_id, l_linenumber AS path, arg_max(l_returnflag, l_partkey * 1000000 + l_suppkey) AS code FROM lineitem GROUP BY 1, 2""")
@@ -587,6 +624,106 @@ def warning_flags(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("doc_id", "path").agg(F.max_by("code", "pos").alias("code"))
 
 
-@query("SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type)))[1:15], ',') AS joined FROM events GROUP BY user_id")
+@query("""WITH l AS (SELECT user_id, event_type AS k, min(struct_pack(t := ts, e := event_id)) AS p FROM events GROUP BY ALL)
+SELECT user_id, array_to_string(list(k ORDER BY p)[1:15], ',') AS joined FROM l GROUP BY user_id""")
 def keyword_union(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.slice(F.sort_array(F.collect_set("event_type")), 1, 15), ",").alias("joined"))
+    """The first spelling of each keyword, in order."""
+    words = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("w"))
+    return words.select("user_id", F.array_join(pipeline.unique_strings(F.col("w"), 15), ",").alias("joined"))
+
+
+# ------------------------------------------------------------------ clients and evaluation
+
+SQL_ANSWER = """(SELECT event_id, event_id % 11 = 0 AS aborted, event_id % 13 = 0 AS timed_out, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 503 WHEN 2 THEN 500 WHEN 3 THEN 404 ELSE 200 END AS status,
+ CASE event_id % 7 WHEN 1 THEN '{"error":{"code":"AI_UNAVAILABLE"}}' WHEN 2 THEN '{"error":{"code":"NEVER_HEARD"}}' WHEN 3 THEN '<html>' ELSE '{"a":1}' END AS body, event_id % 5 <> 0 AS valid FROM events)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN status IS NULL OR status = 200 OR NOT known THEN 'client' ELSE 'api' END AS source,
+ CASE WHEN status IS NULL THEN CASE WHEN timed_out THEN 'TIMEOUT' ELSE 'NETWORK' END WHEN body = '<html>' OR status = 200 THEN 'INVALID_RESPONSE' WHEN known THEN 'AI_UNAVAILABLE' ELSE 'UNKNOWN' END AS code
+ FROM (SELECT *, contains(body, 'AI_UNAVAILABLE') AS known FROM {SQL_ANSWER}) WHERE NOT aborted AND (status IS DISTINCT FROM 200 OR NOT valid)""")
+def answer_errors(spark: SparkSession, d: str) -> DataFrame:
+    e, k = F.col("event_id"), F.col("event_id") % 7
+    status = F.when(k == 0, None).when(k == 1, 503).when(k == 2, 500).when(k == 3, 404).otherwise(200)
+    body = F.when(k == 1, '{"error":{"code":"AI_UNAVAILABLE"}}').when(k == 2, '{"error":{"code":"NEVER_HEARD"}}').when(k == 3, "<html>").otherwise('{"a":1}')
+    error = outcome.answer_error(e % 11 == 0, e % 13 == 0, status, body, e % 5 != 0)
+    return table(spark, d, "events").select("event_id", error.alias("x")).where("x is not null").select("event_id", "x.source", "x.code")
+
+
+SQL_MESSAGES = literal([("api", c, m) for c, m, _ in S.ERRORS] + [("client", c, m) for c, m in S.CLIENT_ERRORS], "source, code, message")
+
+
+@query(f"SELECT source, code, message, count(*) AS n FROM ({ORACLES['answer_errors']}) JOIN {SQL_MESSAGES} USING (source, code) GROUP BY ALL")
+def error_messages(spark: SparkSession, d: str) -> DataFrame:
+    e = outcome.with_messages(answer_errors(spark, d), S.message_dimension(spark))
+    return e.groupBy("source", "code", "message").agg(F.count("*").alias("n"))
+
+
+STAGES = [(1, None, None, None, None), (2, "complete", 9, 1, 1), (3, "attachment", None, None, None), (4, "decoding", None, None, None), (5, "original", 9, None, None), (6, "attachment", 9, None, None), (7, "ocr", 9, 2, 5), (8, "ocr", 9, None, None)]
+
+
+@query(f"""SELECT id, CASE WHEN stage IS NULL THEN 'Otwieranie pliku…' WHEN stage = 'complete' THEN 'Kontrola dokumentu zakończona.'
+ WHEN total IS NULL THEN CASE stage WHEN 'attachment' THEN 'Sprawdzanie drzewa załączników…' ELSE 'Sprawdzanie struktury dokumentu…' END
+ WHEN stage = 'original' THEN 'Sprawdzanie oryginalnego obrazu osadzonego w PDF…' WHEN stage = 'attachment' THEN 'Odczyt załączników z pamięci zakończonej kontroli…'
+ ELSE 'Odczyt obrazu na tym urządzeniu (OCR) · Strona ' || coalesce(page, 0) || ' z ' || coalesce(pages, 0) END AS said FROM {literal(STAGES, 'id, stage, total, page, pages')}""")
+def progress_text(spark: SparkSession, d: str) -> DataFrame:
+    p = spark.createDataFrame(STAGES, "id int, stage string, total int, page int, pages int")
+    return p.select("id", outcome.progress_text(*map(F.col, ("stage", "total", "page", "pages"))).alias("said"))
+
+
+@query("SELECT event_type, avg(value) FILTER (f <= 10) AS first_mean, avg(value) FILTER (l <= 10) AS last_mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS f, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS l FROM events) GROUP BY event_type")
+def cohort_drift(spark: SparkSession, d: str) -> DataFrame:
+    return outcome.drift(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value")
+
+
+@query("SELECT user_id, bool_and(value < 90) AS passed FROM events GROUP BY user_id")
+def samples_passed(spark: SparkSession, d: str) -> DataFrame:
+    return outcome.all_passed(table(spark, d, "events"), ["user_id"], F.col("value") < 90)
+
+
+@query("SELECT user_id AS drop_id, CASE WHEN count(*) > 1 THEN 'MULTIPLE_FILES' WHEN min(event_type) = 'view' THEN 'NOT_PDF' END AS code FROM events WHERE value < 3 GROUP BY user_id")
+def single_file(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "events").where("value < 3").withColumnRenamed("user_id", "drop_id")
+    return outcome.single_file(f, F.when(F.col("event_type") == "view", "NOT_PDF"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events r WHERE r.value < 5 AND r.user_id = e.user_id AND r.event_type = e.event_type)")
+def history_removed(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("user_id", "event_type").distinct()
+    return outcome.remove_from_history(e, table(spark, d, "events").where("value < 5"), "user_id", "event_type")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS pos, l_partkey AS part, CASE WHEN abs(v) < 10000 THEN replace(t, chr(160), '') ELSE t END AS text FROM (SELECT *, regexp_replace(regexp_replace(translate(format('{:,.2f}', v), ',.', chr(160) || ','), '(,[0-9])0$', '\\1'), ',0$', '') AS t FROM (SELECT *, l_extendedprice::DOUBLE AS v FROM lineitem))")
+def polish_amount(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), text.polish_amount(F.col("l_extendedprice").cast("double")).alias("text"))
+
+
+@query("SELECT event_id, pos, CASE WHEN token LIKE '\"%:' THEN 'key' WHEN token LIKE '\"%' THEN 'string' WHEN token IN ('true', 'false') THEN 'boolean' WHEN token = 'null' THEN 'null' ELSE 'number' END AS kind, token FROM (SELECT event_id, unnest(range(0, len(t))) AS pos, unnest(t) AS token FROM (SELECT event_id, regexp_extract_all(props, '" + text.JSON_TOKEN.replace("'", "''") + "') AS t FROM events))")
+def json_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.posexplode(text.json_tokens(F.col("props"))).alias("pos", "t")).select("event_id", "pos", "t.kind", "t.token")
+
+
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'page')), ',') AS unknown FROM events WHERE json_valid(props)")
+def unknown_keys(spark: SparkSession, d: str) -> DataFrame:
+    keys = F.array_join(F.sort_array(validate.unknown_keys(F.col("props"), ["page"])), ",")
+    return table(spark, d, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", keys.alias("unknown"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 600 = 0 THEN 'retryable' WHEN event_id % 600 = 200 THEN CASE WHEN value > 50 THEN 'ok' ELSE 'invalid' END WHEN event_id % 600 IN (429, 500, 502, 503, 504) THEN 'retryable' ELSE 'fatal' END AS kind FROM events")
+def attempt_kind(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", state.attempt_kind(F.col("event_id") % 600, F.col("value") > 50).alias("kind"))
+
+
+BYTES = [(1, "feff0141006f"), (2, "fffe41016f00"), (3, "a09a9b415d"), (4, "181f8a"), (5, "")]
+
+
+@query("SELECT * FROM (VALUES (1, 'Ło'), (2, 'Ło'), (3, '€ıłA]'), (4, '˘˜−'), (5, '')) AS t(id, said)")
+def decode_pdf_string(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(BYTES, "id int, b string").select("id", files.decode_pdf_string(F.unhex("b")).alias("said"))
+
+
+SPELLED = [(1, "Z\u0307o\u0301\u0142c\u0301 Gęś"), (2, "\u017b\u00f3\u0142\u0107 ge\u0328s\u0301"), (3, "plain  TEXT"), (4, "e\u0302\u0301")]
+
+
+@query(f"SELECT id, lower(nfc_normalize(regexp_replace(trim(t), '\\s+', ' ', 'g'))) AS key FROM {literal(SPELLED, 'id, t')}")
+def normalize_key(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(SPELLED, "id int, t string").select("id", text.normalize_key(F.col("t")).alias("key"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,19 +65,32 @@ def export_file_name(name: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("dokument")), F.lit(".insight.json"))
 
 
+def composed(t: Column) -> Column:
+    """Latin letters of two characters (a letter and a combining mark) as one, so that both spellings are equal. Other scripts
+    stay as they are."""
+    pairs = []
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
+            pairs.append((parts, c))
+    # Letters with two marks come first: what remains has one.
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(pairs, key=lambda p: -len(p[0]))])
+    return F.when(t.rlike(r"\p{M}"), F.aggregate(steps, t, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(t)
+
+
 def normalize_key(t: Column) -> Column:
-    """Key for case- and space-insensitive equality. Text is taken as precomposed (NFC)."""
-    return F.lower(collapse(t))
+    """Key for case- and space-insensitive equality, also of composed and decomposed letters."""
+    return F.lower(composed(collapse(t)))
 
 
 #: Letters and what they fold to.
-ACCENTED = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžłÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaaaacccccddeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzlaaaaaaceeeeiiiinooooouuuuy"
+ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżžłÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzzlaaaaaaceeeeiiiinooooouuuuy"
 
 
 def fold(t: Column) -> Column:
-    """Lower case without diacritics, for Latin text; ł is l, ß is ss."""
-    return F.replace(F.translate(F.lower(t), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    """Lower case without diacritics, for Latin text, combining marks too; ł is l, ß is ss."""
+    return F.replace(F.translate(F.regexp_replace(F.lower(t), r"\p{M}+", ""), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
 def ends_sentence(t: Column) -> Column:

@@ -40,6 +40,24 @@ ERRORS = [
     ("INTERNAL", "Wystąpił nieoczekiwany błąd serwera.", 500),
 ]
 
+#: Codes that a client finds itself, with message.
+CLIENT_ERRORS = [
+    ("NOT_PDF", "To nie jest plik PDF. Wybierz plik z rozszerzeniem .pdf."),
+    ("FILE_TOO_LARGE", "Plik jest większy niż 10 MB. Wybierz mniejszy dokument."),
+    ("FILE_EMPTY", "Plik jest pusty."),
+    ("MULTIPLE_FILES", "Upuść jeden plik PDF naraz."),
+    ("PDF_ENCRYPTED", "Plik PDF jest zabezpieczony hasłem. Usuń zabezpieczenie i spróbuj ponownie."),
+    ("PDF_CORRUPT", "Nie udało się odczytać pliku PDF — może być uszkodzony."),
+    ("TOO_MANY_PAGES", "Dokument ma zbyt wiele stron (maksymalnie 500)."),
+    ("INSPECTION_FAILED", "Nie udało się bezpiecznie odczytać całego dokumentu. Żadna treść nie została wysłana do AI. Wybierz czytelniejszy plik PDF."),
+    ("INSPECTION_LIMIT", "Dokument przekracza limit kontroli: 100 stron, 30 obrazów, 10 załączników lub 2 minuty odczytu. Żadna treść nie została wysłana do AI."),
+    ("ATTACHMENT_UNSUPPORTED", "Dokument zawiera nieobsługiwany załącznik, aktywną treść lub dodatkowe warstwy. Żadna treść nie została wysłana do AI. Usuń te elementy i spróbuj ponownie."),
+    ("NETWORK", "Brak połączenia z serwerem analizy. Sprawdź połączenie z internetem i spróbuj ponownie."),
+    ("TIMEOUT", "Serwer analizy nie odpowiedział w wyznaczonym czasie."),
+    ("INVALID_RESPONSE", "Serwer zwrócił wynik w niepoprawnym formacie, więc nie został wyświetlony."),
+    ("UNKNOWN", "Wystąpił nieoczekiwany błąd. Spróbuj ponownie."),
+]
+
 #: Severity of each warning.
 SEVERITY = {
     "PROMPT_INJECTION_SUSPECTED": "warning",
@@ -67,3 +85,9 @@ ENVELOPE = "struct<candidates:array<struct<content:struct<parts:array<struct<tex
 
 def error_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ERRORS, "code string, message string, status int")
+
+
+def message_dimension(spark: SparkSession) -> DataFrame:
+    """source (api or client), code, message of every error."""
+    rows = [("api", c, m) for c, m, _ in ERRORS] + [("client", c, m) for c, m in CLIENT_ERRORS]
+    return spark.createDataFrame(rows, "source string, code string, message string")

@@ -130,9 +130,13 @@ def png_metadata(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(b) for b in content], columns=["texts", "error"])
 
 
+#: The characters of PDFDocEncoding that are not those of Latin-1, from 0x18 and from 0x80 on.
+PDF_DOC = dict(zip(range(0x18, 0x20), "˘ˇˆ˙˝˛˚˜", strict=True)) | dict(zip(range(0x80, 0x9F), "•†‡…—–ƒ⁄‹›−‰„“”‘’‚™ﬁﬂŁŒŠŸŽıłœšž", strict=True)) | {0x9F: "\ufffd", 0xA0: "€"}
+
+
 @F.pandas_udf(T.StringType())
 def decode_pdf_string(content: pd.Series) -> pd.Series:
-    """A PDF text string: UTF-16 by its mark, else single bytes (Latin-1 range of PDFDocEncoding)."""
+    """A PDF text string: UTF-16 by its mark, else single bytes of PDFDocEncoding."""
 
     def one(b):
         b = bytes(b or b"")
@@ -140,7 +144,7 @@ def decode_pdf_string(content: pd.Series) -> pd.Series:
             return b[2:].decode("utf-16-be", "replace")
         if b[:2] == b"\xff\xfe":
             return b[2:].decode("utf-16-le", "replace")
-        return b.decode("latin-1")
+        return b.decode("latin-1").translate(PDF_DOC)
 
     return content.map(one)
 
