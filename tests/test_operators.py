@@ -158,3 +158,29 @@ def test_error_body(spark):
     r = validate.error_body(d, S.error_dimension(spark)).first()
     assert r["status"] == 429 and len(r["issues"]) == 20
     assert len(S.CURRENCIES) == 158 and len(S.LANGUAGES) == 183
+
+
+def test_passages_around_numbers(spark):
+    """Against a scan by position."""
+    import random
+    import re
+
+    r = random.Random(8)
+    texts = ["", "7", "no number", "1.2,3/4 5", "x1y 2..3 .4", "a" * 300 + "5" + "b" * 300] + ["".join(r.choice("ab1 2.,ż-") for _ in range(r.randint(0, 500))) for _ in range(40)]
+    word = lambda c: c.isalnum()
+
+    def passage(t, at):
+        a, b = max(0, at - 60), min(len(t), at + 180)
+        head, tail = t[a:at], t[at:b]
+        if a and word(t[a - 1]):
+            cut = next((k for k, c in enumerate(head) if not word(c)), None)
+            head = "" if cut is None else head[cut + 1 :]
+        if b < len(t) and word(t[b]):
+            cut = next((k for k in range(len(tail) - 1, -1, -1) if not word(tail[k])), 0)
+            tail = tail[:cut]
+        return (head + tail).strip(" ")
+
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cite._mentions(F.col("t")).alias("m"))
+    for row in d.collect():
+        want = [passage(row["t"], m.start()) for m in re.finditer(r"[0-9][0-9.,/-]*", row["t"])]
+        assert [m["excerpt"] for m in row["m"]] == want
