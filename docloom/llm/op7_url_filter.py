@@ -12,8 +12,9 @@ A template's nodes are its prefixes, kept as 128-bit hashes: one explode, one su
 along each template's nodes do for any depth. A path of fewer than two segments ends in empty ones.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule, and the verdict
-"allow". Rows that repeat are judged each on its own. Without labels every template is allowed.
-Extra columns of the input are not read. The tree grows with distinct (host, template) pairs, not pages.
+"allow". Rows that repeat are judged each on its own. Without labels every template is allowed. Of rules of equal
+length that fit, the later one in the list wins; a purity of just the threshold is allowed. An empty table gives no
+rows; very long urls are read whole. Extra columns of the pages and the labels are not read. The tree grows with distinct (host, template) pairs, not pages.
 """
 
 from __future__ import annotations
@@ -81,6 +82,8 @@ def judge(
     parent's share. threshold: least purity to allow. z: branches whose share lies within z standard
     errors of their parent's share merge into it.
     """
+    if labels is not None:
+        labels = labels.select("page_id", "good")
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     seg = template_segments(F.col("path"))

@@ -29,3 +29,15 @@ def test_benchmark_units(spark, monkeypatch):
     assert {(i, x) for i, _, _, _, x in got} == {(1, False), (2, False), (None, True), (4, False)}
     monkeypatch.setattr(op9_decontaminate, "KEPT", 1)  # the shuffled form
     assert sorted(map(tuple, op9_decontaminate.matches(d, b).collect()), key=repr) == got
+
+
+def test_url_filter_ties(spark):
+    from docloom.llm import op7_url_filter
+
+    long = "http://h.net/" + "/".join(f"s{k}" for k in range(400)) + "/x" * 3000
+    pages = spark.createDataFrame([(1, "http://a.net/x/1"), (2, "http://a.net/x/1"), (3, None), (4, long), (5, "http://b.net/p"), (5, "http://b.net/p")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(5, 1.0, "a", 1), (5, 0.0, "b", 2), (4, None, "c", 3), (None, 1.0, "d", 4)], "page_id bigint, good double, host string, n int")
+    rules = [("allow", "net/x"), ("block", "net/x"), ("block", "nothing/")]
+    got = sorted(((r["page_id"], r["verdict"], r["rule"]) for r in op7_url_filter.judge(pages.withColumn("path", F.lit(1)), labels, rules).collect()), key=repr)
+    assert got == [(1, "block", "net/x"), (2, "block", "net/x"), (3, "allow", None), (4, "allow", None), (5, "allow", None), (5, "allow", None)]
+    assert op7_url_filter.judge(pages.limit(0), labels).collect() == []
