@@ -38,22 +38,16 @@ def redact(t: Column) -> Column:
 
 def scan(t: Column) -> Column:
     """struct<text, findings>: the redacted text with what was found, kind by kind. Each kind is looked for in what the kinds
-    before it have left; a text without a secret is matched once."""
+    before it have left; a text without a secret is matched once, and only others fold over the kinds."""
     none = F.struct(t.alias("text"), F.array().cast(_FINDINGS).alias("findings"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), F.lit(f"[REDACTED:{k}]").alias("mark")) for k, p in SECRETS])
 
-    def apply(kind: str, pattern: str):
-        def of(s):
-            one = F.array(F.struct(F.lit(kind).alias("kind"), F.regexp_count(s["text"], F.lit(pattern)).alias("count")))
-            found = F.filter(one, lambda f: f["count"] > 0)
-            rest = F.regexp_replace(s["text"], pattern, f"[REDACTED:{kind}]")
-            return F.struct(rest.alias("text"), F.concat(s["findings"], found).alias("findings"))
+    def step(s, k):
+        one = F.array(F.struct(k["kind"].alias("kind"), F.regexp_count(s["text"], k["pattern"]).alias("count")))
+        rest = F.regexp_replace(s["text"], k["pattern"], k["mark"])
+        return F.struct(rest.alias("text"), F.concat(s["findings"], F.filter(one, lambda f: f["count"] > 0)).alias("findings"))
 
-        return of
-
-    step = none
-    for kind, pattern in SECRETS:
-        step = let(step, apply(kind, pattern))
-    return F.when(t.rlike(_ANY), step).otherwise(none)
+    return F.when(t.rlike(_ANY), F.aggregate(kinds, none, step)).otherwise(none)
 
 
 def findings(t: Column) -> Column:

@@ -65,17 +65,25 @@ def export_file_name(name: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(base, F.lit("")), F.lit("dokument")), F.lit(".insight.json"))
 
 
-def composed(t: Column) -> Column:
-    """Latin letters of two characters (a letter and a combining mark) as one, so that both spellings are equal. Other scripts
-    stay as they are."""
+def _pairs() -> str:
+    """Latin letters with marks as an SQL array of (decomposed, composed); one expression, however many there are."""
     pairs = []
     for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
         parts = unicodedata.normalize("NFD", c)
         if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
             pairs.append((parts, c))
     # Letters with two marks come first: what remains has one.
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in sorted(pairs, key=lambda p: -len(p[0]))])
-    return F.when(t.rlike(r"\p{M}"), F.aggregate(steps, t, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(t)
+    pairs.sort(key=lambda p: -len(p[0]))
+    return "array(" + ", ".join(f"struct('{a}' AS a, '{b}' AS b)" for a, b in pairs) + ")"
+
+
+COMPOSED = _pairs()
+
+
+def composed(t: Column) -> Column:
+    """Latin letters of two characters (a letter and a combining mark) as one, so that both spellings are equal. Other scripts
+    stay as they are."""
+    return F.when(t.rlike(r"\p{M}"), F.aggregate(F.expr(COMPOSED), t, lambda s, p: F.replace(s, p["a"], p["b"]))).otherwise(t)
 
 
 def normalize_key(t: Column) -> Column:

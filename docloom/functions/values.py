@@ -104,7 +104,7 @@ def iso_date(y: Column, m: Column, d: Column) -> Column:
     """yyyy-MM-dd, null if there is no such day."""
     year, month, day = (x.cast("int") for x in (y, m, d))
     leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    last = F.get(F.array(*[F.lit(n) for n in DAYS]), month - 1) + F.when((month == 2) & leap, 1).otherwise(0)
+    last = F.get(F.expr(f"array({', '.join(map(str, DAYS))})"), month - 1) + F.when((month == 2) & leap, 1).otherwise(0)
     pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
     text = F.concat_ws("-", pad(year, 4), pad(month, 2), pad(day, 2))
     return F.when((year >= 1) & (month >= 1) & (month <= 12) & (day >= 1) & (day <= last), text)
@@ -118,7 +118,7 @@ def collect_dates(t: Column) -> Column:
     """Distinct ISO dates: numeric day-month-year in both readings, year-month-day, and month names."""
     b, e = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
     sep = "[.\\-/]"
-    month = F.create_map(*[F.lit(x) for kv in MONTH_OF.items() for x in kv])
+    month = F.expr("map(" + ", ".join(f"'{name}', {k}" for name, k in MONTH_OF.items()) + ")")
     none = F.array().cast("array<string>")
 
     def each(pattern: str, make):

@@ -80,9 +80,14 @@ def rule_based_payloads(prepared: DataFrame) -> DataFrame:
     """Our own stand-in for a model: doc_id, chunk_id 0, payload with every date and every number before
     a currency code. It makes no claim to equal a model's answers."""
     t = F.col("full_text")
-    money = F.regexp_extract_all(t, F.lit(rf"({values.GROUPED}|{values.PLAIN}) ?({'|'.join(S.CURRENCIES)})\b"), F.lit(1))
-    code = F.regexp_extract_all(t, F.lit(rf"({values.GROUPED}|{values.PLAIN}) ?({'|'.join(S.CURRENCIES)})\b"), F.lit(2))
-    amounts = F.transform(F.arrays_zip(money.alias("n"), code.alias("c")), lambda m: F.struct(F.get(values.interpret_number(m["n"]), F.lit(0)).alias("value"), m["c"].alias("currency"), F.concat_ws(" ", m["n"], m["c"]).alias("context"), F.lit(None).cast("int").alias("page")))
+    money = F.regexp_extract_all(t, F.lit(rf"(?:{values.GROUPED}|{values.PLAIN}) ?(?:{'|'.join(S.CURRENCIES)})\b"), F.lit(0))
+
+    def amount(m):
+        number, code = F.rtrim(F.substring(m, F.lit(1), F.length(m) - 3)), F.right(m, F.lit(3))
+        value = F.get(values.interpret_number(number), F.lit(0))
+        return F.struct(value.alias("value"), code.alias("currency"), F.concat_ws(" ", number, code).alias("context"), F.lit(None).cast("int").alias("page"))
+
+    amounts = F.transform(money, amount)
     dates = F.transform(values.collect_dates(t), lambda x: F.struct(x.alias("date"), x.alias("context"), F.lit(None).cast("int").alias("page")))
     parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+|\n+"), text.collapse), lambda s: s != "")
     p = F.struct(
