@@ -65,4 +65,16 @@ SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity < 0.5 THEN 'bl
  CASE WHEN s2 IS NOT NULL THEN '/' || l1 || '/' || l2 WHEN own1 THEN '/' || l1 || '/**' ELSE '/**' END AS template, round(purity, 9) AS purity FROM j
 """
 
-ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op5_substring_dedup": SUBSTRINGS, "op7_url_filters": URLS}
+#: Lines as what stands between line feeds: a last empty piece is no unit, and pieces but the last end in a line feed.
+FILL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS p, sha256(concat('7:', doc_id)) AS h FROM documents),
+c AS (SELECT *, len(p) - CASE WHEN p[len(p)] = '' THEN 1 ELSE 0 END AS n, [CAST('0x' || substr(h, 8 * k - 7, 8) AS UBIGINT) FOR k IN [1, 2, 3, 4]] AS d FROM t),
+f AS (SELECT *, least(d[1] % (n + 1), d[2] % (n + 1))::BIGINT AS a, greatest(d[1] % (n + 1), d[2] % (n + 1))::BIGINT AS b,
+  CASE WHEN text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' THEN 'plain' WHEN d[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+s AS (SELECT doc_id, text, n, form, array_to_string(p[1:a], chr(10)) || CASE WHEN a > 0 AND a < len(p) THEN chr(10) ELSE '' END AS x,
+  array_to_string(p[a + 1:b], chr(10)) || CASE WHEN b > a AND b < len(p) THEN chr(10) ELSE '' END AS y, array_to_string(p[b + 1:], chr(10)) AS z FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256 FROM s
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": JACCARD, "op5_substring_dedup": SUBSTRINGS, "op7_url_filters": URLS, "op11_fill_in_middle": FILL}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import op1_ngram_join, op2_packing, op3_token_counts, op4_fingerprint, op5_substring_dedup, op6_language, op7_url_filter, op8_line_dedup, op9_decontaminate, op10_suffix_dedup
+from . import op11_fill_middle, op12_nearest, op13_whitening
 
 from .oracles import ORACLES  # noqa: F401
 
@@ -75,6 +76,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_suffix_dedup.dedup_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = op11_fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    digest = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return op11_fill_middle.restore(filled).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return op12_nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_whitening.whiten(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -86,4 +102,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup_query,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
