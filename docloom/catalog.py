@@ -727,3 +727,7 @@ SPELLED = [(1, "Z\u0307o\u0301\u0142c\u0301 Gęś"), (2, "\u017b\u00f3\u0142\u01
 @query(f"SELECT id, lower(nfc_normalize(regexp_replace(trim(t), '\\s+', ' ', 'g'))) AS key FROM {literal(SPELLED, 'id, t')}")
 def normalize_key(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(SPELLED, "id int, t string").select("id", text.normalize_key(F.col("t")).alias("key"))
+
+
+# The parts of the catalogue in modules of their own, which take `query` and the SQL above from here.
+from docloom import catalog_inspection  # noqa: E402, F401

@@ -1,8 +1,8 @@
 """Inspection trees: documents with attachments, to a bounded depth, as tables of nodes.
 
 nodes: root_id, node_id, parent_id (null: the root), pos (place among its siblings), pages, images and other counters.
-A tree has MAX_DEPTH + 1 levels at most, so that paths come from as many joins and no recursion runs; deeper
-nodes are reported, not dropped.
+A tree has MAX_DEPTH + 1 levels at most, so that paths come from as many joins and no recursion runs. One more level
+is kept, which admission refuses; `unreached` reports every node that is in no path, with the reason.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
+from docloom.durable import durable
+from docloom.functions.text import utf16_length
 from docloom.operators.state import MAX_DEPTH
 
 #: Fixed value: what a page of an attachment begins with, once for each level.
@@ -19,8 +21,8 @@ ATTACHMENT = "[Załącznik]\n"
 
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """nodes with depth and path, the places from the root down; in each root, path is the order of visits. Depth
-    MAX_DEPTH + 1 stands for all deeper levels that hang on it."""
+    """nodes with depth and path, the places from the root down; in each root, path is the order of visits. The levels
+    below MAX_DEPTH + 1 are left to `unreached`."""
     level = nodes.where("parent_id is null").withColumns({"depth": F.lit(0), "path": F.array().cast("array<bigint>")})
     out = level
     for depth in range(1, MAX_DEPTH + 2):
@@ -32,6 +34,27 @@ def paths(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def unreached(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """root_id, node_id, why of the nodes that `paths` has not: deep (below its last level), orphan (the chain of parents ends at
+    a node that is not there) or cycle (it never ends). Each round doubles how far up a node looks, so a chain of n parents
+    takes log2(n) rounds; what looks at nothing new after as many rounds as there are nodes is a cycle."""
+    key = ["root_id", "node_id"]
+    lost = nodes.join(tree.select(*key), key, "left_anti").dropDuplicates(key)
+    known = nodes.select("root_id", F.col("node_id").alias("up")).distinct()
+    reached = tree.select("root_id", F.col("node_id").alias("up"), F.lit("deep").alias("__deep")).distinct()
+    found = lost.select(*key, F.col("parent_id").alias("up"))
+    found = found.join(known.withColumn("__known", F.lit(True)), ["root_id", "up"], "left").join(reached, ["root_id", "up"], "left")
+    found = durable(found.select(*key, "up", F.coalesce("__deep", F.when(F.col("__known").isNull(), "orphan")).alias("why")))
+    rounds = max(1, found.count()).bit_length() + 1
+    for _ in range(rounds):
+        if found.where("why is null").isEmpty():
+            break
+        above = found.select("root_id", F.col("node_id").alias("up"), F.col("up").alias("__up"), F.col("why").alias("__why"))
+        on = found.where("why is null").join(above, ["root_id", "up"])
+        found = durable(found.where("why is not null").unionByName(on.select(*key, F.col("__up").alias("up"), F.col("__why").alias("why"))))
+    return found.select(*key, F.coalesce("why", F.lit("cycle")).alias("why"))
+
+
 def admission(tree: DataFrame) -> DataFrame:
     """paths with visit (from 1) and offset: the pages of all nodes visited before."""
     w = W.partitionBy("root_id").orderBy("path")
@@ -73,7 +96,7 @@ def numbered_pages(tree: DataFrame, pages: DataFrame) -> DataFrame:
 
 def text_limits(pages: DataFrame) -> DataFrame:
     """root_id, code: INSPECTION_LIMIT where a page or all of them are too long, else null."""
-    n = F.length("text")
+    n = utf16_length(F.col("text"))
     over = (F.max(n) > S.MAX_PAGE_CHARS) | (F.sum(n) > S.MAX_TOTAL_CHARS)
     return pages.groupBy("root_id").agg(F.when(over, "INSPECTION_LIMIT").alias("code"))
 
