@@ -62,16 +62,14 @@ def all_passed(checks: DataFrame, by: list[str], passed: Column) -> DataFrame:
 
 
 def drift(samples: DataFrame, by: list[str], order: list[str], value: str, edge: int = 10) -> DataFrame:
-    """by, first_mean, last_mean: of a cohort's first and last samples. Each end is ranked on its own, over the rows that may be
-    in it."""
-    w = W.partitionBy(*by)
-    ranked = samples.withColumns({
-        "__f": F.row_number().over(w.orderBy(*order)),
-        "__l": F.row_number().over(w.orderBy(*[F.desc(c) for c in order])),
-    })
-    ends = ranked.where((F.col("__f") <= edge) | (F.col("__l") <= edge))
-    mean = lambda rank: F.avg(F.when(F.col(rank) <= edge, F.col(value)))
-    return ends.groupBy(*by).agg(mean("__f").alias("first_mean"), mean("__l").alias("last_mean"))
+    """by, first_mean, last_mean: of a cohort's first and last samples. Either end is a rank of its own, so that each task
+    gives no more than `edge` rows of a cohort to the shuffle."""
+
+    def end(orders, name):
+        ranked = samples.withColumn("__k", F.row_number().over(W.partitionBy(*by).orderBy(*orders)))
+        return ranked.where(F.col("__k") <= edge).groupBy(*by).agg(F.avg(value).alias(name))
+
+    return end(order, "first_mean").join(end([F.desc(c) for c in order], "last_mean"), by)
 
 
 def remove_from_history(entries: DataFrame, removed: DataFrame, scope: str, key: str) -> DataFrame:

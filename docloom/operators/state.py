@@ -6,32 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docloom.operators.ordered import Cache, FixedWindow, in_order
+
 
 def rate_limit(events: DataFrame, key: str, ts: str, limit: int, window_us: int) -> DataFrame:
     """key, ts (microseconds), allowed for each request. A window starts with the key's first request, and again with the
-    first one that is window_us or more after the start; refused requests count."""
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<ts:bigint,allowed:boolean>>").alias("out"))
-
-    def step(s, t):
-        new = s["start"].isNull() | (t - s["start"] >= window_us)
-        n = F.when(new, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(new, t).otherwise(s["start"]).alias("start"), n.alias("n"), F.array_append(s["out"], F.struct(t.alias("ts"), (new | (n <= limit)).alias("allowed"))).alias("out"))
-
-    per_key = events.groupBy(key).agg(F.sort_array(F.collect_list(ts)).alias("t"))
-    return per_key.select(key, F.explode(F.aggregate("t", zero, step, lambda s: s["out"])).alias("r")).select(key, "r.ts", "r.allowed")
+    first one that is window_us or more after the start; refused requests count. Requests without a time are left out."""
+    schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (key, ts)) + ", allowed boolean"
+    return in_order(events.select(key, ts).where(F.col(ts).isNotNull()), [key], [ts], lambda: FixedWindow(key, ts, limit, window_us), schema)
 
 
 def denied_counts(events: DataFrame, key: str, ts: str, limit: int, window_us: int) -> DataFrame:
-    """key, requests, denied: the same fold without its rows."""
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("denied"))
-
-    def step(s, t):
-        new = s["start"].isNull() | (t - s["start"] >= window_us)
-        n = F.when(new, 1).otherwise(s["n"] + 1)
-        return F.struct(F.when(new, t).otherwise(s["start"]).alias("start"), n.alias("n"), (s["denied"] + F.when(~new & (n > limit), 1).otherwise(0)).cast("bigint").alias("denied"))
-
-    per_key = events.groupBy(key).agg(F.sort_array(F.collect_list(ts)).alias("t"))
-    return per_key.select(key, F.size("t").cast("bigint").alias("requests"), F.aggregate("t", zero, step, lambda s: s["denied"]).alias("denied"))
+    """key, requests, denied: the same by key. A key's rows are one partition's already, so they are counted where they are."""
+    return rate_limit(events, key, ts, limit, window_us).groupBy(key).agg(F.count("*").alias("requests"), F.count_if(~F.col("allowed")).alias("denied"))
 
 
 CACHE_OUT = "scope string, pos bigint, key string, cache_hit boolean"
@@ -41,37 +28,26 @@ def cache_replay(gets: DataFrame, max_entries: int = 8, max_weight: int = 1_000_
     """gets (scope, pos, ts, key, weight, purge) to hits, one LRU cache with expiry for each scope.
 
     The least recently used entries go while there are too many or they weigh too much; what weighs more
-    than the whole cache is never kept; a purge empties it. A scope's requests are one ordered group.
+    than the whole cache is never kept; a purge empties it before the row is asked. What is asked is there at once: `ordered.cache_trace` has the form with jobs
+    that take time.
     """
     import pandas as pd
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "pos"])
-        held: dict[str, tuple[int, int]] = {}
-        hits = []
-
-        def prune(now):
-            for k in [k for k, (until, _) in held.items() if until <= now]:
-                del held[k]
-            weight = sum(w for _, w in held.values())
-            while held and (len(held) > max_entries or weight > max_weight):
-                weight -= held.pop(next(iter(held)))[1]
-
-        for ts, key, weight, purge in zip(pdf.ts, pdf.key, pdf.weight, pdf.purge, strict=True):
-            if purge:
-                held.clear()
-            prune(ts)
-            if key in held:
-                held[key] = held.pop(key)
-                hits.append(True)
-                continue
-            hits.append(False)
-            if weight <= max_weight:
-                held[key] = (ts + ttl_us, weight)
-                prune(ts)
-        return pd.DataFrame({"scope": pdf.scope, "pos": pdf.pos, "key": pdf.key, "cache_hit": hits})
-
-    return gets.groupBy("scope").applyInPandas(replay, CACHE_OUT)
+    class Machine:
+        def __init__(self):
+            self.cache = Cache(max_entries, max_weight, ttl_us, 1)
+
+        def rows(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            hits = []
+            for n, (ts, key, weight, purge) in enumerate(zip(pdf.ts, pdf.key, pdf.weight, pdf.purge, strict=True)):
+                if purge:
+                    self.cache.step("purge", ts, None, None, "", None, None)
+                hits.append(bool(self.cache.step("get", ts, n, key, "", None, None)))
+                if not hits[-1]:
+                    self.cache.step("done", ts, n, None, "", None, int(weight))
+            return pd.DataFrame({"scope": pdf.scope, "pos": pdf.pos, "key": pdf.key, "cache_hit": hits})
+
+    return in_order(gets, ["scope"], ["ts", "pos"], Machine, CACHE_OUT)
 
 
 def latest_per_scope(entries: DataFrame, scope: str, key: str, saved: str, keep: int = 10) -> DataFrame:
@@ -155,9 +131,18 @@ def progress(events: DataFrame, total: Column) -> DataFrame:
 
 
 def latency_summary(samples: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Nearest-rank percentiles and the population coefficient of variation."""
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-    return samples.groupBy(*by).agg(
-        F.count("*").alias("n"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), (F.stddev_pop(value) / F.avg(value)).alias("cv"),
+    """Nearest-rank percentiles and the population coefficient of variation. Equal values are counted before the shuffle, so that a
+    group is as large as its distinct values are many; a window over those ranks them, and spills where they are too many. Samples
+    without a value count in n alone."""
+    rows = samples.groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    known = F.when(F.col("__v").isNotNull(), F.col("__n"))
+    w = W.partitionBy(*by)
+    ranked = rows.withColumns({
+        "__upto": F.sum(known).over(w.orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "__values": F.sum(known).over(w), "__mean": F.sum(F.col("__v") * F.col("__n")).over(w) / F.sum(known).over(w),
+    })
+    at = lambda q: F.min(F.when(F.col("__upto") >= F.ceil(F.col("__values") * F.lit(q)), F.col("__v")))
+    spread = F.sqrt(F.sum((F.col("__v") - F.col("__mean")) * (F.col("__v") - F.col("__mean")) * F.col("__n")) / F.first("__values"))
+    return ranked.groupBy(*by).agg(
+        F.sum("__n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("__v").alias("max"), F.first("__mean").alias("mean"), (spread / F.first("__mean")).alias("cv"),
     )
