@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.catalog import micros, query
 from docloom.operators import ordered
 from docloom.session import table
-from docloom.streaming import timed
+from docloom.streaming import history, timed
 
 SECOND = 1_000_000
 
@@ -50,3 +50,30 @@ def uncancelled(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("ts").alias("at"), "event_id", "event_type")
     left = timed.not_cancelled(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), "6 hours")
     return left.select("event_id", F.col("request_id").alias("user_id"))
+
+
+SQL_ACTION = "CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'clear' WHEN event_type = 'error' THEN 'remove' ELSE 'add' END"
+
+
+@query(f"""WITH k AS (SELECT user_id, list({{'id': 'k' || event_id % 23, 't': epoch_us(ts), 'a': {SQL_ACTION}}} ORDER BY ts, event_id) AS l FROM events GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_prepend({{'h': []::STRUCT(id VARCHAR, t BIGINT)[], 'id': '', 't': 0::BIGINT, 'a': ''}}, list_transform(l, lambda x: {{'h': []::STRUCT(id VARCHAR, t BIGINT)[], 'id': x.id, 't': x.t, 'a': x.a}})),
+ lambda s, x: {{'h': CASE x.a WHEN 'clear' THEN []::STRUCT(id VARCHAR, t BIGINT)[] WHEN 'remove' THEN list_filter(s.h, lambda e: e.id <> x.id)
+  ELSE list_slice(list_concat([{{'id': x.id, 't': x.t}}], list_filter(s.h, lambda e: e.id <> x.id)), 1, 10) END, 'id': '', 't': 0::BIGINT, 'a': ''}}) AS s FROM k)
+SELECT user_id, e.id AS id, e.t AS saved_at FROM (SELECT user_id, unnest(s.h) AS e FROM r)""")
+def history_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What the history of each user holds after all of its changes, the newest ten."""
+    e = micros(spark, d)
+    changes = e.select(F.col("user_id").cast("string").alias("scope"), F.concat(F.lit("k"), (F.col("event_id") % 23).cast("string")).alias("id"), F.col("ts_us").alias("saved_at"), F.col("props").alias("result"), F.expr(SQL_ACTION).alias("action"), F.col("event_id").alias("pos"))
+    kept = history.changed(spark.createDataFrame([], history.ENTRY), changes)
+    return kept.select(F.col("scope").cast("bigint").alias("user_id"), "id", "saved_at")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"event":"request","requestId":"' || event_id || '","method":"POST","status":' || event_id % 500 || '}' WHEN 1 THEN '{"event":"ai_call","requestId":"' || event_id || '","status":' || event_id % 500 || '}'
+ ELSE '{"event":"error","requestId":"' || event_id || '","code":"' || upper(event_type) || '","detail":null}' END AS line FROM events WHERE event_id % 4 < 3""")
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The log of events: what their kind may say, and nothing of their contents."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 4 == 0, "request").when(F.col("event_id") % 4 == 1, "ai_call").when(F.col("event_id") % 4 == 2, "error").otherwise("upload")
+    known = e.select(kind.alias("event"), F.col("event_id").cast("string").alias("requestId"), F.lit("POST").alias("method"), (F.col("event_id") % 500).alias("status"), F.upper("event_type").alias("code"), "props")
+    lines = history.log_lines(known)
+    return lines.select(F.get_json_object("line", "$.requestId").cast("bigint").alias("event_id"), "line")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 def in_order(df: DataFrame, keys: list[str], order: list[str], machine: Callable[[], object], schema: str) -> DataFrame:
     """What machine().rows(pdf) makes of each key's rows, in the given order. A new machine starts with each key; its rows may come in
-    several calls. Rows with equal order come in any order, so `order` should end in something unique."""
+    several calls, and what it has at the end, if it has a method close, follows them. Rows with equal order come in any order, so
+    `order` should end in something unique."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
@@ -32,8 +33,12 @@ def in_order(df: DataFrame, keys: list[str], order: list[str], machine: Callable
             for a, e in zip(starts, starts[1:], strict=False):
                 key = tuple(None if pd.isna(v[a]) else v[a] for v in values)
                 if own is None or key != last:
+                    if hasattr(own, "close"):
+                        yield own.close()
                     last, own = key, machine()
                 yield own.rows(pdf.iloc[a:e])
+        if hasattr(own, "close"):
+            yield own.close()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(work, schema)
 
