@@ -8,6 +8,7 @@ runs again changes nothing. A snapshot that can't be read is an empty history, a
 from __future__ import annotations
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,7 +87,10 @@ class Store:
             found = self.spark.read.schema(ENTRY).parquet(f"{self.path}/snapshot-{version}")
             found.write.format("noop").mode("overwrite").save()  # reading is where a broken file shows
             return found
-        except PySparkException:
+        except (PySparkException, Py4JJavaError) as e:
+            # a file that is broken or gone is no history; whatever else has failed must not pass for that
+            if not any(code in str(e) for code in ("FAILED_READ_FILE", "CANNOT_READ_FILE", "PATH_NOT_FOUND")):
+                raise
             return empty
 
     def write(self, entries: DataFrame, version: int) -> None:
