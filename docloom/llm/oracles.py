@@ -42,27 +42,47 @@ def _rules() -> tuple[str, str]:
 
 
 _RULE, _SAID = _rules()
-#: The look-around of the segments' pattern is unrolled: a segment at a time.
-_WILD = r"regexp_replace(s, '^(?:[0-9]+|[0-9a-fA-F]{8,}|[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]{5,})(\.[A-Za-z]{1,5})?$', '*\1')"
+
+def _round(k: int) -> str:
+    """One level of the template tree: rows r{k} (host, segs, rest, node, pages, n, g, share, text, template) to r{k + 1}."""
+    beyond = "abs({g} / {n} - {s}) > 1.64 * sqrt({s} * (1 - {s}) / {n})"
+    return f"""
+nodes{k} AS (SELECT node, sum(pages) AS total, min(rest) AS a, max(rest) AS b FROM r{k} GROUP BY node HAVING min(rest) <> max(rest) AND sum(n) > 1),
+on{k} AS (SELECT r.*, total, c, coalesce(rest[c + 1], chr(1)) AS seg, rest[c + 2:] AS behind, text || list_aggregate(list_prepend('', list_transform(rest[1:c], lambda x: '/' || x)), 'string_agg', '') AS here
+ FROM r{k} r JOIN (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS c FROM nodes{k}) USING (node)),
+kids{k} AS (SELECT node, seg, sum(pages) AS pages, sum(n) AS n, sum(g) AS g, any_value(total) AS total, any_value(share) AS share FROM on{k} GROUP BY node, seg),
+rate{k} AS (SELECT node, sum(g) / sum(n) AS rate FROM kids{k} WHERE pages * pages < total AND seg <> chr(1) AND n > 0 GROUP BY node),
+side{k} AS (SELECT *, CASE WHEN pages * pages >= total OR seg = chr(1) THEN '=' || seg WHEN n = 0 OR NOT ({beyond.format(g="g", n="n", s="rate")}) THEN '*' WHEN g / n < rate THEN '*<' ELSE '*>' END AS sibling FROM kids{k} LEFT JOIN rate{k} USING (node)),
+sib{k} AS (SELECT node, sibling, sum(n) AS n, sum(g) AS g, any_value(share) AS share FROM side{k} GROUP BY node, sibling HAVING sum(n) > 0),
+lag{k} AS (SELECT *, lag(n) OVER w AS ln, lag(g) OVER w AS lg FROM sib{k} WINDOW w AS (PARTITION BY node, sibling = '=' || chr(1) ORDER BY g / n, sibling)),
+new{k} AS (SELECT *, (g + lg) / (n + ln) AS both, CASE WHEN abs(g / n - lg / ln) > 1.64 * sqrt((g + lg) / (n + ln) * (1 - (g + lg) / (n + ln)) * (1 / n + 1 / ln)) THEN 1 ELSE 0 END AS fresh FROM lag{k}),
+run{k} AS (SELECT *, sum(fresh) OVER (PARTITION BY node, sibling = '=' || chr(1) ORDER BY g / n, sibling ROWS UNBOUNDED PRECEDING) AS run FROM new{k}),
+pool{k} AS (SELECT *, sum(g) OVER w / sum(n) OVER w AS pooled FROM run{k} WINDOW w AS (PARTITION BY node, sibling = '=' || chr(1), run)),
+alone{k} AS (SELECT *, {beyond.format(g="g", n="n", s="pooled")} AS alone FROM pool{k}),
+br{k} AS (SELECT *, CASE WHEN alone THEN n ELSE sum(n) FILTER (NOT alone) OVER w END AS bn, CASE WHEN alone THEN g ELSE sum(g) FILTER (NOT alone) OVER w END AS bg, sum(n) OVER (PARTITION BY node) AS whole,
+ CASE WHEN alone OR count(*) FILTER (NOT alone) OVER w = 1 THEN sibling ELSE min(sibling) FILTER (NOT alone) OVER w || '|…' END AS label FROM alone{k} WINDOW w AS (PARTITION BY node, sibling = '=' || chr(1), run)),
+own{k} AS (SELECT node, sibling, label, bn < whole AND {beyond.format(g="bg", n="bn", s="share")} AS own, (bg + 4.0 * share) / (bn + 4.0) AS smooth FROM br{k}),
+way{k} AS (SELECT s.node, s.seg, coalesce(label, s.sibling) AS label, coalesce(own, false) AS own, CASE WHEN own THEN smooth ELSE share END AS share FROM side{k} s LEFT JOIN own{k} o ON o.node = s.node AND o.sibling = s.sibling),
+step{k} AS (SELECT o.host, segs, behind AS rest, o.node || chr(2) || label AS node, pages, n, g, w.share, here || '/' || replace(CASE WHEN label[1] = '=' THEN label[2:] ELSE label END, chr(1), '') AS text, template, own, o.seg FROM on{k} o JOIN way{k} w ON w.node = o.node AND w.seg = o.seg),
+r{k + 1} AS (SELECT host, segs, rest, node, pages, n, g, share, text, CASE WHEN NOT own THEN template WHEN seg = chr(1) THEN text ELSE text || '/**' END AS template FROM step{k}
+ UNION ALL SELECT r.host, segs, rest, r.node, pages, n, g, share, text, template FROM r{k} r WHERE node NOT IN (SELECT node FROM nodes{k}))"""
+
+
+#: Rounds that the paths of the given pages need at most: they have two segments.
+ROUNDS = 4
 
 URLS = f"""
 WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
   coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-v AS (SELECT *, {_RULE} AS rule, {_SAID} AS said, regexp_replace(regexp_replace(path, '/+$', ''), '^/+', '') AS bare FROM u),
-p AS (SELECT *, CASE WHEN bare = '' THEN []::VARCHAR[] ELSE list_transform(string_split(bare, '/'), lambda s: {_WILD}) END AS seg FROM v),
-t AS (SELECT page_id, url, host, path, rule, said, coalesce(seg[1], '') AS l1, array_to_string(seg[2:3], '/') AS l2 FROM p),
+p AS (SELECT *, {_RULE} AS rule, {_SAID} AS said, CASE WHEN regexp_matches(path, '[^/]') THEN string_split(regexp_replace(path, '^/+|/+$', '', 'g'), '/') ELSE []::VARCHAR[] END AS segs FROM u),
 doc AS (SELECT page_id, try_cast(regexp_extract(url, '^[^?#]*/([0-9]+)(?:\\.[A-Za-z]+)?/?(?:[?#].*)?$', 1) AS BIGINT) AS doc_id FROM pages),
 known AS (SELECT page_id, avg((quality * (1 - toxic))::DOUBLE) AS good FROM doc JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY page_id),
-leaf AS (SELECT host, l1, l2, count(*)::DOUBLE AS n, sum(good) AS g FROM t JOIN known USING (page_id) GROUP BY ALL),
-branch AS (SELECT host, l1, sum(n) AS n1, sum(g) AS g1 FROM leaf GROUP BY ALL),
-base AS (SELECT coalesce(sum(g1) / sum(n1), 1.0) AS b FROM branch),
-h AS (SELECT host, (sum(g1) + 4.0 * (SELECT b FROM base)) / (sum(n1) + 4.0) AS sh FROM branch GROUP BY host),
-b1 AS (SELECT *, abs(g1 / n1 - sh) > 1.64 * sqrt(sh * (1 - sh) / n1) AS own1 FROM branch JOIN h USING (host)),
-b2 AS (SELECT host, l1, own1, CASE WHEN own1 THEN (g1 + 4.0 * sh) / (n1 + 4.0) ELSE sh END AS s1 FROM b1),
-l2 AS (SELECT host, l1, l2, (g + 4.0 * s1) / (n + 4.0) AS s2 FROM leaf JOIN b2 USING (host, l1) WHERE abs(g / n - s1) > 1.64 * sqrt(s1 * (1 - s1) / n)),
-j AS (SELECT t.*, own1, s2, coalesce(s2, s1, sh, (SELECT b FROM base)) AS purity FROM t LEFT JOIN h USING (host) LEFT JOIN b2 USING (host, l1) LEFT JOIN l2 USING (host, l1, l2))
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
- CASE WHEN s2 IS NOT NULL THEN '/' || l1 || '/' || l2 WHEN own1 THEN '/' || l1 || '/**' ELSE '/**' END AS template, round(purity, 9) AS purity FROM j
+paths AS (SELECT host, segs, count(*) AS pages, count(good)::DOUBLE AS n, coalesce(sum(good), 0.0) AS g FROM p LEFT JOIN known USING (page_id) GROUP BY host, segs),
+base AS (SELECT coalesce(sum(g) / nullif(sum(n), 0), 1.0) AS b FROM paths),
+hosts AS (SELECT host, (sum(g) + 4.0 * (SELECT b FROM base)) / (sum(n) + 4.0) AS share FROM paths GROUP BY host),
+r0 AS (SELECT host, segs, segs AS rest, host AS node, pages, n, g, share, '' AS text, '/**' AS template FROM paths JOIN hosts USING (host)),
+{",".join(_round(k) for k in range(ROUNDS))}
+SELECT page_id, p.host, path, rule, coalesce(said, CASE WHEN share < 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, round(share, 9) AS purity FROM p JOIN r{ROUNDS} r ON r.host = p.host AND r.segs = p.segs
 """
 
 #: Lines as what stands between line feeds: a last empty piece is no unit, and pieces but the last end in a line feed.

@@ -26,3 +26,48 @@ def test_branches_are_summed(spark):
     got = verdicts(spark, [*pages, ("http://h.net/shop/pills/new", None)])
     assert all(got[u] == (("allow", "/shop/books/**") if good else ("block", "/shop/pills/**")) for u, good in pages)
     assert got["http://h.net/shop/pills/new"] == ("block", "/shop/pills/**")
+
+
+def test_like_siblings_are_merged(spark):
+    """Four small bad branches: none is beyond chance alone, together they are."""
+    pages = [(f"http://h.net/g/{k}", 1.0) for k in range(40)] + [(f"http://h.net/s{s}/{k}", 0.0) for s in range(1, 5) for k in range(2)] + [("http://h.net/s9/1", None), ("http://h.net/g/x", None)]
+    got = verdicts(spark, pages)
+    assert all(got[u][0] == ("block" if "/s" in u.removeprefix("http:/") else "allow") for u, _ in pages), got
+    assert got["http://h.net/s9/1"] == ("block", "/*/**")
+
+
+def test_literal_siblings_are_merged(spark):
+    pages = [(f"http://h.net/{x}/{k}", float(good)) for x, good in (("a", 0), ("b", 0), ("c", 1), ("d", 1)) for k in range(12)]
+    got = verdicts(spark, pages)
+    assert {t for u, (v, t) in got.items() if v == "block"} == {"/a|…/**"} and {t for u, (v, t) in got.items() if v == "allow"} == {"/c|…/**"}
+
+
+def test_slugs_are_one_template(spark):
+    words = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    pages = [(f"http://h.net/blog/{w}/{x}", good) for w in words for x, good in (("spam", 0.0), ("text", 1.0))] + [("http://h.net/blog/unseen/spam", None), ("http://h.net/blog/unseen/text", None)]
+    got = verdicts(spark, pages)
+    assert got["http://h.net/blog/unseen/spam"] == ("block", "/blog/*/spam/**") and got["http://h.net/blog/unseen/text"] == ("allow", "/blog/*/text/**")
+
+
+def test_odd_variable_children(spark):
+    """A few bad children among many good ones that are as small."""
+    pages = [(f"http://h.net/u{k}/p{j}", float(k >= 5)) for k in range(60) for j in range(5)]
+    got = verdicts(spark, pages)
+    assert all(v == ("block" if any(f"/u{k}/" in u for k in range(5)) else "allow") for u, (v, _) in got.items())
+
+
+def test_chance_stays_together(spark):
+    pages = [(f"http://h.net/p/{k}", float(k % 2)) for k in range(60)]
+    assert {v[1] for v in verdicts(spark, pages).values()} == {"/**"}
+
+
+def test_very_long_urls(spark):
+    long = "http://h.net/" + "a/" * 100_000
+    got = verdicts(spark, [(long + "spam", 0.0), (long + "text", 1.0), (long, None), ("http://h.net/b", 1.0)])
+    assert len(got) == 4 and all(v == "allow" for v, _ in got.values())
+
+
+def test_within_order(spark):
+    """A separator sorts before every character of a segment."""
+    pages = [(f"http://h.net/en{x}", 1.0) for x in ("", "-a", "/x", "/y", "-a/z")] + [("http://h.net/en//", None), ("http://h.net//en", 0.0)]
+    assert len(verdicts(spark, pages)) == 7
