@@ -10,64 +10,35 @@ def verdicts(spark, pages):
     return {pages[r["page_id"]][0]: (r["verdict"], r["template"]) for r in op7_url_filter.judge(p, known).collect()}
 
 
-def test_late_segments_count(spark):
-    pages = [(f"http://h.net/a/b/c/{x}/{k}", good) for x, good in (("spam", 0.0), ("good", 1.0)) for k in range(30)]
+def test_trees(spark):
+    """A host for each case, all judged at once."""
+    late = [(f"http://late.net/a/b/c/{x}/{k}", good) for x, good in (("spam", 0.0), ("good", 1.0)) for k in range(30)]
     deep = "/".join("abcdefghij" * 3)
-    pages += [(f"http://h.net/{deep}/{x}/{k}", good) for x, good in (("spam", 0.0), ("good", 1.0)) for k in range(30)]
-    got = verdicts(spark, [*pages, ("http://h.net/a/b/c/spam/x/y/z", None), ("http://h.net/a/b/c/other/1", None), ("http://h.net/", None), ("http://n.net/a/b/c/spam/1", None)])
-    assert all(got[u][0] == ("allow" if good else "block") for u, good in pages)
-    assert got["http://h.net/a/b/c/spam/1"] == ("block", "/a/b/c/spam/**") and got["http://h.net/a/b/c/spam/x/y/z"] == ("block", "/a/b/c/spam/**")
-    assert got["http://h.net/a/b/c/other/1"] == ("allow", "/**") and got["http://h.net/"] == got["http://n.net/a/b/c/spam/1"] == ("allow", "/**")
-
-
-def test_branches_are_summed(spark):
+    late += [(f"http://late.net/{deep}/{x}/{k}", good) for x, good in (("spam", 0.0), ("good", 1.0)) for k in range(30)]
     words = [a + b for a in "abcde" for b in "vwxyz"]
-    pages = [(f"http://h.net/shop/{x}/{w}", good) for x, good in (("pills", 0.0), ("books", 1.0)) for w in words]
-    got = verdicts(spark, [*pages, ("http://h.net/shop/pills/new", None)])
-    assert all(got[u] == (("allow", "/shop/books/**") if good else ("block", "/shop/pills/**")) for u, good in pages)
-    assert got["http://h.net/shop/pills/new"] == ("block", "/shop/pills/**")
-
-
-def test_like_siblings_are_merged(spark):
-    """Four small bad branches: none is beyond chance alone, together they are."""
-    pages = [(f"http://h.net/g/{k}", 1.0) for k in range(40)] + [(f"http://h.net/s{s}/{k}", 0.0) for s in range(1, 5) for k in range(2)] + [("http://h.net/s9/1", None), ("http://h.net/g/x", None)]
-    got = verdicts(spark, pages)
-    assert all(got[u][0] == ("block" if "/s" in u.removeprefix("http:/") else "allow") for u, _ in pages), got
-    assert got["http://h.net/s9/1"] == ("block", "/*/**")
-
-
-def test_literal_siblings_are_merged(spark):
-    pages = [(f"http://h.net/{x}/{k}", float(good)) for x, good in (("a", 0), ("b", 0), ("c", 1), ("d", 1)) for k in range(12)]
-    got = verdicts(spark, pages)
-    assert {t for u, (v, t) in got.items() if v == "block"} == {"/a|…/**"} and {t for u, (v, t) in got.items() if v == "allow"} == {"/c|…/**"}
-
-
-def test_slugs_are_one_template(spark):
-    words = [a + b for a in "abcdefgh" for b in "vwxyz"]
-    pages = [(f"http://h.net/blog/{w}/{x}", good) for w in words for x, good in (("spam", 0.0), ("text", 1.0))] + [("http://h.net/blog/unseen/spam", None), ("http://h.net/blog/unseen/text", None)]
-    got = verdicts(spark, pages)
-    assert got["http://h.net/blog/unseen/spam"] == ("block", "/blog/*/spam/**") and got["http://h.net/blog/unseen/text"] == ("allow", "/blog/*/text/**")
-
-
-def test_odd_variable_children(spark):
-    """A few bad children among many good ones that are as small."""
-    pages = [(f"http://h.net/u{k}/p{j}", float(k >= 5)) for k in range(60) for j in range(5)]
-    got = verdicts(spark, pages)
-    assert all(v == ("block" if any(f"/u{k}/" in u for k in range(5)) else "allow") for u, (v, _) in got.items())
-
-
-def test_chance_stays_together(spark):
-    pages = [(f"http://h.net/p/{k}", float(k % 2)) for k in range(60)]
-    assert {v[1] for v in verdicts(spark, pages).values()} == {"/**"}
-
-
-def test_very_long_urls(spark):
-    long = "http://h.net/" + "a/" * 100_000
-    got = verdicts(spark, [(long + "spam", 0.0), (long + "text", 1.0), (long, None), ("http://h.net/b", 1.0)])
-    assert len(got) == 4 and all(v == "allow" for v, _ in got.values())
-
-
-def test_within_order(spark):
-    """A separator sorts before every character of a segment."""
-    pages = [(f"http://h.net/en{x}", 1.0) for x in ("", "-a", "/x", "/y", "-a/z")] + [("http://h.net/en//", None), ("http://h.net//en", 0.0)]
-    assert len(verdicts(spark, pages)) == 7
+    summed = [(f"http://sum.net/shop/{x}/{w}", good) for x, good in (("pills", 0.0), ("books", 1.0)) for w in words]
+    # four small bad branches: none is beyond chance alone, together they are
+    like = [(f"http://like.net/g/{k}", 1.0) for k in range(40)] + [(f"http://like.net/s{s}/{k}", 0.0) for s in range(1, 5) for k in range(2)]
+    literal = [(f"http://lit.net/{x}/{k}", float(good)) for x, good in (("a", 0), ("b", 0), ("c", 1), ("d", 1)) for k in range(12)]
+    slugs = [(f"http://slug.net/blog/{w}/{x}", good) for w in words for x, good in (("spam", 0.0), ("text", 1.0))]
+    # a few bad children among many good ones that are as small
+    odd = [(f"http://odd.net/u{k}/p{j}", float(k >= 5)) for k in range(60) for j in range(5)]
+    chance = [(f"http://chance.net/p/{k}", float(k % 2)) for k in range(60)]
+    long = "http://long.net/" + "a/" * 100_000
+    more = [
+        ("http://late.net/a/b/c/spam/x/y/z", None), ("http://late.net/a/b/c/other/1", None), ("http://late.net/", None), ("http://n.net/a/b/c/spam/1", None), ("http://sum.net/shop/pills/new", None),
+        ("http://like.net/s9/1", None), ("http://like.net/g/x", None), ("http://slug.net/blog/unseen/spam", None), ("http://slug.net/blog/unseen/text", None),
+        (long + "spam", 0.0), (long + "text", 1.0), (long, None), ("http://long.net/b", 1.0),
+        # a separator sorts before every character of a segment
+        *[(f"http://order.net/en{x}", 1.0) for x in ("", "-a", "/x", "/y", "-a/z")], ("http://order.net/en//", None), ("http://order.net//en", 0.0),
+    ]
+    got = verdicts(spark, [*late, *summed, *like, *literal, *slugs, *odd, *chance, *more])
+    right = lambda pages: all(got[u][0] == ("allow" if good else "block") for u, good in pages)
+    assert right(late) and got["http://late.net/a/b/c/spam/1"] == got["http://late.net/a/b/c/spam/x/y/z"] == ("block", "/a/b/c/spam/**")
+    assert got["http://late.net/a/b/c/other/1"] == ("allow", "/**") and got["http://late.net/"] == got["http://n.net/a/b/c/spam/1"] == ("allow", "/**")
+    assert all(got[u] == (("allow", "/shop/books/**") if good else ("block", "/shop/pills/**")) for u, good in summed) and got["http://sum.net/shop/pills/new"] == ("block", "/shop/pills/**")
+    assert right(like) and got["http://like.net/s9/1"] == ("block", "/*/**")
+    assert {t for u, (v, t) in got.items() if v == "block" and "//lit" in u} == {"/a|…/**"} and {t for u, (v, t) in got.items() if v == "allow" and "//lit" in u} == {"/c|…/**"}
+    assert got["http://slug.net/blog/unseen/spam"] == ("block", "/blog/*/spam/**") and got["http://slug.net/blog/unseen/text"] == ("allow", "/blog/*/text/**")
+    assert right(odd) and len({got[u] for u, _ in chance}) == 1
+    assert sum("//long" in u for u in got) == 4 and sum("//order" in u for u in got) == 7
