@@ -730,4 +730,4 @@ def normalize_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The parts of the catalogue in modules of their own, which take `query` and the SQL above from here.
-from docloom import catalog_inspection, catalog_json, catalog_state  # noqa: E402, F401
+from docloom import catalog_inspection, catalog_json, catalog_references, catalog_state  # noqa: E402, F401

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
+from docloom.durable import durable
 from docloom.functions import security, text, values
 from docloom.operators import chunk, cite, validate
 
@@ -197,6 +198,47 @@ def cited(parts: Column, sources: Column) -> Column:
     ))
 
 
+def resolved(requests: DataFrame, extractions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(extractions, issues): payloads whose amounts and dates are references, that is without any context, with the contexts and pages that their
+    fragments have for them; issues (doc_id, issues) of the documents of which a list has failed. Other payloads stay as they are, and only the
+    requests of the others are looked at again."""
+    parts = extractions.select("doc_id", "chunk_id", "payload_json", F.from_json("payload_json", S.PAYLOAD).alias("p"))
+    bare = lambda items: (F.coalesce(F.size(items), F.lit(0)) > 0) & ~F.exists(items, lambda x: x["context"].isNotNull())
+    asks = F.coalesce(bare(F.col("p.amounts")) | bare(F.col("p.dates")), F.lit(False))
+    waiting = durable(parts.where(asks).drop("payload_json"))
+    nothing = F.lit(None)
+    amounts = waiting.where(bare(F.col("p.amounts"))).select("doc_id", "chunk_id", F.posexplode("p.amounts").alias("pos", "x"))
+    amounts = amounts.select("doc_id", "chunk_id", F.lit("amount").alias("kind"), "pos", "x.value", "x.currency", nothing.cast("string").alias("date"), "x.page")
+    dates = waiting.where(bare(F.col("p.dates"))).select("doc_id", "chunk_id", F.posexplode("p.dates").alias("pos", "x"))
+    dates = dates.select("doc_id", "chunk_id", F.lit("date").alias("kind"), "pos", nothing.cast("double").alias("value"), nothing.cast("string").alias("currency"), "x.date", "x.page")
+    own = requests.join(waiting.select("doc_id").distinct(), "doc_id", "left_semi")
+    p = once(prepare(own).where("error is null").select("doc_id", "clean_pages"))
+    budget = chunk.chosen_budget(F.col("clean_pages"), S.CHUNK_BUDGET, S.MAX_CHUNKS)
+    p = once(p.withColumn("budget", budget)).withColumn("s", fragments(F.col("clean_pages"), F.col("budget")))
+    pieces = p.select("doc_id", F.posexplode("s").alias("pos", "x")).select("doc_id", F.col("x.chunk").cast("int").alias("chunk_id"), "x.page", "pos", F.col("x.source").alias("text"))
+    lists = durable(cite.parse_references(amounts.unionByName(dates), pieces))
+    found = F.struct("kind", "items")
+    by = lists.groupBy("doc_id", "chunk_id").agg(F.collect_list(found).alias("lists"))
+    of = lambda kind: F.get(F.filter("lists", lambda x: x["kind"] == kind), F.lit(0))["items"]
+    again = waiting.join(by, ["doc_id", "chunk_id"]).withColumns({"__a": of("amount"), "__d": of("date")})
+    full = F.col("p").withField("amounts", F.coalesce(F.transform("__a", lambda x: F.struct(x["value"].alias("value"), x["currency"].alias("currency"), x["context"].alias("context"), x["page"].alias("page"))), "p.amounts"))
+    full = full.withField("dates", F.coalesce(F.transform("__d", lambda x: F.struct(x["date"].alias("date"), x["context"].alias("context"), x["page"].alias("page"))), "p.dates"))
+    bad = lists.where(F.size("issues") > 0).groupBy("doc_id").agg(F.flatten(F.array_sort(F.collect_list(F.struct("chunk_id", "kind", "issues")))["issues"]).alias("issues"))
+    good = again.join(bad.select("doc_id"), "doc_id", "left_anti").select("doc_id", "chunk_id", F.to_json(full).alias("payload_json"))
+    rest = parts.where(~asks).join(bad.select("doc_id"), "doc_id", "left_anti").select("doc_id", "chunk_id", "payload_json")
+    return rest.unionByName(good), bad
+
+
+def analyze_references(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame | None = None, calls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """`analyze` of payloads that may hold references: contexts are looked up first, citations are checked, and one reference that its
+    fragment does not support fails its document (AI_INVALID_RESPONSE)."""
+    whole, bad = resolved(requests, extractions)
+    bad = durable(bad)
+    results, errors = analyze(requests.join(bad, "doc_id", "left_anti"), durable(whole), synthesis, calls, citations=True)
+    own = requests.select("doc_id").join(bad, "doc_id").select("doc_id", F.lit("AI_INVALID_RESPONSE").alias("code"), F.slice("issues", 1, 20).alias("issues"))
+    return results, errors.unionByName(own)
+
+
 def analyze(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame | None = None, calls: DataFrame | None = None, citations: bool = False) -> tuple[DataFrame, DataFrame]:
     """(results, errors). extractions: doc_id, chunk_id, payload_json; synthesis: doc_id, payload_json of
     documents in several chunks; calls: doc_id and CALLS. errors: doc_id, code, issues.
