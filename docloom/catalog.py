@@ -72,9 +72,10 @@ def normalize_text(spark: SparkSession, d: str) -> DataFrame:
 NAMES = [(1, "C:\\tmp\\raport.pdf"), (2, "/a/b/ umowa.PDF "), (3, "\x07\x01"), (4, "x" * 300), (5, "za mówienie nr 5.pdf"), (6, "dir/")]
 
 
-@query(f"SELECT id, coalesce(nullif(left({sql_trim('clean')}, 255), ''), 'dokument.pdf') AS name FROM (SELECT id, regexp_replace(string_split_regex(name, '[\\\\/]')[-1], '[\\x00-\\x1F\\x7F]', '', 'g') AS clean FROM {literal(NAMES, 'id, name')})")
+@query(f"SELECT id, coalesce(nullif(left({sql_trim('clean')}, 255), ''), 'dokument.pdf') AS name FROM (SELECT id, regexp_replace(string_split_regex(name, '[\\\\/]')[-1], '[\\x00-\\x1F\\x7F]', '', 'g') AS clean FROM (SELECT page_id AS id, url AS name FROM pages UNION ALL SELECT -id, name FROM {literal(NAMES, 'id, name')}))")
 def sanitize_file_name(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(NAMES, "id int, name string").select("id", text.sanitize_file_name(F.col("name")).alias("name"))
+    names = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name")).unionAll(spark.createDataFrame([(-k, n) for k, n in NAMES], "id bigint, name string"))
+    return names.select("id", text.sanitize_file_name(F.col("name")).alias("name"))
 
 
 @query(f"SELECT id, regexp_replace(coalesce(nullif(left(regexp_replace(regexp_replace(name, '\\.pdf$', '', 'i'), '[^\\p{{L}}\\p{{N}}._-]+', '_', 'g'), 120), ''), 'dokument'), '$', '.insight.json') AS name FROM (SELECT page_id AS id, url AS name FROM pages UNION ALL SELECT -id, name FROM {literal(NAMES, 'id, name')})")
@@ -133,20 +134,33 @@ def page_range(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").groupBy("conv_id").agg(text.page_range(F.min("turn"), F.max("turn")).alias("page_range"))
 
 
+#: Facts of files that documents might have come from.
+SQL_FACTS = """'file' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '.txt' ELSE '' END AS name,
+ CASE WHEN doc_id % 3 = 0 THEN 'application/pdf' ELSE lang END AS mime, coalesce(n_chars, 0) * 2000 AS size"""
 FACTS = [(1, "a.pdf", None, 10), (2, "a.txt", "text/plain", 10), (3, "b", "application/pdf", 0), (4, "C.PDF", None, 99_999_999), (5, "d.doc", None, 0)]
 
 
-@query(f"SELECT id, CASE WHEN NOT (coalesce(mime, '') = 'application/pdf' OR lower(name) LIKE '%.pdf') THEN 'NOT_PDF' WHEN size = 0 THEN 'FILE_EMPTY' WHEN size > 10485760 THEN 'FILE_TOO_LARGE' END AS code FROM {literal(FACTS, 'id, name, mime, size')}")
+@query(f"SELECT id, CASE WHEN NOT (coalesce(mime, '') = 'application/pdf' OR lower(name) LIKE '%.pdf') THEN 'NOT_PDF' WHEN size = 0 THEN 'FILE_EMPTY' WHEN size > 10485760 THEN 'FILE_TOO_LARGE' END AS code FROM (SELECT doc_id AS id, {SQL_FACTS} FROM documents UNION ALL SELECT -id, name, mime, size FROM {literal(FACTS, 'id, name, mime, size')})")
 def file_facts(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(FACTS, "id int, name string, mime string, size bigint").select("id", files.file_code(F.col("name"), F.col("mime"), F.col("size")).alias("code"))
+    k = F.col("doc_id")
+    ending = F.when(k % 4 == 0, ".pdf").when(k % 4 == 1, ".PDF").when(k % 4 == 2, ".txt").otherwise("")
+    mime = F.when(k % 3 == 0, "application/pdf").otherwise(F.col("lang"))
+    known = table(spark, d, "documents").select(k.alias("id"), F.concat(F.lit("file"), k.cast("string"), ending).alias("name"), mime.alias("mime"), (F.coalesce("n_chars", F.lit(0)) * 2000).alias("size"))
+    facts = known.unionAll(spark.createDataFrame([(-x[0], *x[1:]) for x in FACTS], "id bigint, name string, mime string, size bigint"))
+    return facts.select("id", files.file_code(F.col("name"), F.col("mime"), F.col("size")).alias("code"))
+
 
 
 HEADS = [(1, "255044462d312e37", "x"), (2, "00255044462d", "y.bin"), (3, "89504e470d0a1a0a00", "z"), (4, "ffd8ffe0", "q"), (5, "6162", "n.MD"), (6, "6162", "n.exe")]
 
 
-@query(f"SELECT id, CASE WHEN contains(left(head, 2048), '255044462d') THEN 'pdf' WHEN head LIKE '89504e470d0a1a0a%' OR head LIKE 'ffd8ff%' THEN 'image' WHEN regexp_matches(name, '(?i)\\.(txt|md|csv|json)$') THEN 'text' ELSE 'ATTACHMENT_UNSUPPORTED' END AS kind FROM {literal(HEADS, 'id, head, name')}")
+@query(f"SELECT id, CASE WHEN contains(left(head, 2048), '255044462d') THEN 'pdf' WHEN head LIKE '89504e470d0a1a0a%' OR head LIKE 'ffd8ff%' THEN 'image' WHEN regexp_matches(name, '(?i)\\.(txt|md|csv|json)$') THEN 'text' ELSE 'ATTACHMENT_UNSUPPORTED' END AS kind FROM (SELECT page_id AS id, lower(hex(encode(CASE WHEN page_id % 4 = 0 THEN '\n%PDF-' ELSE '' END || left(html, 600)))) AS head, url || CASE WHEN page_id % 4 = 2 THEN '.md' ELSE '' END AS name FROM pages UNION ALL SELECT -id, head, name FROM {literal(HEADS, 'id, head, name')})")
 def kind_of(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(HEADS, "id int, head string, name string").select("id", files.kind_of(F.unhex("head"), F.col("name")).alias("kind"))
+    k = F.col("page_id")
+    content = F.encode(F.concat(F.when(k % 4 == 0, "\n%PDF-").otherwise(""), F.left("html", F.lit(600))), "UTF-8")
+    known = table(spark, d, "pages").select(k.alias("id"), content.alias("content"), F.concat("url", F.when(k % 4 == 2, ".md").otherwise("")).alias("name"))
+    heads = known.unionAll(spark.createDataFrame([(-x[0], *x[1:]) for x in HEADS], "id bigint, head string, name string").withColumn("head", F.unhex("head")))
+    return heads.select("id", files.kind_of(F.col("content"), F.col("name")).alias("kind"))
 
 
 @query("SELECT sha256(text) AS key, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1")
@@ -181,11 +195,6 @@ def sql_numbers(src: str) -> str:
     return f"(SELECT DISTINCT id, round(unnest(CASE WHEN {SQL_FACTOR} IS NULL THEN [v] ELSE [v, v * {SQL_FACTOR}] END) * 100) AS cents FROM {sql_readings(tokens)})"
 
 
-@query(f"SELECT id, v FROM {sql_readings('(SELECT id, t, ' + chr(39) * 2 + ' AS suf FROM ' + literal(TOKENS, 'id, t') + ')')}")
-def interpret_number(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(TOKENS, "id int, t string").select("id", F.explode(values.interpret_number(F.col("t"))).alias("v"))
-
-
 NUMBERS = [(1, "12,5 tys. zł i 3 mln"), (2, "1 000\n500 sztuk, 2 bn"), (3, "5 kg, 7 k, 1.5m"), (4, "v1.2.3; 1 234 567,89 PLN")]
 
 
@@ -231,6 +240,12 @@ SQL_STATEMENTS = """(SELECT o_orderkey AS id, 'Kwota ' || CASE o_orderkey % 4 WH
  FROM (SELECT *, printf('%.2f', o_totalprice) AS p, format('{:,}', string_split(printf('%.2f', o_totalprice), '.')[1]::BIGINT) AS g, string_split(printf('%.2f', o_totalprice), '.')[2] AS c FROM orders))"""
 
 
+@query(f"SELECT id, v FROM {sql_readings('(SELECT id, regexp_extract(text, ' + quote('^Kwota (.*) PLN') + ', 1) AS t, ' + chr(39) * 2 + ' AS suf FROM ' + SQL_STATEMENTS + ' UNION ALL SELECT -id, t, ' + chr(39) * 2 + ' FROM ' + literal(TOKENS, 'id, t') + ')')}")
+def interpret_number(spark: SparkSession, d: str) -> DataFrame:
+    tokens = statements(spark, d).select(F.col("doc_id").alias("id"), F.regexp_extract("text", "^Kwota (.*) PLN", 1).alias("t")).unionAll(spark.createDataFrame([(-k, t) for k, t in TOKENS], "id bigint, t string"))
+    return tokens.select("id", F.explode(values.interpret_number(F.col("t"))).alias("v"))
+
+
 @query(f"SELECT id AS doc_id, date FROM {sql_dates('(SELECT id, text FROM ' + SQL_STATEMENTS + ' UNION ALL SELECT -id, text FROM ' + literal(DATES, 'id, text') + ')')}")
 def collect_dates(spark: SparkSession, d: str) -> DataFrame:
     rows = statements(spark, d).select("doc_id", "text").unionAll(spark.createDataFrame(DATES, "doc_id bigint, text string").select(-F.col("doc_id"), "text"))
@@ -565,9 +580,14 @@ def workflow_phase(spark: SparkSession, d: str) -> DataFrame:
     return a.select("user_id", state.workflow_phase(F.col("a"))["phase"].alias("phase"))
 
 
-@query(f"SELECT code, NOT code IN ({', '.join(map(quote, state.NOT_RETRYABLE))}) AS retryable FROM (SELECT unnest([{', '.join(quote(c) for c, _, _ in S.ERRORS)}]) AS code)")
+CODES = [c for c, *_ in S.ERRORS] + [c for c, _ in S.CLIENT_ERRORS]
+
+
+@query(f"SELECT code, NOT code IN ({', '.join(map(quote, state.NOT_RETRYABLE))}) AS retryable, count(*) AS n FROM (SELECT [{', '.join(map(quote, CODES))}][event_id % {len(CODES)} + 1] AS code FROM events) GROUP BY ALL")
 def retryable_codes(spark: SparkSession, d: str) -> DataFrame:
-    return S.error_dimension(spark).select("code", state.is_retryable(F.col("code")).alias("retryable"))
+    """Which of the events' codes a retry may mend."""
+    code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("event_id") % len(CODES) + 1).cast("int"))
+    return table(spark, d, "events").select(code.alias("code")).groupBy("code", state.is_retryable(F.col("code")).alias("retryable")).agg(F.count("*").alias("n"))
 
 
 def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -664,9 +684,15 @@ STAGES = [(1, None, None, None, None), (2, "complete", 9, 1, 1), (3, "attachment
 @query(f"""SELECT id, CASE WHEN stage IS NULL THEN 'Otwieranie pliku…' WHEN stage = 'complete' THEN 'Kontrola dokumentu zakończona.'
  WHEN total IS NULL THEN CASE stage WHEN 'attachment' THEN 'Sprawdzanie drzewa załączników…' ELSE 'Sprawdzanie struktury dokumentu…' END
  WHEN stage = 'original' THEN 'Sprawdzanie oryginalnego obrazu osadzonego w PDF…' WHEN stage = 'attachment' THEN 'Odczyt załączników z pamięci zakończonej kontroli…'
- ELSE 'Odczyt obrazu na tym urządzeniu (OCR) · Strona ' || coalesce(page, 0) || ' z ' || coalesce(pages, 0) END AS said FROM {literal(STAGES, 'id, stage, total, page, pages')}""")
+ ELSE 'Odczyt obrazu na tym urządzeniu (OCR) · Strona ' || coalesce(page, 0) || ' z ' || coalesce(pages, 0) END AS said
+ FROM (SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'decoding' WHEN 1 THEN 'original' WHEN 2 THEN 'attachment' WHEN 3 THEN 'ocr' WHEN 4 THEN 'complete' END AS stage,
+  CASE WHEN event_id % 5 > 0 THEN 9 END AS total, CASE WHEN event_id % 7 > 0 THEN event_id % 9 END AS page, CASE WHEN event_id % 4 > 0 THEN 9 END AS pages FROM events
+  UNION ALL SELECT -id, stage, total, page, pages FROM {literal(STAGES, 'id, stage, total, page, pages')})""")
 def progress_text(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame(STAGES, "id int, stage string, total int, page int, pages int")
+    k = F.col("event_id")
+    stage = F.when(k % 6 == 0, "decoding").when(k % 6 == 1, "original").when(k % 6 == 2, "attachment").when(k % 6 == 3, "ocr").when(k % 6 == 4, "complete")
+    known = table(spark, d, "events").select(k.alias("id"), stage.alias("stage"), F.when(k % 5 > 0, 9).alias("total"), F.when(k % 7 > 0, (k % 9).cast("int")).alias("page"), F.when(k % 4 > 0, 9).alias("pages"))
+    p = known.unionAll(spark.createDataFrame([(-x[0], *x[1:]) for x in STAGES], "id bigint, stage string, total int, page int, pages int"))
     return p.select("id", outcome.progress_text(*map(F.col, ("stage", "total", "page", "pages"))).alias("said"))
 
 
@@ -716,17 +742,23 @@ def attempt_kind(spark: SparkSession, d: str) -> DataFrame:
 BYTES = [(1, "feff0141006f"), (2, "fffe41016f00"), (3, "a09a9b415d"), (4, "181f8a"), (5, "")]
 
 
-@query("SELECT * FROM (VALUES (1, 'Ło'), (2, 'Ło'), (3, '€ıłA]'), (4, '˘˜−'), (5, '')) AS t(id, said)")
+@query("SELECT doc_id AS id, coalesce(left(text, 40), '') AS said FROM documents UNION ALL SELECT * FROM (VALUES (-1, 'Ło'), (-2, 'Ło'), (-3, '€ıłA]'), (-4, '˘˜−'), (-5, '')) AS t(id, said)")
 def decode_pdf_string(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(BYTES, "id int, b string").select("id", files.decode_pdf_string(F.unhex("b")).alias("said"))
+    """Beginnings of documents as PDFs hold them, in UTF-16 of either order, and strings of single bytes."""
+    start = F.left("text", F.lit(40))
+    wide = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(start, "UTF-16BE"))).otherwise(F.concat(F.unhex(F.lit("FFFE")), F.encode(start, "UTF-16LE")))
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("id"), wide.alias("b"))
+    strings = known.unionAll(spark.createDataFrame([(-k, b) for k, b in BYTES], "id bigint, b string").withColumn("b", F.unhex("b")))
+    return strings.select("id", files.decode_pdf_string(F.col("b")).alias("said"))
 
 
 SPELLED = [(1, "Z\u0307o\u0301\u0142c\u0301 Gęś"), (2, "\u017b\u00f3\u0142\u0107 ge\u0328s\u0301"), (3, "plain  TEXT"), (4, "e\u0302\u0301")]
 
 
-@query(f"SELECT id, lower(nfc_normalize(regexp_replace(trim(t), '\\s+', ' ', 'g'))) AS key FROM {literal(SPELLED, 'id, t')}")
+@query(f"SELECT id, lower(nfc_normalize({sql_collapse('t')})) AS key FROM (SELECT doc_id AS id, left(text, 60) AS t FROM documents UNION ALL SELECT -id, t FROM {literal(SPELLED, 'id, t')})")
 def normalize_key(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(SPELLED, "id int, t string").select("id", text.normalize_key(F.col("t")).alias("key"))
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("t")).unionAll(spark.createDataFrame([(-k, t) for k, t in SPELLED], "id bigint, t string"))
+    return known.select("id", text.normalize_key(F.col("t")).alias("key"))
 
 
 # The parts of the catalogue in modules of their own, which take `query` and the SQL above from here.
