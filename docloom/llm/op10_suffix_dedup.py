@@ -14,7 +14,8 @@ one frequent anchor.
 
 Defined results: null texts are empty; texts under 50 bytes keep all; rows that repeat a doc_id are not
 earlier than each other; rows with a null doc_id neither remove nor lose anything. Kept bytes may end
-within a character, so the kept text is binary.
+within a character, so the kept text is binary. An empty table gives no rows; very long texts are read whole, in chunks of their own; extra
+columns are not read; of equal strings the document with the least doc_id keeps its own, and nothing else decides.
 """
 
 from __future__ import annotations

@@ -27,7 +27,7 @@ Spark aggregates, others have a bounded frequency.
 Defined results: a null or empty text has no shingle (n_shingles 0) and is its own component; a row with
 a null doc_id links with nothing and has a null component_id; rows with one doc_id are one document (its
 component holds what any of its texts link to). Texts with fewer than five words are one shingle. Very long
-texts are read whole. An empty table gives no rows. Extra columns are not read by jaccard_components, and
+texts are read whole. Of ties between leaders, or between documents of a component, the least doc_id is taken. An empty table gives no rows. Extra columns are not read by jaccard_components, and
 keep_one returns them as they are.
 """
 

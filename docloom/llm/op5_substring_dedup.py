@@ -13,7 +13,8 @@ hashes. Both rounds go through the chunk exchange, so a passage in a third of al
 entry for each chunk.
 
 Defined results: null texts have no words; texts with fewer than 13 words keep all; rows that repeat a
-doc_id are not earlier than each other; rows with a null doc_id neither remove nor lose anything.
+doc_id are not earlier than each other; rows with a null doc_id neither remove nor lose anything. An empty table gives no
+rows; very long texts are read whole; extra columns are not read; of equal windows the document with the least doc_id keeps its own.
 """
 
 from __future__ import annotations

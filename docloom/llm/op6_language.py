@@ -13,7 +13,8 @@ length each. Predictions read whole texts.
 
 Defined results: a null text, or one without a letter, is `und` with score 0.0. Without any labelled
 document everything is `und`. Null labels are not used. Ties go to the first language by name. Repeated
-rows are judged each on its own; extra columns are not read.
+rows are judged each on its own; extra columns come back as they are. An empty table gives no rows; very long texts are
+read whole, window by window.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import quoted, small_batches
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 4), 16, 8
 LETTER = re.compile(r"[^\W\d_]")
@@ -219,17 +220,18 @@ def predict(docs: DataFrame, model: Tables | None) -> DataFrame:
     """The input's rows with lang_pred and score (which replace columns of those names)."""
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     small_batches(docs.sparkSession)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep])
+    source = docs.select(*[F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(keep)])
+    names, at = [*keep, "lang_pred", "score"], keep.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size depends on the constants above only
 
     def work(batches):
         net = shared.value
         for b in batches:
-            at = b.schema.get_field_index("text")
             langs, scores = classify(net, b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*source.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    fields = [T.StructField(c, f.dataType, f.nullable) for c, f in zip(keep, source.schema.fields, strict=True)]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return source.mapInArrow(work, schema)

@@ -13,8 +13,8 @@ and go only within an aligned block; lines of fewer than `least` characters don'
 aligned. Judged on the input: a line deleted from a document still counts as that document's. Rows with
 the same doc_id are not earlier than each other. A null doc_id is never earlier nor later than another.
 Extra columns are kept, whatever their names; columns named n_lines or n_removed (in any case) give way to
-the operator's. An empty table gives no rows; very long texts are aligned whole; of lines that several
-documents own first, ties can't be: doc_ids of owners differ, or neither is earlier.
+the operator's. An empty table gives no rows; very long texts are aligned whole. There are no ties between owners: a line
+belongs to the least doc_id that has it, and rows of one doc_id own it together.
 """
 
 from __future__ import annotations

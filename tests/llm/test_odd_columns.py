@@ -41,3 +41,14 @@ def test_url_filter_ties(spark):
     got = sorted(((r["page_id"], r["verdict"], r["rule"]) for r in op7_url_filter.judge(pages.withColumn("path", F.lit(1)), labels, rules).collect()), key=repr)
     assert got == [(1, "block", "net/x"), (2, "block", "net/x"), (3, "allow", None), (4, "allow", None), (5, "allow", None), (5, "allow", None)]
     assert op7_url_filter.judge(pages.limit(0), labels).collect() == []
+
+
+def test_language_columns(spark):
+    from docloom.llm import op6_language
+
+    d = spark.createDataFrame([(1, "some words", "en"), (1, "some words", "en"), (2, None, "en"), (None, "", None)], "doc_id bigint, text string, lang string")
+    odd = d.select("*", F.lit(1).alias("a `quoted`.name"), F.lit("x").alias("Score"))
+    got = op6_language.predict(odd, None)
+    assert got.columns == ["doc_id", "text", "lang", "a `quoted`.name", "lang_pred", "score"]
+    assert sorted((r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in got.collect()) == [(0, "und", 0.0), (1, "und", 0.0), (1, "und", 0.0), (2, "und", 0.0)]
+    assert op6_language.predict(odd.limit(0), None).collect() == []
