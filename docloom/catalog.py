@@ -655,18 +655,26 @@ def keyword_union(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ clients and evaluation
 
 SQL_ANSWER = """(SELECT event_id, event_id % 11 = 0 AS aborted, event_id % 13 = 0 AS timed_out, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 503 WHEN 2 THEN 500 WHEN 3 THEN 404 ELSE 200 END AS status,
- CASE event_id % 7 WHEN 1 THEN '{"error":{"code":"AI_UNAVAILABLE"}}' WHEN 2 THEN '{"error":{"code":"NEVER_HEARD"}}' WHEN 3 THEN '<html>' ELSE '{"a":1}' END AS body, event_id % 5 <> 0 AS valid FROM events)"""
+ CASE event_id % 7 WHEN 1 THEN '{"error":{"code":"AI_UNAVAILABLE","message":"m","requestId":' || CASE event_id % 3 WHEN 0 THEN '"r' || event_id || '"' ELSE event_id::VARCHAR END || '}}'
+  WHEN 2 THEN CASE event_id % 3 WHEN 0 THEN '{"error":{"code":"RATE_LIMITED"}}' ELSE '{"error":{"code":"NEVER_HEARD","message":"m","requestId":"r"}}' END WHEN 3 THEN '<html>' ELSE '{"a":' || props || '}' END AS body, event_id % 5 <> 0 AS valid FROM events)"""
 
 
-@query(f"""SELECT event_id, CASE WHEN status IS NULL OR status = 200 OR NOT known THEN 'client' ELSE 'api' END AS source,
- CASE WHEN status IS NULL THEN CASE WHEN timed_out THEN 'TIMEOUT' ELSE 'NETWORK' END WHEN body = '<html>' OR status = 200 THEN 'INVALID_RESPONSE' WHEN known THEN 'AI_UNAVAILABLE' ELSE 'UNKNOWN' END AS code
- FROM (SELECT *, contains(body, 'AI_UNAVAILABLE') AS known FROM {SQL_ANSWER}) WHERE NOT aborted AND (status IS DISTINCT FROM 200 OR NOT valid)""")
+@query(f"""SELECT event_id, CASE WHEN ok AND known AND status NOT BETWEEN 200 AND 299 THEN 'api' ELSE 'client' END AS source,
+ CASE WHEN status IS NULL THEN CASE WHEN timed_out THEN 'TIMEOUT' ELSE 'NETWORK' END WHEN NOT ok OR status BETWEEN 200 AND 299 THEN 'INVALID_RESPONSE' WHEN known THEN j->>'$.error.code' ELSE 'UNKNOWN' END AS code,
+ CASE WHEN ok AND known AND status NOT BETWEEN 200 AND 299 THEN j->>'$.error.requestId' END AS request_id
+FROM (SELECT *, coalesce(j->>'$.error.code' IN ({', '.join(quote(c) for c, *_ in S.ERRORS)}) AND json_type(j, '$.error.message') = 'VARCHAR' AND json_type(j, '$.error.requestId') = 'VARCHAR', false) AS known
+ FROM (SELECT *, json_valid(body) AS ok, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM {SQL_ANSWER}))
+WHERE NOT (status IS NULL AND aborted) AND (status IS NULL OR NOT ok OR status NOT BETWEEN 200 AND 299 OR NOT valid)""")
 def answer_errors(spark: SparkSession, d: str) -> DataFrame:
     e, k = F.col("event_id"), F.col("event_id") % 7
     status = F.when(k == 0, None).when(k == 1, 503).when(k == 2, 500).when(k == 3, 404).otherwise(200)
-    body = F.when(k == 1, '{"error":{"code":"AI_UNAVAILABLE"}}').when(k == 2, '{"error":{"code":"NEVER_HEARD"}}').when(k == 3, "<html>").otherwise('{"a":1}')
+    number = e.cast("string")
+    request = F.when(e % 3 == 0, F.concat(F.lit('"r'), number, F.lit('"'))).otherwise(number)
+    full = F.concat(F.lit('{"error":{"code":"AI_UNAVAILABLE","message":"m","requestId":'), request, F.lit("}}"))
+    other = F.when(e % 3 == 0, '{"error":{"code":"RATE_LIMITED"}}').otherwise('{"error":{"code":"NEVER_HEARD","message":"m","requestId":"r"}}')
+    body = F.when(k == 1, full).when(k == 2, other).when(k == 3, "<html>").otherwise(F.concat(F.lit('{"a":'), "props", F.lit("}")))
     error = outcome.answer_error(e % 11 == 0, e % 13 == 0, status, body, e % 5 != 0)
-    return table(spark, d, "events").select("event_id", error.alias("x")).where("x is not null").select("event_id", "x.source", "x.code")
+    return table(spark, d, "events").select("event_id", error.alias("x")).where("x is not null").select("event_id", "x.source", "x.code", "x.request_id")
 
 
 SQL_MESSAGES = literal([("api", c, m) for c, m, _ in S.ERRORS] + [("client", c, m) for c, m in S.CLIENT_ERRORS], "source, code, message")

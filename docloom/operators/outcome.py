@@ -10,18 +10,25 @@ from docloom import schemas as S
 
 
 def answer_error(aborted: Column, timed_out: Column, status: Column, body: Column, valid: Column) -> Column:
-    """struct<source, code> of a failed request, null for a good one. status is null if no answer came; an abort by
-    the caller is no outcome (null, with `aborted` for the caller to look at); valid tells whether a good answer's body passed."""
-    error = lambda source, code: F.struct(F.lit(source).alias("source"), code.alias("code"))
-    client = lambda code: error("client", F.lit(code))
-    known = F.get_json_object(body, "$.error.code")
-    json = F.try_parse_json(body).isNotNull()
+    """struct<source, code, request_id> of a failed request, null for a good one. status is null if no answer came: then an abort by the
+    caller is no outcome (null, with `aborted` for the caller to look at), and does not count where an answer did come. An answer with an error
+    is the API's if it has all that the contract asks for, a known code, a message and a request id. valid tells whether a good answer's body
+    passed."""
+
+    def error(source, code, request=None):
+        return F.struct(F.lit(source).alias("source"), (code if isinstance(code, Column) else F.lit(code)).alias("code"), (F.lit(None).cast("string") if request is None else request).alias("request_id"))
+
+    json = F.try_parse_json(body)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(json, f"$.error.{name}", "variant"))
+    said = lambda name: F.when(kind(name) == "STRING", F.try_variant_get(json, f"$.error.{name}", "string"))
+    issues = kind("issues")
+    listed = issues.isNull() | issues.startswith("ARRAY")
+    known = said("code").isin([c for c, *_ in S.ERRORS]) & said("message").isNotNull() & said("requestId").isNotNull() & listed
     return (
-        F.when(F.coalesce(aborted, F.lit(False)), None)
-        .when(status.isNull(), F.when(F.coalesce(timed_out, F.lit(False)), client("TIMEOUT")).otherwise(client("NETWORK")))
-        .when(~F.coalesce(json, F.lit(False)), client("INVALID_RESPONSE"))
-        .when((status < 200) | (status > 299), F.when(known.isin([c for c, *_ in S.ERRORS]), error("api", known)).otherwise(client("UNKNOWN")))
-        .when(~F.coalesce(valid, F.lit(False)), client("INVALID_RESPONSE"))
+        F.when(status.isNull(), F.when(~F.coalesce(aborted, F.lit(False)), F.when(F.coalesce(timed_out, F.lit(False)), error("client", "TIMEOUT")).otherwise(error("client", "NETWORK"))))
+        .when(json.isNull(), error("client", "INVALID_RESPONSE"))
+        .when((status < 200) | (status > 299), F.when(F.coalesce(known, F.lit(False)), error("api", said("code"), said("requestId"))).otherwise(error("client", "UNKNOWN")))
+        .when(~F.coalesce(valid, F.lit(False)), error("client", "INVALID_RESPONSE"))
     )
 
 

@@ -38,12 +38,12 @@ def test_tree(spark):
 
 
 def test_answers(spark):
-    rows = [(1, True, False, None, None, None), (2, False, True, None, None, None), (3, False, False, None, None, None), (4, False, False, 502, '{"error":{"code":"AI_TIMEOUT"}}', None), (5, False, False, 502, "{}", None), (6, False, False, 502, "no json", None), (7, False, False, 200, "{}", False), (8, False, False, 200, "{}", True)]
+    rows = [(1, True, False, None, None, None), (2, False, True, None, None, None), (3, False, False, None, None, None), (4, True, False, 502, '{"error":{"code":"AI_TIMEOUT","message":"m","requestId":"r4"}}', None), (9, False, False, 502, '{"error":{"code":"AI_TIMEOUT"}}', None), (10, False, False, 502, '{"error":{"code":"AI_TIMEOUT","message":"m","requestId":4}}', None), (5, False, False, 502, "{}", None), (6, False, False, 502, "no json", None), (7, False, False, 200, "{}", False), (8, False, False, 200, "{}", True)]
     d = spark.createDataFrame(rows, "id int, aborted boolean, timed_out boolean, status int, body string, valid boolean")
     e = d.select("id", outcome.answer_error(*map(F.col, d.columns[1:])).alias("e")).where("e is not null").select("id", "e.*")
     got = {r["id"]: (r["source"], r["code"], r["message"]) for r in outcome.with_messages(e, S.message_dimension(spark)).collect()}
-    assert {k: v[:2] for k, v in got.items()} == {2: ("client", "TIMEOUT"), 3: ("client", "NETWORK"), 4: ("api", "AI_TIMEOUT"), 5: ("client", "UNKNOWN"), 6: ("client", "INVALID_RESPONSE"), 7: ("client", "INVALID_RESPONSE")}
-    assert all(v[2] for v in got.values())
+    assert {k: v[:2] for k, v in got.items()} == {2: ("client", "TIMEOUT"), 3: ("client", "NETWORK"), 4: ("api", "AI_TIMEOUT"), 9: ("client", "UNKNOWN"), 10: ("client", "UNKNOWN"), 5: ("client", "UNKNOWN"), 6: ("client", "INVALID_RESPONSE"), 7: ("client", "INVALID_RESPONSE")}
+    assert all(v[2] for v in got.values()) and e.where("id = 4").first()["request_id"] == "r4"
 
 
 def test_spellings(spark):
