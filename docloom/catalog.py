@@ -423,10 +423,14 @@ def validate_citations(spark: SparkSession, d: str) -> DataFrame:
     return cite.validate_amounts(*citations(spark, d))
 
 
-@query("""SELECT doc_id, number, regexp_matches(text, '(^|[^\\p{L}\\p{N}])' || regexp_escape(e) || '([^\\p{L}\\p{N}]|$)') AS appears
- FROM (SELECT doc_id, number, text, substr(text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END, 12) AS e FROM """ + SQL_LINES + """) WHERE regexp_matches(e, '^[\\p{L}\\p{N}].*[\\p{L}\\p{N}]$')""")
+SQL_WORD = "[\\p{L}\\p{N}]"
+
+
+@query(f"""SELECT doc_id, number, e <> '' AND regexp_matches(text, CASE WHEN regexp_matches(e, '^{SQL_WORD}') THEN '(^|[^\\p{{L}}\\p{{N}}])' ELSE '' END || regexp_escape(e) || CASE WHEN regexp_matches(e, '{SQL_WORD}$') THEN '([^\\p{{L}}\\p{{N}}]|$)' ELSE '' END) AS appears
+ FROM (SELECT doc_id, number, text, substr(text, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 3 END, 12) AS e FROM {SQL_LINES})""")
 def excerpt_appears(spark: SparkSession, d: str) -> DataFrame:
-    p = lines(spark, d).withColumn("e", F.substring(F.col("text"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(3), F.lit(12))).where(F.col("e").rlike(r"^[\p{L}\p{N}].*[\p{L}\p{N}]$"))
+    """Twelve characters of each line, in it at the edges of words or not."""
+    p = lines(spark, d).withColumn("e", F.substring(F.col("text"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(3), F.lit(12)))
     return p.select("doc_id", "number", text.excerpt_appears(F.col("text"), F.col("e")).alias("appears"))
 
 
@@ -714,9 +718,10 @@ def samples_passed(spark: SparkSession, d: str) -> DataFrame:
     return outcome.all_passed(table(spark, d, "events"), ["user_id"], F.col("value") < 90)
 
 
-@query("SELECT user_id AS drop_id, CASE WHEN count(*) > 1 THEN 'MULTIPLE_FILES' WHEN min(event_type) = 'view' THEN 'NOT_PDF' END AS code FROM events WHERE value < 3 GROUP BY user_id")
+@query("SELECT user_id || ' ' || strftime(ts, '%Y-%m-%d %H') AS drop_id, CASE WHEN count(*) > 1 THEN 'MULTIPLE_FILES' WHEN min(event_type) = 'view' THEN 'NOT_PDF' END AS code FROM events GROUP BY 1")
 def single_file(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "events").where("value < 3").withColumnRenamed("user_id", "drop_id")
+    """What a user has sent within an hour is one drop."""
+    f = table(spark, d, "events").withColumn("drop_id", F.concat(F.col("user_id").cast("string"), F.lit(" "), F.date_format("ts", "yyyy-MM-dd HH")))
     return outcome.single_file(f, F.when(F.col("event_type") == "view", "NOT_PDF"))
 
 
@@ -736,10 +741,12 @@ def json_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.posexplode(text.json_tokens(F.col("props"))).alias("pos", "t")).select("event_id", "pos", "t.kind", "t.token")
 
 
-@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k <> 'page')), ',') AS unknown FROM events WHERE json_valid(props)")
+@query("SELECT event_id, CASE WHEN json_valid(t) THEN array_to_string(list_sort(list_filter(json_keys(CASE WHEN json_valid(t) THEN t ELSE '{}' END), lambda k: k <> 'page')), ',') ELSE '(root)' END AS unknown FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN left(props, 4) ELSE props END AS t FROM events)")
 def unknown_keys(spark: SparkSession, d: str) -> DataFrame:
-    keys = F.array_join(F.sort_array(validate.unknown_keys(F.col("props"), ["page"])), ",")
-    return table(spark, d, "events").where(F.try_parse_json("props").isNotNull()).select("event_id", keys.alias("unknown"))
+    """Keys at the top of an object; a text that is no JSON is at fault itself."""
+    t = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.left("props", F.lit(4))).otherwise(F.col("props")).alias("t"))
+    keys = F.array_join(F.sort_array(validate.unknown_keys(F.col("t"), ["page"])), ",")
+    return t.select("event_id", F.when(F.try_parse_json("t").isNull(), "(root)").otherwise(keys).alias("unknown"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 600 = 0 THEN 'retryable' WHEN event_id % 600 = 200 THEN CASE WHEN value > 50 THEN 'ok' ELSE 'invalid' END WHEN event_id % 600 IN (429, 500, 502, 503, 504) THEN 'retryable' ELSE 'fatal' END AS kind FROM events")
