@@ -65,7 +65,7 @@ def metadata_values(spark: SparkSession, d: str) -> DataFrame:
  FROM (SELECT {METADATA_TEXT} AS text FROM events) e) GROUP BY code""")
 def metadata_reports(spark: SparkSession, d: str) -> DataFrame:
     """How many metadata texts can be used, with their nodes."""
-    _, reports = json_tree.flattened(table(spark, d, "events"), F.col("event_id"), F.expr(METADATA_TEXT))
+    reports = json_tree.measured(table(spark, d, "events"), F.col("event_id"), F.expr(METADATA_TEXT))
     return reports.groupBy("code").agg(F.count("*").alias("texts"), F.sum("nodes").alias("nodes"))
 
 

@@ -1,11 +1,12 @@
 """JSON texts as rows of their nodes: taken apart level by level, checked against a schema, filtered, put together again.
 
 A node has id, steps (array<struct<key, pos>> from the root down; a null key is an array's element), depth, kind (object, array, string,
-number, boolean, null; invalid: the text is no JSON), value (a scalar's text) and literal (a scalar as JSON). Each level is one explode
+number, boolean, null; invalid: the text is no JSON), value (a scalar's text), literal (a scalar as JSON) and filled (a container that
+holds something). Each level is one explode
 of the variants of the level above, written once; a text costs a row for each of its nodes, and no Python.
 
 A text that repeats a key within an object counts as no JSON. Null texts are no JSON either; ids may be null or repeat, but
-`rebuilt`, `issues` and `flattened` need one id a text. Extra columns are not looked at.
+`rebuilt` and `issues` need one id a text. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from docloom import schemas as S
 from docloom.durable import durable
 
 STEPS = "array<struct<key:string,pos:int>>"
-NODE = ("id", "steps", "depth", "kind", "value", "literal")
+NODE = ("id", "steps", "depth", "kind", "value", "literal", "filled")
 
 
 def _described(level: DataFrame) -> DataFrame:
@@ -32,7 +33,8 @@ def _described(level: DataFrame) -> DataFrame:
     )
     d = level.withColumn("kind", kind)
     scalar = F.col("kind").isin("string", "number", "boolean", "null")
-    return d.withColumns({"value": F.when(scalar, F.variant_get("v", "$", "string")), "literal": F.when(scalar, F.to_json("v"))})
+    filled = ((F.col("kind") == "object") & (said != "OBJECT<>")) | ((F.col("kind") == "array") & F.try_variant_get("v", "$[0]", "variant").isNotNull())
+    return d.withColumns({"filled": filled, "value": F.when(scalar, F.variant_get("v", "$", "string")), "literal": F.when(scalar, F.to_json("v"))})
 
 
 def nodes(df: DataFrame, id_: Column, text: Column, max_depth: int = 32) -> DataFrame:
@@ -160,21 +162,51 @@ def read_strictly(df: DataFrame, id_: Column, text: Column) -> tuple[DataFrame,
 # ------------------------------------------------------------------ flattening and filtering
 
 
+def measures(text: Column, max_depth: int) -> Column:
+    """struct<at, nodes, depth, deep> of a text that is JSON: how many nodes it has down to max_depth, how deep they go, and whether a container lies
+    at max_depth. A fold over brackets and scalars, so that no text is taken apart to be counted and no rows are grouped. at is the
+    depth that is left open, 0 at the end."""
+    bare = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    # without escapes a string ends at its next quote: keys go, strings become one character
+    bare = F.regexp_replace(F.regexp_replace(bare, r'"[^"]*"\s*:', ""), '"[^"]*"', "s")
+    tokens = F.regexp_extract_all(bare, F.lit(r"[\[\]{}]|[^\s,\[\]{}]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("nodes"), F.lit(-1).alias("depth"), F.lit(False).alias("deep"))
+
+    def step(s, t):
+        opens, closes = t.isin("[", "{"), t.isin("]", "}")
+        seen = ~closes & (s["at"] <= max_depth)
+        at = s["at"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        after = F.struct(
+            at.alias("at"), (s["nodes"] + F.when(seen, 1).otherwise(0)).alias("nodes"), F.when(seen, F.greatest(s["depth"], s["at"])).otherwise(s["depth"]).alias("depth"),
+            (s["deep"] | (opens & (s["at"] == max_depth))).alias("deep"),
+        )
+        # what follows the first value is not looked at
+        return F.when((s["at"] == 0) & (s["nodes"] > 0), s).otherwise(after)
+
+    return F.aggregate(tokens, start, step)
+
+
+def measured(df: DataFrame, id_: Column, text: Column, max_depth: int = 32, max_nodes: int = S.MAX_PAGE_CHARS, max_chars: int = S.MAX_PAGE_CHARS) -> DataFrame:
+    """id, text, code, nodes, depth, chars of every text: INSPECTION_FAILED for no JSON, INSPECTION_LIMIT for one that is too long, too deep or
+    has too many nodes. A projection."""
+    d = df.select(id_.alias("id"), text.alias("text"))
+    f = measures(F.col("text"), max_depth)
+    facts = d.select("id", "text", F.coalesce(F.length("text"), F.lit(0)).alias("chars"), F.when(F.try_parse_json("text").isNotNull(), f).alias("f"))
+    # a column that several others use, computed once
+    facts = facts.select("id", "text", "chars", F.explode(F.array("f")).alias("f"))
+    nodes_, depth = F.coalesce("f.nodes", F.lit(1)).cast("bigint"), F.coalesce("f.depth", F.lit(0))
+    over = F.col("f.deep") | (nodes_ > max_nodes) | (F.col("chars") > max_chars)
+    code = F.when(F.col("f").isNull(), "INSPECTION_FAILED").when(over, "INSPECTION_LIMIT")
+    return facts.select("id", "text", code.alias("code"), nodes_.alias("nodes"), depth.alias("depth"), "chars")
+
+
 def flattened(df: DataFrame, id_: Column, text: Column, max_depth: int = 32, max_nodes: int = S.MAX_PAGE_CHARS, max_chars: int = S.MAX_PAGE_CHARS) -> tuple[DataFrame, DataFrame]:
     """(values, reports). values: id, path, kind, value of every scalar and empty container of texts within the limits; reports: id, code, nodes,
     depth, chars of every text: INSPECTION_FAILED for no JSON, INSPECTION_LIMIT for one that is too long, too deep or has too many
     nodes. None is cut short: a text over a limit has a report and no values."""
-    n = durable(nodes(df, id_, text, max_depth))
-    has = n.where("depth > 0").select("id", above(F.col("steps")).alias("steps")).distinct().withColumn("__full", F.lit(True))
-    n = n.join(has, ["id", "steps"], "left")
-    empty = F.col("kind").isin("object", "array") & F.col("__full").isNull()
-    deep = empty & (F.col("depth") == max_depth)  # a container at the last level may hold more
-    facts = n.groupBy("id").agg(F.count("*").alias("nodes"), F.max("depth").alias("depth"), F.bool_or(deep).alias("__deep"), F.bool_or(F.col("kind") == "invalid").alias("__bad"))
-    facts = facts.join(df.select(id_.alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("chars")), "id")
-    over = F.col("__deep") | (F.col("nodes") > max_nodes) | (F.col("chars") > max_chars)
-    reports = durable(facts.select("id", F.when(F.col("__bad"), "INSPECTION_FAILED").when(over, "INSPECTION_LIMIT").alias("code"), "nodes", "depth", "chars"))
-    leaves = n.where(empty | ~F.col("kind").isin("object", "array", "invalid")).join(reports.where("code is null").select("id"), "id", "left_semi")
-    return leaves.select("id", path(F.col("steps")).alias("path"), "kind", "value"), reports
+    d = measured(df, id_, text, max_depth, max_nodes, max_chars)
+    leaves = nodes(d.where("code is null"), F.col("id"), F.col("text"), max_depth).where("not filled and kind <> 'invalid'")
+    return leaves.select("id", path(F.col("steps")).alias("path"), "kind", "value"), d.drop("text")
 
 
 def rebuilt(n: DataFrame) -> DataFrame:
