@@ -94,3 +94,26 @@ def test_schema_for_model(spark):
     got = {x["id"]: json.loads(x["json"]) for x in schemas.collect()}
     assert got == {k: picked(x) for k, x in enumerate(data)}
     assert op.schema_for_model(frame(spark, []), F.col("k"), F.col("t"))[0].collect() == []
+
+
+def test_texts_are_counted_where_they_stand(spark):
+    """Reports come from the text alone: nothing is grouped or joined, and escapes, empty containers and nulls count as nodes do."""
+    r = random.Random(11)
+    data = [made(r) for _ in range(60)] + ['a\\"[', {'k"[{\\': ["]", "\\", {}, [], [None]], "é\\\\": {"": "x:y"}}, [], {}, None, [[None]], "\\\\"]
+    texts = [json.dumps(x, indent=r.choice([None, 2])) for x in data] + ["", "{", None, '{"a": 1, "a": 2}', '{"a":[1,{"b":[]}]}']
+    values_, reports = op.flattened(frame(spark, texts), F.col("k"), F.col("t"), max_depth=9)
+    plan = reports._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+    def counted(x, depth=0):
+        below = [counted(y, depth + 1) for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else [])]
+        return 1 + sum(n for n, _ in below), max([depth] + [m for _, m in below])
+
+    got = {x["id"]: (x["code"], x["nodes"], x["depth"]) for x in reports.collect()}
+    assert [got[k] for k in range(len(data))] == [(None, *counted(x)) for x in data]
+    n = len(data)
+    assert [got[n + k] for k in range(5)] == [("INSPECTION_FAILED", 1, 0)] * 4 + [(None, 5, 3)]
+    by = {}
+    for x in values_.collect():
+        by.setdefault(x["id"], []).append(x["path"])
+    assert {k: sorted(v) for k, v in by.items()} == {k: sorted(values(x)) for k, x in [*enumerate(data), (n + 4, {"a": [1, {"b": []}]})]}
