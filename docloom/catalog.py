@@ -13,7 +13,7 @@ from docloom import schemas as S
 from docloom.functions import security, text, values
 from docloom.operators import chunk, cite, ground, merge, outcome, state, tree, validate
 from docloom.plans import pipeline
-from docloom.session import table
+from docloom.session import spread, table
 from docloom.sources import files
 
 QUERIES: dict = {}
@@ -462,10 +462,10 @@ def ocr_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def analyzed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every order's statement through the whole pipeline, with the rule-based payloads."""
-    s = statements(spark, d)
+    s = spread(statements(spark, d), "doc_id")
     t = F.concat(F.col("text"), F.lit("\nTo jest pierwsze zdanie. To jest drugie zdanie."))
     r = s.select("doc_id", F.lit("faktura.pdf").alias("file_name"), F.lit(1).alias("page_count"), F.array(F.struct(F.lit(1).alias("number"), t.alias("text"), F.lit("text").alias("source"))).alias("pages"), F.lit(None).cast(S.INSPECTION).alias("inspection"))
-    payloads = pipeline.rule_based_payloads(pipeline.prepare(r))
+    payloads = pipeline.rule_based_payloads(pipeline.full_texts(r))
     # every fifth payload claims another amount
     wrong = F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("payload_json", r'"value":[0-9.E]+', '"value":1.01')).otherwise(F.col("payload_json"))
     return pipeline.analyze(r, payloads.withColumn("payload_json", wrong))

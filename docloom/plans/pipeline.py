@@ -47,8 +47,20 @@ def prepare(requests: DataFrame) -> DataFrame:
     d = once(d.withColumns({"full_text": F.array_join(F.transform("clean_pages", lambda p: p["text"]), "\n\n"), "__patterns": patterns}))
     found = F.filter("__patterns", lambda x: x["pattern"].isNotNull())
     found = F.transform(found, lambda x: F.struct(x["page"].alias("page"), security.injection_excerpt(x["text"], x["pattern"]).alias("excerpt")))
-    error = F.when(F.col("total") > S.MAX_TOTAL_CHARS, "DOCUMENT_TOO_LONG").when(text.trim_ws(F.col("full_text")) == "", "NO_TEXT_LAYER")
-    return once(d.withColumns({"injections": found, "error": error}).drop("__patterns", "total"))
+    return once(d.withColumns({"injections": found, "error": _error()}).drop("__patterns", "total"))
+
+
+def _error() -> Column:
+    return F.when(F.col("total") > S.MAX_TOTAL_CHARS, "DOCUMENT_TOO_LONG").when(text.trim_ws(F.col("full_text")) == "", "NO_TEXT_LAYER")
+
+
+def full_texts(requests: DataFrame) -> DataFrame:
+    """doc_id, full_text, error as `prepare` has them, without the work for its other columns."""
+    clean = F.transform(F.array_sort("pages"), lambda p: text.normalize_text(p["text"]))
+    total = F.aggregate("pages", F.lit(0).cast("bigint"), lambda a, p: a + text.utf16_length(p["text"]))
+    d = once(requests.select("doc_id", total.alias("total"), clean.alias("__clean")))
+    d = once(d.select("doc_id", "total", F.array_join(F.transform("__clean", lambda t: security.scan(t)["text"]), "\n\n").alias("full_text")))
+    return once(d.select("doc_id", "full_text", _error().alias("error")))
 
 
 def merge_counts(found: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8, name: str = "docloom") -> SparkSession:
@@ -22,3 +22,11 @@ def session(master: str = "local[8]", partitions: int = 8, name: str = "docloom"
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key over as many tasks as a shuffle has, or two a core if that is more: work that costs far more than its rows weigh must not depend on how
+    few parts a file has."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, key)

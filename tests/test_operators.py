@@ -184,3 +184,19 @@ def test_passages_around_numbers(spark):
     for row in d.collect():
         want = [passage(row["t"], m.start()) for m in re.finditer(r"[0-9][0-9.,/-]*", row["t"])]
         assert [m["excerpt"] for m in row["m"]] == want
+
+
+def test_full_texts_are_those_of_prepare(spark):
+    key = "AKIA" + "Z" * 16
+    r = requests(spark, request(1, [(2, f"b {key}\r\n\r\n\r\n\r\nc ", "text"), (1, " a ", "ocr")]), request(2, [(1, "  ", "text")]), request(3, [(1, "x" * (S.MAX_TOTAL_CHARS + 1), "text")]))
+    of = lambda d: sorted(tuple(x) for x in d.select("doc_id", "full_text", "error").collect())
+    got = of(pipeline.full_texts(r))
+    assert got == of(pipeline.prepare(r)) and [e for *_, e in got] == [None, "NO_TEXT_LAYER", "DOCUMENT_TOO_LONG"]
+
+
+def test_statements_are_dealt_over_tasks(spark):
+    """One file of few rows must not put the whole pipeline into one task."""
+    from docloom.session import spread
+
+    d = spread(spark.range(100).coalesce(1), "id")
+    assert d.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
