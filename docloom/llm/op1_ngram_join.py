@@ -19,6 +19,9 @@ Method, step by step:
  5. If L itself does not link, |Q & S| is at most min(|Q & L|, |S & L|) plus what Q and S share outside
     of L. Only members that this allows are verified: they meet by tokens outside of L, or by sizes
     so small that L's part is enough. Within a component nothing more is verified.
+ 6. A class without a link that shares half of its tokens or more with a leader is a satellite of its group: the two are compared
+    already, so it meets the group's members and other satellites by step 5 alone, and other classes find it through the group.
+    Outliers of a family thus do not ask each other by the family's frequent tokens.
 
 So a family of m near copies costs m verifications against its leaders, and an outlier of it only those
 members that share its own edits. No frequent token is collected: those known as frequent are rows that
@@ -394,11 +397,50 @@ def stars(links: DataFrame) -> DataFrame:
     return links.join(chosen.join(leaders, "y", "left_anti"), ["x", "y"]).select("x", "y", "n", "common", "rest")
 
 
+def satellites(near: DataFrame, linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """(x, y, n, n_a, common, rest): each class y without a link under one leader x, the one with most such classes of those
+    it was compared with. linked: node, component of classes with links."""
+    free = classes.join(linked, classes["rep"] == linked["node"], "left_anti").select(F.col("k1").alias("y"))
+    near = near.join(free, "y")
+    degree = cut(near.groupBy("x").agg(F.count("*").alias("d")))
+    chosen = near.select("x", "y").join(degree, "x").groupBy("y").agg(F.max(F.struct("d", "x"))["x"].alias("x"))
+    return near.join(cut(chosen), ["x", "y"]).select("x", "y", "n", "n_a", "common", "rest")
+
+
+def named_classes(classes: DataFrame, linked: DataFrame, members: DataFrame, outer: DataFrame) -> DataFrame:
+    """k, g (its component), h (its group's leader), s (the leader's component), outer (whether it is a satellite there)."""
+    own = classes.join(linked, classes["rep"] == linked["node"], "left")
+    own = cut(own.select(F.col("k1").alias("k"), F.coalesce("component", "rep").alias("g")))
+    led = outer.select(F.col("y").alias("k"), F.col("x").alias("around"))
+    led = led.join(own.select(F.col("k").alias("around"), F.col("g").alias("s")), "around")
+    named = own.join(members.select(F.col("y").alias("k"), "x"), "k", "left").join(led, "k", "left")
+    return named.select("k", "g", F.coalesce("x", "around", "k").alias("h"), F.coalesce("s", "g").alias("s"), F.col("around").isNotNull().alias("outer"))
+
+
+def shared_tokens(sized: DataFrame) -> DataFrame:
+    """k, n, x, olo, ohi for each token that a class k shares with a group x that it asks.
+
+    sized: token, k, n, most, outer of a class; h (its group), s (the leader's component) and m, lo, hi of these.
+    """
+    other = {"h": "x", "s": "other", "m": "om", "lo": "olo", "hi": "ohi"}
+    matrix = sized.select("token", *[F.col(c).alias(o) for c, o in other.items()]).distinct()
+    # The smaller component asks the larger one, so that a large family does not ask each of its outliers; a satellite asks the
+    # other groups of its leader's component.
+    asks = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("s") < F.col("other")))
+    asks = F.when(F.col("s") == F.col("other"), F.col("outer") & (F.col("h") != F.col("x"))).otherwise(asks)
+    n = F.col("n")
+    lo, hi = F.greatest("olo", F.ceil(n * NUM / DEN)), F.least("ohi", F.floor(n * DEN / NUM))
+    # A larger set's prefix may end first and hide tokens that it has. What links with it has all others of that prefix.
+    hidden = n - prefix_of(n) + prefix_of(hi) - (hi - least_overlap(n, hi))
+    able = (lo <= hi) & (F.col("most") >= F.least(least_overlap(n, lo), F.when(hi > n, hidden)))
+    return sized.join(matrix, "token").where(asks & able).select("k", "n", "x", "olo", "ohi")
+
+
 def opened_groups(rare: DataFrame, often: DataFrame, named: DataFrame) -> DataFrame:
     """(x, y): the leaders of the groups that the token-group matrix opens for a class y of another component.
 
-    named: k, g (its component), h (its group's leader). Tokens that no other class has are counted for each
-    class: at most `most` = n - (those) of its tokens can be in another set.
+    named: see named_classes. Tokens that no other class has are counted for each
+    class: at most `most` = n - (those) of its tokens can be in another set whose prefix does not end before its own.
     """
     every = rare.unionAll(often).join(named.select("k", "g"), "k")
     spread = every.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
@@ -411,23 +453,17 @@ def opened_groups(rare: DataFrame, often: DataFrame, named: DataFrame) -> DataFr
     counts = rare.unionAll(often).groupBy("k", "n").agg(F.count("*").alias("c"))
     most = counts.select("k", (F.col("n") - prefix_of(F.col("n")) + F.col("c") + 2).alias("most"))
     most = most.where(F.col("most") >= F.ceil(F.col("n") * NUM / DEN))  # else it links with none
-    mixed = cut(met.join(named, "k").join(most, "k"))
-    members = mixed.select("g", "h", "k", "n").distinct()
-    groups = cut(members.groupBy("g", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")))
-    size = cut(groups.groupBy("g").agg(F.sum("m").alias("m")))
-    groups = cut(groups.drop("m").join(size, "g"))
-    sized = cut(mixed.drop("g").join(groups, "h"))
-    other = {"h": "x", "g": "other", "m": "om", "lo": "olo", "hi": "ohi"}
-    matrix = sized.select("token", *[F.col(c).alias(o) for c, o in other.items()]).distinct()
-    # The smaller component asks the larger one, so that a large family does not ask each of its outliers.
-    asks = (F.col("m") < F.col("om")) | ((F.col("m") == F.col("om")) & (F.col("g") < F.col("other")))
+    mixed = cut(met.join(named.drop("g"), "k").join(most, "k"))
+    members = mixed.select("s", "h", "k", "n").distinct()
+    groups = cut(members.groupBy("s", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("m")))
+    size = cut(groups.groupBy("s").agg(F.sum("m").alias("m")))
+    groups = cut(groups.drop("m").join(size, "s"))
+    sized = cut(mixed.drop("s").join(groups, "h"))
+    overlap = shared_tokens(sized).groupBy("k", "n", "x", "olo", "ohi").agg(F.count("*").alias("c"))
     n = F.col("n")
-    lo, hi = F.greatest("olo", F.ceil(n * NUM / DEN)), F.least("ohi", F.floor(n * DEN / NUM))
-    able = (lo <= hi) & (F.col("most") >= least_overlap(n, lo))
-    overlap = sized.join(matrix, "token").where(asks & able)
-    overlap = overlap.groupBy("k", "n", "x", "olo", "ohi").agg(F.count("*").alias("c"))
     # The bound is within one of its least at an end of the sizes that can link; one more for short forms.
     rest = lambda n: F.ceil(n * NUM / DEN) - F.greatest(F.lit(1), F.floor(n / 20))
+    lo, hi = F.greatest("olo", F.ceil(n * NUM / DEN)), F.least("ohi", F.floor(n * DEN / NUM))
     least = lambda m: least_overlap(n, m) - F.greatest(rest(n), rest(m)) - 2
     return overlap.where(F.col("c") >= F.least(least(lo), least(hi))).select("x", F.col("k").alias("y"))
 
@@ -454,7 +490,7 @@ def opened_members(asked: DataFrame, members: DataFrame) -> DataFrame:
     size = asked.groupBy("x").agg(F.max("n_a").alias("n_a"))
     sized = s.drop("more").join(cut(size), "x").withColumn("step", step(F.col("ns")))
     within = within.join(sized, ["x", "step"]).where(fits & (short <= 0))
-    return outside.select("q", "s").unionAll(within.select("q", "s")).distinct().select(F.col("s").alias("x"), F.col("q").alias("y"))
+    return outside.select("q", "s").unionAll(within.select("q", "s")).where("q <> s").select(F.col("s").alias("x"), F.col("q").alias("y"))
 
 
 def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -472,14 +508,19 @@ def link_components(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     often = cut(blocks.where("bucket is null").select("token", "k", "n").distinct())
     discard(blocks)
     rare = posted.where("not pair").select(F.col("x").alias("token"), F.col("y").alias("k"), "n")
-    links = cut(compared(docs, leader_pairs(posted, often), classes, rest=True).where(LINKED))
+    near = cut(compared(docs, leader_pairs(posted, often), classes, rest=True).where(f"{LINKED} or 2 * common >= n"))
+    links = near.where(LINKED)
     first = cut(components(links))
     members = cut(stars(links))
+    outer = cut(satellites(near.where(f"not ({LINKED})"), first, classes))
     # The token-group matrix: a class without a verified link is a group of its own.
-    named = classes.join(first, classes["rep"] == first["node"], "left").select(F.col("k1").alias("k"), F.coalesce("component", "rep").alias("g"))
-    named = cut(named.join(members.select(F.col("y").alias("k"), "x"), "k", "left").select("k", "g", F.coalesce("x", "k").alias("h")))
+    named = cut(named_classes(classes, first, members, outer))
     asked = cut(compared(docs, opened_groups(rare, often, named), classes, rest=True))
-    more = cut(compared(docs, opened_members(asked.where(f"not ({LINKED})"), members), classes).where(LINKED))
+    by = ["x", "y", "n", "n_a", "common", "rest"]
+    apart = asked.where(f"not ({LINKED})").select(*by).unionAll(outer)
+    pairs = opened_members(apart, members).unionAll(opened_members(asked.select(*by).unionAll(outer), outer.drop("n_a")))
+    pairs = pairs.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
+    more = cut(compared(docs, pairs, classes).where(LINKED))
     found = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for links in (asked.where(LINKED), more):
         found = found.unionAll(links.select("a", "b"))
