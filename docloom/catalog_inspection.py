@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.catalog import query, sql_redact
+from docloom.durable import clustered, dealt
 from docloom.operators import inspect, objects
 from docloom.session import table
 
@@ -18,7 +19,7 @@ AWS = "AKIA" + "Z" * 16
 def order_trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and pages of trees: an order holds its lines, a line holds what was sold at a discount. Lines with the same flags
     are equal attachments."""
-    orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
+    orders, items = dealt(table(spark, d, "orders"), "o_orderkey"), dealt(table(spark, d, "lineitem"), "l_orderkey")
     text = lambda c: F.col(c).cast("string")
     no = F.array().cast("array<string>")
 
@@ -38,7 +39,7 @@ def order_trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lines = node(line, F.col("l_orderkey"), number, F.lit("o"), F.col("l_linenumber"), number, F.when(F.col("l_linenumber") == 5, "text").otherwise("pdf"), 0, no, F.when(empty, "").otherwise(F.col("flags")))
     sold = items.where("l_discount >= 0.07").groupBy("l_orderkey", "l_linenumber", "l_discount").count()
     below = node(sold, F.col("l_orderkey"), F.concat(number, F.lit("d"), (F.col("l_discount") * 100).cast("int").cast("string")), number, (F.col("l_discount") * 100).cast("int"), F.lit("d"), "text", 2, F.array(F.lit(""), F.lit("m")), F.concat(F.lit("discount "), (F.col("l_discount") * 100).cast("int").cast("string")))
-    nodes = root.unionByName(lines).unionByName(below)
+    nodes = clustered(root.unionByName(lines).unionByName(below), "root_id")
     pages = nodes.select("root_id", "node_id", F.lit(1).alias("number"), F.col("page").alias("text"), F.when(F.col("kind") == "pdf", "ocr").otherwise("attachment").alias("source"))
     return nodes.drop("page"), pages
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,30 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def joins_by_part(spark: SparkSession):
+    """Here tables that are dealt by one column of a join's keys are joined as they are."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by key as `clustered` tables are; no shuffle where it is dealt so already."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def clustered(df: DataFrame, key: str) -> DataFrame:
+    """As `durable`, in buckets of key: groups and windows of such tables by key, or by key and more columns, take no shuffle, nor
+    do joins that are planned in `joins_by_part`."""
+    spark = df.sparkSession
+    name = uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt(df, key).write.format("parquet").bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(f"docloom_{name}")
+    return spark.table(f"docloom_{name}")

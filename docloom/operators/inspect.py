@@ -6,7 +6,8 @@ pages: root_id, node_id, number, text, source (attachment, ocr).
 A node's digest stands for all that hangs on it. Digests come level by level from the leaves up; of the nodes of one depth with
 equal digests only one is read: its pages are redacted, its findings counted and its children's results put behind its own. Its
 result then goes to every node that is like it, in whatever tree. Trees have three levels at most, so this takes two joins
-for digests and two for results, however many trees there are.
+for digests and two for results, however many trees there are. Nodes and pages are shuffled once, by tree: what joins or counts within
+trees reads tables in buckets of root_id.
 
 Defined results: a tree that goes over the budget, or below the last level, is refused whole (INSPECTION_LIMIT), one with orphans
 or cycles as well (INSPECTION_FAILED). A page without text fails its tree unless it is a text's; a page or a tree of
@@ -23,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
-from docloom.durable import durable
+from docloom.durable import clustered, dealt, durable, joins_by_part
 from docloom.functions import security
 from docloom.functions.text import trim_ws, utf16_length
 from docloom.operators import state, tree
@@ -69,9 +70,10 @@ def digests(t: DataFrame, pages: DataFrame) -> DataFrame:
             level = level.withColumn("__below", F.lit(None).cast("string"))
         else:
             order = F.array_sort(F.collect_list(F.struct("pos", "digest")))
-            under = below.groupBy("root_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(order, lambda c: c["digest"]), " ").alias("__below"))
+            under = below.groupBy("root_id", F.col("parent_id").alias("node_id")).agg(F.array_join(F.transform(order, lambda c: F.hex(c["digest"])), " ").alias("__below"))
             level = level.join(under, ["root_id", "node_id"], "left")
-        below = level.withColumn("digest", F.sha2(F.concat_ws("\n", "__own", "__below"), 256)).drop("__own", "__below")
+        below = level.withColumn("digest", F.unhex(F.sha2(F.concat_ws("\n", "__own", "__below"), 256))).drop("__own", "__below")
+        below = clustered(below, "root_id")
         out.append(below)
     return reduce(DataFrame.unionByName, out)
 
@@ -101,15 +103,21 @@ def execute(nodes: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reports, pages). reports: root_id, code, page_count, ocr_pages, attachments, images, barcodes, metadata, redactions, reads (nodes
     that were not like one visited before), cache_hit (whether a tree of a smaller root_id is its equal). pages: root_id, number, text, source of
     the trees without a code."""
+    with joins_by_part(nodes.sparkSession):
+        return _execute(nodes, pages)
+
+
+def _execute(nodes: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.select("root_id", "node_id", "parent_id", "pos", "name", "kind", "size", "decoded", "images", "barcodes", "metadata")
     pages = pages.select("root_id", "node_id", "number", "text", "source")
-    t = durable(tree.paths(nodes))
-    no = durable(refused(nodes, t, pages))
+    nodes, pages = clustered(nodes, "root_id"), clustered(pages, "root_id")
+    t = clustered(tree.paths(nodes), "root_id")
+    no = clustered(refused(nodes, t, pages), "root_id")
     admitted = t.join(no, "root_id", "left_anti")
-    d = durable(digests(admitted, pages.join(no, "root_id", "left_anti")))
-    first = F.min_by(F.struct("root_id", "node_id"), F.struct("root_id", "path"))
+    d = digests(admitted, pages.join(no, "root_id", "left_anti"))
+    first = F.min(F.struct("root_id", "path", "node_id"))
     names = d.groupBy("digest", "depth").agg(first.alias("f")).select("digest", F.col("f.root_id").alias("root_id"), F.col("f.node_id").alias("node_id"))
-    chosen = durable(d.join(names, ["root_id", "node_id", "digest"]))
+    chosen = clustered(d.join(dealt(names, "root_id"), ["root_id", "node_id", "digest"]), "root_id")
     texts = durable(read(chosen, pages))
 
     said = F.filter("metadata", lambda m: ~F.coalesce(m, F.lit("")).isin("null", "{}", ""))
@@ -156,7 +164,7 @@ def execute(nodes: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     r_facts, r_pages, r_counts = below
     roots = d.where("depth = 0").select("root_id", "digest", "name")
     before = F.row_number().over(W.partitionBy("digest").orderBy("root_id")) > 1
-    reads = d.join(shared(d), ["root_id", "node_id"]).groupBy("root_id").agg(F.count_if(~F.col("cache_hit")).cast("bigint").alias("reads"))
+    reads = d.groupBy("root_id").agg(F.count_distinct("depth", "digest").alias("reads"))
     ocr = r_pages.groupBy("digest").agg(F.array_sort(F.collect_list(F.when(F.col("source") == "ocr", F.col("number")))).alias("ocr_pages"))
     name = F.explode(security.findings(F.coalesce("name", F.lit("")))).alias("f")
     of_tree = roots.select("root_id", "digest").join(r_counts, "digest").select("root_id", "kind", "count").unionAll(roots.select("root_id", name).select("root_id", "f.kind", "f.count"))
