@@ -216,11 +216,15 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of a few MB, unless the session says otherwise."""
-    for key, usual, own in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", str(4 << 20))):
-        key = f"spark.sql.execution.arrow.{key}"
-        if spark.conf.get(key, None) == usual:
-            spark.conf.set(key, own)
+    """Texts go to Python in batches of a few MB and are read a few hundred rows at a time, unless the session says otherwise."""
+    own = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+        "spark.sql.parquet.columnarReaderBatchSize": "512",
+    }
+    for key, value in own.items():
+        if spark.conf.get(key, None) is None:  # not set: a default is not told with one given
+            spark.conf.set(key, value)
 
 
 def grown(least: int, most: int, size: float, at: float) -> int:

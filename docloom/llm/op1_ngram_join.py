@@ -274,24 +274,14 @@ def postings(blocks: DataFrame) -> DataFrame:
 
 
 def some_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of the documents with these ids. A fixed bitmap of BITS bits (its size doesn't grow
-    with the input; full, it only stops helping) keeps most other texts out of the shuffle."""
+    """doc_id, text (and ids' other columns) of the documents with these ids. A fixed bitmap of BITS bits (its size doesn't grow
+    with the input; full, it only stops helping) keeps most other texts out of the shuffle. It is broadcast as BITS / 64 rows
+    at most, so that a pass over all texts to find a few of them stays in the JVM."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
-    words = ids.select(slot.alias("s")).groupBy((F.col("s") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b"))
-    found = words.collect()  # at most BITS / 32 rows
-    bits = np.zeros(BITS // 32, np.int64)
-    for r in found:
-        bits[r["w"]] = r["b"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
-
-    def work(batches):
-        for b in batches:
-            s = b.column(2).to_numpy(zero_copy_only=False)
-            keep = shared.value[s // 32] >> (s % 32).astype(np.uint32) & np.uint32(1) == 1
-            yield b.filter(pa.array(keep)).select([0, 1])
-
-    near = docs.where("doc_id is not null").select("doc_id", "text", slot.alias("slot")).mapInArrow(work, "doc_id bigint, text string")
-    return near.join(ids, "doc_id")
+    word, bit = F.floor(slot / 64).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit")
+    words = ids.select(word, bit).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    asked = docs.where("doc_id is not null").select("doc_id", "text", word, bit).join(F.broadcast(words), "word")
+    return asked.where("(shiftright(bits, bit) & 1L) = 1").select("doc_id", "text").join(ids, "doc_id")
 
 
 COMPARED = "a bigint, x bigint, b bigint, y bigint, n_a bigint, n bigint, common bigint, rest array<bigint>"
