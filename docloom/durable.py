@@ -29,14 +29,18 @@ def durable(df: DataFrame) -> DataFrame:
 
 @contextmanager
 def joins_by_part(spark: SparkSession):
-    """Here tables that are dealt by one column of a join's keys are joined as they are."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    """Here tables that are dealt by one column of a join's keys are joined as they are, and none is broadcast for the size of its files: few
+    bytes of a file may be many rows. What a shuffle has measured is still broadcast below the session's threshold."""
+    conf, small, measured = spark.conf, "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    here = {"spark.sql.requireAllClusterKeysForCoPartition": "false", small: "-1", measured: conf.get(measured, None) or conf.get(small)}
+    was = {key: conf.get(key, None) for key in here}
+    for key, value in here.items():
+        conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, was)
+        for key, value in was.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:

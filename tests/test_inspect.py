@@ -145,3 +145,11 @@ def test_edges(spark, rows):
     reports, texts = inspect.execute(spark.createDataFrame(rows, NODE), spark.createDataFrame([], PAGE).withColumn("digest", F.lit(1)))
     assert [(r["root_id"], r["code"], r["page_count"], r["redactions"]) for r in reports.collect()] == [(1, None, 0, [])] * len(rows)
     assert texts.collect() == []
+
+
+@pytest.mark.parametrize("which", [1])
+def test_results_are_not_broadcast(spark, which):
+    """What execute returns is planned by its caller, with the caller's threshold for tables by the size of their files."""
+    nodes, pages = forest()
+    found = inspect.execute(spark.createDataFrame(nodes, NODE), spark.createDataFrame(pages, PAGE))[which]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
