@@ -147,7 +147,7 @@ def test_edges(spark, rows):
     assert texts.collect() == []
 
 
-@pytest.mark.parametrize("which", [1])
+@pytest.mark.parametrize("which", [0, 1])
 def test_results_are_not_broadcast(spark, which):
     """What execute returns is planned by its caller, with the caller's threshold for tables by the size of their files."""
     nodes, pages = forest()
