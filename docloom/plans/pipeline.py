@@ -78,9 +78,9 @@ def last_counts(found: Column) -> Column:
 
 
 def unique(items: Column, key, limit: int | None = None) -> Column:
-    """Items whose key none before them has, in order."""
+    """Items whose key, which is never null, none before them has, in order."""
     keys = F.transform(items, key)
-    out = F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    out = F.when(F.size(items) == 1, items).otherwise(F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
     return F.slice(out, 1, limit) if limit else out
 
 
@@ -93,23 +93,24 @@ def rule_based_payloads(prepared: DataFrame) -> DataFrame:
     """Our own stand-in for a model: doc_id, chunk_id 0, payload with every date and every number before
     a currency code. It makes no claim to equal a model's answers."""
     t = F.col("full_text")
-    money = F.regexp_extract_all(t, F.lit(rf"(?:{values.GROUPED}|{values.PLAIN}) ?(?:{'|'.join(S.CURRENCIES)})\b"), F.lit(0))
+    money = F.regexp_extract_all(t, F.lit(rf"(?:{values.GROUPED}|{values.PLAIN}) ?(?=[A-Z]{{3}}\b)(?:{'|'.join(S.CURRENCIES)})"), F.lit(0))
 
     def amount(m):
         number, code = F.rtrim(F.substring(m, F.lit(1), F.length(m) - 3)), F.right(m, F.lit(3))
         value = F.get(values.interpret_number(number), F.lit(0))
         return F.struct(value.alias("value"), code.alias("currency"), F.concat_ws(" ", number, code).alias("context"), F.lit(None).cast("int").alias("page"))
 
-    amounts = F.transform(money, amount)
-    dates = F.transform(values.collect_dates(t), lambda x: F.struct(x.alias("date"), x.alias("context"), F.lit(None).cast("int").alias("page")))
     parts = F.filter(F.transform(F.split(t, r"(?<=[.!?])\s+|\n+"), text.collapse), lambda s: s != "")
+    d = once(prepared.where("error is null").select("doc_id", money.alias("__money"), values.collect_dates(t).alias("__days"), F.slice(parts, 1, 3).alias("__parts")))
+    amounts = F.transform("__money", amount)
+    dates = F.transform("__days", lambda x: F.struct(x.alias("date"), x.alias("context"), F.lit(None).cast("int").alias("page")))
     p = F.struct(
         F.lit("en").alias("language"), F.lit("inne").alias("type"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("date"),
-        F.slice(parts, 1, 3).alias("summarySentences"), F.slice(parts, 1, 3).alias("keyPoints"), _no_strings().alias("keywords"),
+        F.col("__parts").alias("summarySentences"), F.col("__parts").alias("keyPoints"), _no_strings().alias("keywords"),
         _no_strings().alias("organizations"), _no_strings().alias("people"), amounts.alias("amounts"), dates.alias("dates"),
         F.lit(False).alias("injectionDetected"), F.lit(None).cast("string").alias("injectionExcerpt"),
     )
-    return prepared.where("error is null").select("doc_id", F.lit(0).alias("chunk_id"), F.to_json(p).alias("payload_json"))
+    return d.select("doc_id", F.lit(0).alias("chunk_id"), F.to_json(p).alias("payload_json"))
 
 
 def warnings_of(n_chunks: Column) -> Column:
@@ -265,8 +266,12 @@ def analyze(requests: DataFrame, extractions: DataFrame, synthesis: DataFrame |
     size = F.aggregate("clean_pages", F.lit(0).cast("bigint"), lambda n, x: n + F.length(x["text"]))
     budget = F.when(size <= S.CHUNK_BUDGET, F.lit(S.CHUNK_BUDGET).cast("bigint")).otherwise(chunk.chosen_budget(F.col("clean_pages"), S.CHUNK_BUDGET, S.MAX_CHUNKS))
     p = once(p.withColumn("budget", F.when(F.col("error").isNull(), budget)))
-    p = once(p.withColumn("__sources", fragments(F.col("clean_pages"), F.col("budget"))))
-    p = p.withColumn("n_chunks", F.array_max(F.transform("__sources", lambda s: s["chunk"])) + 1)
+    if citations:
+        p = once(p.withColumn("__sources", fragments(F.col("clean_pages"), F.col("budget"))))
+        p = p.withColumn("n_chunks", F.array_max(F.transform("__sources", lambda s: s["chunk"])) + 1)
+    else:  # only how many fragments there are
+        ids = chunk.chunk_ids(chunk.sizes_of(chunk.pieces(F.col("clean_pages"), F.col("budget"))), F.col("budget"))
+        p = p.withColumn("n_chunks", F.when((size <= S.CHUNK_BUDGET) & (F.size("clean_pages") > 0), 1).otherwise(F.array_max(ids) + 1))
     parts = extractions.select("doc_id", "chunk_id", F.from_json("payload_json", S.PAYLOAD).alias("p"))
     by_doc = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chunk_id", "p"))).alias("parts"))
     d = p.join(by_doc, "doc_id", "left")
