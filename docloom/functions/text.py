@@ -37,7 +37,7 @@ def collapse(t: Column) -> Column:
 
 def utf16_length(t: Column) -> Column:
     """Length in UTF-16 units, which the limits are stated in."""
-    return (F.octet_length(F.encode(t, "UTF-16LE")) / 2).cast("int")
+    return F.when(F.octet_length(t) == F.length(t), F.length(t)).otherwise((F.octet_length(F.encode(t, "UTF-16LE")) / 2).cast("int"))
 
 
 def strip_controls(t: Column, keep_breaks: bool) -> Column:
@@ -98,7 +98,8 @@ PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuu
 
 def fold(t: Column) -> Column:
     """Lower case without diacritics, for Latin text, combining marks too; ł is l, ß is ss."""
-    return F.replace(F.translate(F.regexp_replace(F.lower(t), r"\p{M}+", ""), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    marked = F.replace(F.translate(F.regexp_replace(F.lower(t), r"\p{M}+", ""), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+    return F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(marked)
 
 
 def ends_sentence(t: Column) -> Column:

@@ -45,7 +45,7 @@ def interpret_number(token: Column) -> Column:
 
     def lone(c):
         """With one kind of separator: a decimal if it stands once, thousands if all groups have three digits."""
-        return let(F.split(c, "[.,]"), lambda g: F.array(
+        return let(F.split(F.replace(c, F.lit(","), F.lit(".")), r"\."), lambda g: F.array(
             F.when(F.size(g) == 2, number(F.array_join(g, "."))),
             F.when(F.forall(F.slice(g, 2, 1000), lambda x: F.length(x) == 3), number(F.array_join(g, ""))),
         ))
@@ -59,8 +59,9 @@ def interpret_number(token: Column) -> Column:
         comma, dot = c.contains(","), c.contains(".")
         return F.when(comma & dot, both(c)).when(comma | dot, lone(c)).otherwise(F.array(number(c)))
 
-    bare = F.translate(token, f" {SPACES}'", "")
-    return F.array_distinct(F.filter(let(bare, read), lambda v: v.isNotNull() & (F.abs(v) < float("inf"))))
+    bare = F.when(token.rlike(f"[ {SPACES}']"), F.translate(token, f" {SPACES}'", "")).otherwise(token)
+    found = F.filter(let(bare, read), lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
+    return let(found, lambda a: F.when(F.size(a) < 2, a).otherwise(F.array_distinct(a)))
 
 
 def multiplier(suffix: Column) -> Column:
@@ -84,8 +85,10 @@ def collect_numbers(t: Column) -> Column:
     mentions = F.when(t.rlike(breaks), F.concat(_mentions(t), _mentions(F.regexp_replace(t, breaks, "$1 ")))).when(t.rlike("[0-9]"), _mentions(t)).otherwise(F.when(t.isNotNull(), none))
 
     def readings(m):
-        suffix = F.regexp_replace(m, rf"^[^\p{{L}}]*[0-9]{WS}?", "")
-        token = F.regexp_replace(m, "[^0-9]+$", "")
+        # a mention without a suffix ends with a digit
+        bare = F.right(m, F.lit(1)).between("0", "9")
+        suffix = F.when(~bare, F.regexp_replace(m, rf"^[^\p{{L}}]*[0-9]{WS}?", ""))
+        token = F.when(bare, m).otherwise(F.regexp_replace(m, "[^0-9]+$", ""))
 
         def scaled(plain):
             factor = let(suffix, multiplier)
@@ -126,23 +129,27 @@ def collect_dates(t: Column) -> Column:
         p = F.lit(pattern)
         return F.flatten(F.transform(F.regexp_extract_all(t, p, F.lit(0)), make))
 
-    def numeric(m):
-        return let(F.split(m, sep), lambda g: F.when(
-            F.length(F.get(g, F.lit(0))) == 4, F.array(iso_date(F.get(g, F.lit(0)), F.get(g, F.lit(1)), F.get(g, F.lit(2))))
-        ).otherwise(F.array(
-            iso_date(F.get(g, F.lit(2)), F.get(g, F.lit(1)), F.get(g, F.lit(0))), iso_date(F.get(g, F.lit(2)), F.get(g, F.lit(0)), F.get(g, F.lit(1)))
-        )))
+    def numeric(*orders):
+        """The readings of a numeric form: the places of year, month and day."""
+
+        def readings(m):
+            parts = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int"))
+            return let(parts, lambda g: F.array(*[iso_date(*[F.get(g, F.lit(k)) for k in order]) for order in orders]))
+
+        return readings
 
     def named(m):
         name = F.element_at(month, F.lower(F.regexp_extract(m, r"\p{L}+", 0)))
         day = F.regexp_extract(m, r"(?<![0-9])[0-9]{1,2}(?![0-9])", 0)
         return F.array(iso_date(F.right(m, F.lit(4)), name, day))
 
+    # The two forms with any word for the month: most texts have none, and need not be searched for names.
+    shape = rf"[0-9](?:\.?{WS}+\p{{L}}+\.?|,?){WS}+[0-9]{{4}}"
     # A number ends no run of digits, so that the two numeric forms are kept apart as they may overlap.
     found = F.concat(
-        each(f"{b}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{4}}{e}", numeric),
-        each(f"{b}[0-9]{{4}}{sep}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{e}", numeric),
-        F.when(t.rlike(rf"(?iu){b}(?:{MONTH_NAMES})[. \s\u00a0-\uffff]"), F.concat(
+        each(f"(?=[0-9]){b}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{sep}[0-9]{{4}}{e}", numeric((2, 1, 0), (2, 0, 1))),
+        each(f"(?=[0-9]){b}[0-9]{{4}}{sep}[0-9]{{1,2}}{sep}[0-9]{{1,2}}{e}", numeric((0, 1, 2))),
+        F.when(t.rlike(shape) & t.rlike(rf"(?iu){b}(?:{MONTH_NAMES})[. \s\u00a0-\uffff]"), F.concat(
             each(rf"(?iu){b}[0-9]{{1,2}}\.?{WS}+(?:{MONTH_NAMES})\.?{WS}+[0-9]{{4}}{e}", named),
             each(rf"(?iu){b}(?:{MONTH_NAMES})\.?{WS}+[0-9]{{1,2}},?{WS}+[0-9]{{4}}{e}", named),
         )).otherwise(none),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom import schemas as S
-from docloom.functions.text import count_sentences, trim_ws, utf16_length
+from docloom.functions.text import count_sentences, let, trim_ws, utf16_length
 
 def no_issues() -> Column:
     return F.array().cast("array<struct<path:string,message:string>>")
@@ -22,8 +22,9 @@ def issues(*found: Column) -> Column:
 
 
 def text_bounds(t: Column, path: Column | str, most: int, nullable: bool = False) -> Column:
-    n = utf16_length(trim_ws(t))
-    bad = (n < 1) | (n > most)
+    own = trim_ws(t)
+    # a text has no more UTF-16 units than bytes
+    bad = (own == "") | ((F.octet_length(t) > most) & (utf16_length(own) > most))
     return issue(t.isNotNull() & bad if nullable else bad, path, f"Expected 1 to {most} characters.")
 
 
@@ -86,7 +87,7 @@ def result_issues() -> Column:
         text_bounds(d["title"], "document.title", 300, nullable=True),
         issue(d["date"].isNotNull() & ~valid_date(d["date"]), "document.date", "Expected an ISO date."),
         text_bounds(F.col("summary"), "summary", 2000),
-        issue((n < 3) | (n > 5), "summary", "Expected 3–5 sentences in the summary."),
+        issue(let(n, lambda k: (k < 3) | (k > 5)), "summary", "Expected 3–5 sentences in the summary."),
         issue((F.size("keyPoints") < 3) | (F.size("keyPoints") > 7), "keyPoints", "Expected 3 to 7 items."),
         issue(F.size("keywords") > 20, "keywords", "Expected at most 20 items."),
     )
